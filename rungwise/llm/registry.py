@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from rungwise.llm import exact_dedup
+from rungwise.llm import exact_dedup, mixing, packing, topk
 
-_MODULES = {"op9_exact_dedup": exact_dedup}
+_MODULES = {
+    "op6_best_fit_packing": packing,
+    "op8_poisson_mixing": mixing,
+    "op9_exact_dedup": exact_dedup,
+    "op10_pivot_topk": topk,
+}
 
 
 def queries() -> dict:
