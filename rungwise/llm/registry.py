@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rungwise.llm import exact_dedup, mixing, packing, topk
+from rungwise.llm import exact_dedup, mixing, packing, suffix_dedup, topk
 
 _MODULES = {
+    "op1_suffix_dedup": suffix_dedup,
     "op6_best_fit_packing": packing,
     "op8_poisson_mixing": mixing,
     "op9_exact_dedup": exact_dedup,
