@@ -16,6 +16,7 @@ columns of the input are never read, whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -62,8 +63,29 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # words are normalised and split already: the same merges without those steps
+        plan = json.loads(tokenizer_json)
+        byte_level = [x for x in plan["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel"]
+        plan |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *byte_level]}}
+        self.word_tokenizer = Tokenizer.from_str(json.dumps(plan))
+        suffix = plan["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
+    def learn(self, words: list[str]) -> None:
+        """Ids of words, many to a call, told apart by the tokens that end a word."""
+        some = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for part, got in zip(some, self.word_tokenizer.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)):
+            ids = np.asarray(got.ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(stops) == len(part):
+                data = ids.tobytes()
+                self.known.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
+            else:
+                self.known.update((w, self.whole(w)) for w in part)
+
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
@@ -76,10 +98,8 @@ class WordMemo:
             if len(known) > REMEMBERED_WORDS:
                 known.clear()
                 new = set().union(*(w for w in split if w))
-            new = list(new)
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = np.asarray(got.ids, dtype="<u4").tobytes()
-        return [self.whole(t) if w is None else b"".join([known[x] for x in w]) for t, w in zip(texts, split)]
+            self.learn(list(new))
+        return [self.whole(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
 
 
 _MEMOS: dict[str, WordMemo] = {}
