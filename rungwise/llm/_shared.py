@@ -11,6 +11,9 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,21 @@ def input_partitions(spark: SparkSession, rows_per_task: int, rows: int) -> int:
     """Partitions for a stage of ``rows`` rows, at least the session's own number."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-rows // rows_per_task))
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Arrow batches of texts stay small in the workers, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, size)
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int):
+    """Slices of a batch whose binary or string column holds about ``limit`` bytes, one row at least."""
+    if not batch.num_rows:
+        return
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(lengths, dtype=np.int64) - 1) // limit
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist()
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)

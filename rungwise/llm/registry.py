@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rungwise.llm import exact_dedup, mixing, packing, suffix_dedup, topk
+from rungwise.llm import exact_dedup, jaccard_join, mixing, packing, suffix_dedup, topk
 
 _MODULES = {
     "op1_suffix_dedup": suffix_dedup,
+    "op5_jaccard_join": jaccard_join,
     "op6_best_fit_packing": packing,
     "op8_poisson_mixing": mixing,
     "op9_exact_dedup": exact_dedup,
