@@ -33,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm._shared import documents, materialize, pick, release_shuffles
+from rungwise.llm._shared import bounded_batches, by_bytes, documents, materialize, pick, release_shuffles
 
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 HOT = 200_000
 #: Bytes of runs that are refined together.
-REFINE_BYTES = 1 << 21
+REFINE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _NO_ID = -(1 << 63)
 
@@ -90,7 +90,7 @@ _HASHING: list[Hashing] = []
 
 def hashing() -> Hashing:
     if not _HASHING:
-        _HASHING.append(Hashing(2 * CHUNK + LENGTH + 1))
+        _HASHING.append(Hashing(CHUNK + 2 * LENGTH))
     return _HASHING[0]
 
 
@@ -282,7 +282,7 @@ def _refine_sorted(batches):
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], names=["doc", "start", "stop"])
 
     held, size = [], 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, 3, REFINE_BYTES)):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if size >= REFINE_BYTES and row[0] != held[-1][0]:
                 yield flush(held)
@@ -295,7 +295,7 @@ def _refine_sorted(batches):
 
 def _slices(batches):
     """The bytes of each wanted run of a text."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, 0, 1 << 20)):
         out = []
         for text, doc, wanted in zip(*(c.to_pylist() for c in batch.columns)):
             out += [(w["bucket"], doc, w["start"], text[w["start"] : w["stop"]], w["hot"]) for w in wanted]
@@ -307,7 +307,7 @@ def _slices(batches):
 def _windows(batches):
     """Single windows of hot runs: two hashes, doc, place; per batch the earliest of equal ones, the rest as repeats."""
     hs = hashing()
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, 2, 1 << 17)):
         rows = []
         for doc, start, data in zip(*(c.to_pylist() for c in batch.columns)):
             part = np.frombuffer(data, np.uint8)
@@ -326,7 +326,7 @@ def _windows(batches):
 
 def _apply(batches):
     """Removed ranges taken out of each text."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, 1, 1 << 20)):
         out = []
         for doc, text, starts, stops in zip(*(c.to_pylist() for c in batch.columns)):
             text = text or b""
@@ -354,6 +354,7 @@ def _apply(batches):
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc, start, stop (bytes) of ranges to remove; they may overlap."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     runs = rows.mapInArrow(_emit_runs, RUNS)
     settled = runs.repartition("bucket").sortWithinPartitions("bucket", "run", "doc", "pos").mapInArrow(_settle_runs, FOUND)
