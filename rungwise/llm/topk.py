@@ -63,7 +63,7 @@ def _blocks(rows: DataFrame, count: int, name: str, pivots: dict[int, np.ndarray
             }
         )
 
-    dealt = rows.withColumn("block", F.pmod(F.monotonically_increasing_id() * 2654435761 + F.spark_partition_id(), F.lit(count)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int"))
     return dealt.groupBy("block", "dim").applyInPandas(run, f"{name} int, dim int, {name}_ids binary, {name}_v binary, {name}_d binary")
 
 
