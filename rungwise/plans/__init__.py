@@ -1,0 +1 @@
+from rungwise.plans import samples  # noqa: F401
