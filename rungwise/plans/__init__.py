@@ -1 +1 @@
-from rungwise.plans import samples  # noqa: F401
+from rungwise.plans import colour, samples  # noqa: F401
