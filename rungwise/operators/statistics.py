@@ -14,13 +14,13 @@ def stage_report(stages: DataFrame) -> DataFrame:
 
 
 def first_calls(stages: DataFrame, most: int = 128) -> DataFrame:
-    w = Window.partitionBy("stage").orderBy("at", "call")
+    w = Window.partitionBy("stage").orderBy("moment", "call")
     return stages.withColumn("nth", F.row_number().over(w).cast("long")).filter(F.col("nth") <= most)
 
 
 def timeline(stages: DataFrame) -> DataFrame:
     """Stages by their first start, with each one's share of the largest total."""
-    spans = stages.groupBy("stage").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("ms").alias("peak_ms"))
+    spans = stages.groupBy("stage").agg(F.min("moment").alias("first_at"), F.max("moment").alias("last_at"), F.max("ms").alias("peak_ms"))
     top = spans.agg(F.max("peak_ms").alias("top"))
     return spans.crossJoin(F.broadcast(top)).select("stage", "first_at", "last_at", (F.col("peak_ms") / F.col("top")).alias("heat"))
 

@@ -54,13 +54,13 @@ lattice AS (SELECT CAST(0 AS BIGINT) AS cycle, CAST(i // {side} AS BIGINT) AS y,
 
 
 def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series, pos, at, idx: palette indices in time order per series."""
+    """series, pos, moment, idx: palette indices in time order per series."""
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("series"), F.col("event_id").alias("pos"), F.col("ts").alias("at"), (F.round(F.col("value") * 100).cast("long") % 256).alias("idx")
+        F.col("user_id").alias("series"), F.col("event_id").alias("pos"), F.col("ts").alias("moment"), (F.round(F.col("value") * 100).cast("long") % 256).alias("idx")
     )
 
 
-INDEX_SQL = "index_stream AS (SELECT user_id AS series, event_id AS pos, ts AS at, CAST(round(value * 100) AS BIGINT) % 256 AS idx FROM events)"
+INDEX_SQL = "index_stream AS (SELECT user_id AS series, event_id AS pos, ts AS moment, CAST(round(value * 100) AS BIGINT) % 256 AS idx FROM events)"
 
 
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +81,11 @@ EXPOSURES_SQL = """exposures AS (SELECT * FROM (SELECT o_custkey AS cycle, row_n
 
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stage, call, at, ms: stage timings."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("call"), F.col("ts").alias("at"), F.col("value").alias("ms"))
+    """stage, call, moment, ms: stage timings."""
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("call"), F.col("ts").alias("moment"), F.col("value").alias("ms"))
 
 
-STAGES_SQL = "stages AS (SELECT event_type AS stage, event_id AS call, ts AS at, value AS ms FROM events)"
+STAGES_SQL = "stages AS (SELECT event_type AS stage, event_id AS call, ts AS moment, value AS ms FROM events)"
 
 
 def probes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
