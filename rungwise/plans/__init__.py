@@ -1 +1 @@
-from rungwise.plans import colour, indices, reports, samples  # noqa: F401
+from rungwise.plans import colour, files, indices, reports, samples, streams  # noqa: F401
