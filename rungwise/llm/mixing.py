@@ -70,8 +70,8 @@ def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, tempera
         by_source = F.broadcast(by_source)
     u = uniform(seed, "count", docs["doc_id"])
     counted = docs.join(by_source, docs["source"].eqNullSafe(by_source["r_source"]))
-    copies = F.size(F.filter("cdf", lambda c: c <= u))
-    exploded = counted.withColumn("mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
+    copies = F.size(F.filter(by_source["cdf"], lambda c: c <= u))
+    exploded = counted.select(*[docs[n] for n in names], F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias("mix_copy"))
     keyed = exploded.withColumn("mix_key", uniform(seed, "order", F.col("doc_id"), F.col("mix_copy")))
     return keyed.select(*names, "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
 
