@@ -100,13 +100,22 @@ def settled(candidates: DataFrame, budget: float, ceiling: float = 400.0) -> Dat
     return candidates.groupBy("frame").applyInPandas(run, "frame long, n long, before double, after double, recount double, moves long, paid double")
 
 
-def refine_map(palette: np.ndarray, targets: np.ndarray, sigma: float = 1.5) -> np.ndarray:
-    """One neighbourhood-weighted step of a 16 by 16 self-organising map."""
+def refine_map(palette: np.ndarray, targets: np.ndarray, steps: int = 2, sigma: float = 1.5, eta: float = 0.5, tau: float = 0.05) -> np.ndarray:
+    """Neighbourhood-weighted steps of a 16 by 16 self-organising map.
+
+    Targets choose entries softly (by distance over its mean), the choice spreads
+    to grid neighbours, and entries move towards their weighted means, the less
+    the less weight they got.
+    """
     v, u = np.divmod(np.arange(GRID * GRID), GRID)
     near = np.exp(-((v[:, None] - v) ** 2 + (u[:, None] - u) ** 2) / (2 * sigma * sigma))
-    win = ((targets[:, None, :] - palette[None, :, :]) ** 2).sum(2).argmin(1)
-    weight = near[:, win]
-    return (weight @ targets) / np.maximum(weight.sum(1, keepdims=True), 1e-12)
+    for _ in range(steps):
+        d2 = ((targets[:, None, :] - palette[None, :, :]) ** 2).sum(2)
+        w = np.exp(-(d2 - d2.min(1, keepdims=True)) / (tau * (d2.mean() + 1e-12)))
+        spread = (w / w.sum(1, keepdims=True)) @ near
+        mass = spread.sum(0)[:, None]
+        palette = palette + eta * mass / (mass + 1) * (spread.T @ targets / (mass + 1e-8) - palette)
+    return palette
 
 
 def soft_usage(palette: np.ndarray, targets: np.ndarray, temperature: float) -> tuple[np.ndarray, float]:

@@ -1 +1 @@
-from rungwise.plans import colour, files, indices, reports, samples, streams  # noqa: F401
+from rungwise.plans import colour, extras, files, indices, reports, samples, streams  # noqa: F401

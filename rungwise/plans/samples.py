@@ -233,7 +233,7 @@ SIZES = "SELECT o_orderkey AS id, 100 + o_orderkey % 5000 AS w, 100 + (o_orderke
 
 
 @query(
-    "prj17_canonical_side",
+    "prj17_18_canonical_crop",
     f"""WITH s AS ({SIZES}), c AS (SELECT *, CAST(CASE WHEN least(w, h) >= 2048 THEN 2048 WHEN least(w, h) >= 1024 THEN 1024 WHEN least(w, h) >= 512 THEN 512 WHEN least(w, h) >= 256 THEN 256 END AS BIGINT) AS side FROM s)
 SELECT id, side, ((w - side) // 2) // 2 * 2 AS x0, ((h - side) // 2) // 2 * 2 AS y0 FROM c""",
 )

@@ -59,7 +59,7 @@ def alarms(spark, d):
     return appended(O.failures(ticks(spark, d), "series", "us", "pos", "ok", 2), "alarms")
 
 
-@query("str1_micro_batches", f"WITH {T} SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(idx) AS BIGINT) AS total FROM ticks GROUP BY kind")
+@query("str1_2_micro_batches", f"WITH {T} SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(idx) AS BIGINT) AS total FROM ticks GROUP BY kind")
 def micro_batches(spark, d):
     """A file at a time, as the bound on what is in flight asks; the sums do not depend on it."""
     s = ticks(spark, d, files_per_trigger=1).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("total"))
