@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def clips(hist: DataFrame, keys: list[str], channel: str = "channel") -> DataFra
     high = percentile(hist, [*keys, channel], BRIGHT, "high")
     low = percentile(hist.filter(F.col(channel) == "G"), keys, SHADOW, "low")
     pick = lambda c: F.max(F.when(F.col(channel) == c, F.col("high")))
-    wide = high.groupBy(*keys).agg(*[pick(c).alias(f"hi_{c.lower()}") for c in "RGB"]).join(low, keys, "left") if keys else None
+    wide = high.groupBy(*keys).agg(*[pick(c).alias(f"hi_{c.lower()}") for c in "RGB"]).join(low, keys, "left")
     present = {c: F.coalesce(F.col(f"hi_{c}"), F.lit(0.0)) >= PRESENT for c in "rgb"}
     room = {c: F.when(present[c], room_stops(F.col(f"hi_{c}"), AIM)).otherwise(0.0) for c in "rgb"}
     want = room_stops(F.greatest(F.coalesce("low", F.lit(0.0)), F.lit(1e-4)), SHADOW_AIM)
@@ -40,8 +42,6 @@ def clips(hist: DataFrame, keys: list[str], channel: str = "channel") -> DataFra
 
 def planned(clips_: DataFrame, keys: list[str], wb: tuple[float, float, float], extra: float = 0.0) -> DataFrame:
     """Exposure offsets of the four frames; absent channels lean on the white balance."""
-    import math
-
     prior = {c: max(-MOST, min(math.log2(max(w, 1e-4) / max(wb[1], 1e-4)), MOST)) for c, w in (("r", wb[0]), ("b", wb[2]))}
     g = F.col("room_g")
     ev = {c: F.when(F.col(f"present_{c}"), F.col(f"room_{c}")).otherwise(g + prior[c]) for c in "rb"}

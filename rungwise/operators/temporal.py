@@ -51,7 +51,7 @@ def cycle_statistics(frames: DataFrame, side: int, rung: int, seed: int) -> tupl
     size = {"r": q, "g": 2 * q, "b": q}
     ratios = F.array(*[F.when(F.col(f"mu_{c}") > 0, F.col(f"ss_{c}") / F.col("dof") / (F.col(f"mu_{c}") / F.lit(size[c]))).otherwise(0.0) for c in "rgb"])
     gain = upper_median(per.select("cycle", F.explode(ratios).alias("ratio")), ["cycle"], "ratio", "gain")
-    both = per.join(F.broadcast(gain), "cycle") if _few(gain) else per.join(gain, "cycle")
+    both = per.join(gain, "cycle")
     noise = {c: F.col("gain") * F.col(f"mu_{c}") / F.lit(size[c]) for c in "rgb"}
 
     def part(k: str, a: str) -> Column:
@@ -67,10 +67,5 @@ def cycle_statistics(frames: DataFrame, side: int, rung: int, seed: int) -> tupl
     return bins, gain, sigma
 
 
-def _few(df: DataFrame) -> bool:
-    """One row per cycle: leave the join to the planner."""
-    return False
-
-
 def region_median(bins: DataFrame, where: Column, value: str) -> DataFrame:
     return upper_median(bins.filter(where), ["cycle"], value, "median")

@@ -33,9 +33,7 @@ def stages_by_total(spark, d):
 @query("srt6_timeline", f"WITH {ST}, s AS (SELECT stage, min(moment) AS first_at, max(moment) AS last_at, max(ms) AS peak FROM stages GROUP BY stage) SELECT stage, epoch_us(first_at) AS first_at, epoch_us(last_at) AS last_at, peak / max(peak) OVER () AS heat FROM s")
 def timeline(spark, d):
     t = S.timeline(V.stages(spark, d))
-    return t.select("stage", F.unix_micros("first_at").alias("first_at"), F.unix_micros("last_at").alias("last_at"), "heat") if dict(t.dtypes)["first_at"] == "timestamp" else t.select(
-        "stage", F.unix_micros(F.col("first_at").cast("timestamp")).alias("first_at"), F.unix_micros(F.col("last_at").cast("timestamp")).alias("last_at"), "heat"
-    )
+    return t.select("stage", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("first_at", "last_at")], "heat")
 
 
 @query("agg40_health", f"WITH {ST} SELECT series, call, ms, max(ms) OVER (PARTITION BY series ORDER BY moment, call ROWS UNBOUNDED PRECEDING) AS most FROM (SELECT *, call % 8 AS series FROM stages)")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from rungwise.functions import colour as C
 from rungwise.functions import lattice as L
 from rungwise.operators import bins as B
 from rungwise.operators import exposure as E
 from rungwise.operators import indexstats as I
-from rungwise.functions import colour as C
 from rungwise.registry import query
 from rungwise.sources import views as V
 
@@ -16,10 +17,9 @@ EV = {0: 1.0, 1: 4.0, 2: 16.0, 3: 64.0}
 #: Noise profiles (S, O) of the four frames of a bracket (fixed values).
 PROFILES = {0: (0.000133622, 9.7885e-07), 1: (0.000257996, 6.53727e-07), 2: (0.000534232, 1.31462e-06), 3: (0.000542475, 1.30951e-06)}
 M, R = V.mosaic_sql(), float(V.WHITE - V.BLACK)
-D = "CAST({} AS DOUBLE)"
 
 
-def _by_frame(values: dict) -> "F.Column":
+def _by_frame(values: dict) -> Column:
     out = None
     for k, v in values.items():
         out = F.when(F.col("frame") == k, v) if out is None else out.when(F.col("frame") == k, v)
@@ -79,8 +79,6 @@ def metadata_validity(spark, d):
     f"WITH {V.EXPOSURES_SQL} SELECT cycle, frame, iso / min(iso) OVER (PARTITION BY cycle) AS over_min, iso / max(iso) OVER (PARTITION BY cycle) AS over_max FROM exposures",
 )
 def ratio_to_extremes(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("cycle")
     return V.exposures(spark, d).select("cycle", "frame", (F.col("iso") / F.min("iso").over(w)).alias("over_min"), (F.col("iso") / F.max("iso").over(w)).alias("over_max"))
 
