@@ -9,8 +9,9 @@ The join therefore works on two levels:
    by the smaller one's size (that window, and the size classes it spans, is
    what the triangle inequality leaves around the empty set). Shingles are
    dealt by hash to ``H + 1 + E`` parts, so at least ``E + 1`` parts are equal.
-   A cell is the content of one part; parts of fewer than two shingles are
-   used only by documents that have more than ``E`` of them, which keeps the
+   A cell is the content of one part that holds two shingles or more. Documents
+   with more than ``E`` smaller parts also go to the cells of their first
+   shingles in hash order, as many as any linked set must meet; that keeps the
    join exact. Documents near a size class boundary go to both classes.
 2. Regions. Each cell has a pivot, its first document. Members measure their
    exact distance to the pivots of their cells, and those within reach join the
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -50,7 +52,9 @@ SMALL = 32
 REGION_BLOCK = 2000
 _NO_ID = -(1 << 63)
 
-SHINGLED = "kind int, cell long, doc long, n long, h1 long, h2 long"
+#: What the shuffle of cells carries: ``set`` (size and digest) is null but for one row a document.
+SHIPPED = "cell long, doc long, set binary"
+SHINGLED = "kind int, cell long, doc long, n long, h1 long, h2 long, need long"
 
 
 # ---------------------------------------------------------------- shingle sets
@@ -162,12 +166,12 @@ class Cells:
                 break
         return h + 1 + best[1], best[1]
 
-    def of(self, s: np.ndarray) -> np.ndarray:
-        """Cells of a sorted set, as signed 64-bit keys."""
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """Cells of a sorted set, as signed 64-bit keys, and how many of them a linked set of this size or more shares at least."""
         n = len(s)
         if not n:
-            return np.empty(0, np.int64)
-        out = []
+            return np.empty(0, np.int64), 0
+        out, need, crowded = [], 1, False
         for c in range(self.class_of(-(-n * self.num // self.den)), self.class_of(n) + 1):
             m, spare = self.parts(c)
             part = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # ascending, as s is
@@ -177,10 +181,15 @@ class Cells:
             content = total[stop] - total[stop - count]
             key = _mixed(content + np.uint64(c * 0x9E3779B97F4A7C15 % (1 << 64)) + np.arange(m, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             weak = count < 2
-            if m > 1 and weak.sum() <= spare:
+            if m > 1:
                 key = key[~weak]
+                crowded = crowded or weak.sum() > spare
+            # parts of a linked pair that differ are at most as many as its differing shingles
+            need = m - self.differing(n) - int(weak.sum() if m > 1 else 0)
             out.append(key)
-        return np.concatenate(out).view(np.int64)
+        if crowded:
+            out.append(_mixed(s[: n + (-n * self.num // self.den) + 1] ^ np.uint64(0xA0761D6478BD642F)))
+        return np.concatenate(out).view(np.int64), max(need, 1)
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -188,8 +197,8 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _shingled(k: int, num: int, den: int):
-    """Rows of kind 0: each document with its set's size and digest; of kind 1: cells of each distinct set of a batch."""
+def _shingled(k: int, num: int, den: int, passes: int, nth: int):
+    """Each document with its set's size and digest (in the first pass); this pass's cells of each distinct set of a slice."""
 
     def run(batches):
         cells = Cells(num, den)
@@ -198,38 +207,44 @@ def _shingled(k: int, num: int, den: int):
                 ids = some.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
                 sets = shingle_sets([t or b"" for t in some.column(1).to_pylist()], k)
                 digests = [_digest(s) for s in sets]
-                n = np.array([len(s) for s in sets], np.int64)
-                h = np.array(digests, np.int64).reshape(len(sets), 2)
-                zero = np.zeros(len(sets), np.int64)
-                yield _batch(zero, h[:, 0], ids, n, h[:, 0], h[:, 1])
+                named = [cells.of(s) for s in sets]
+                if nth == 0:
+                    extra = [struct.pack("<qqqq", len(s), *h, need) for s, h, (_, need) in zip(sets, digests, named)]
+                    yield _shipped(np.array([h[0] for h in digests], np.int64), ids, pa.array(extra, pa.binary()))
                 first: dict = {}
                 for i in np.argsort(ids, kind="stable").tolist():
                     first.setdefault(digests[i], i)
                 mine = [i for i in first.values() if len(sets[i])]
-                keys = [cells.of(sets[i]) for i in mine]
+                keys = [named[i][0] for i in mine]
+                if passes > 1:
+                    keys = [x[(x.view(np.uint64) >> np.uint64(40)) % np.uint64(passes) == nth] for x in keys]
                 if keys:
                     key = np.concatenate(keys)
                     doc = np.repeat(ids[mine], [len(x) for x in keys])
-                    zero = np.zeros(len(key), np.int64)
-                    yield _batch(zero + 1, key, doc, zero, zero, zero)
+                    yield _shipped(key, doc, pa.nulls(len(key), pa.binary()))
 
     return run
 
 
-def _batch(kind, cell, doc, n, h1, h2):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind.astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (cell, doc, n, h1, h2))], names=["kind", "cell", "doc", "n", "h1", "h2"]
-    )
+def _shipped(cell, doc, extra):
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cell)), pa.array(np.ascontiguousarray(doc)), extra], names=["cell", "doc", "set"])
+
+
+def _batch(kind, cell, doc, n, h1, h2, need):
+    names = ["kind", "cell", "doc", "n", "h1", "h2", "need"]
+    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (cell, doc, n, h1, h2, need))], names=names)
 
 
 def _shared_cells(batches):
-    """Over rows sorted by cell, kind and doc: documents as they are; members of cells that have two, with the first as n."""
+    """Over rows sorted by cell and doc: documents; members of cells that have two, with the first as n."""
     held = None  # cell, first doc, whether the first was given out
     for batch in batches:
-        kind, cell, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        rows = kind == 0
+        cell, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        rows = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
         if rows.any():
-            yield batch.filter(pa.array(rows))
+            sets = np.array([struct.unpack("<qqqq", x) for x in batch.column(2).drop_null().to_pylist()], np.int64)
+            zero = np.zeros(len(sets), np.int64)
+            yield _batch(zero, zero, doc[rows], *sets.T)
         cell, doc = cell[~rows], doc[~rows]
         if held is not None:
             cell, doc = np.r_[held[0], cell], np.r_[held[1], doc]
@@ -245,7 +260,7 @@ def _shared_cells(batches):
         given = bool(shared[head[-1]]) or (held is not None and held[2] and head[-1] == 0)
         zero = np.zeros(int(shared.sum()), np.int64)
         if shared.any():
-            yield _batch(zero + 1, cell[shared], doc[shared], doc[head][shared], zero, zero)
+            yield _batch(zero + 1, cell[shared], doc[shared], doc[head][shared], zero, zero, zero)
         held = (cell[-1], doc[head[-1]], given)
 
 
@@ -363,19 +378,26 @@ def _contested(members: DataFrame) -> DataFrame:
     return members.join(cells.filter("lo < hi").select("cell", "members"), "cell")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; texts link at num/den or more."""
+def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, passes: int = 1) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; texts link at num/den or more.
+
+    Cells are shuffled in ``passes`` rounds, each reading the texts again, so
+    the disk that the shuffle needs at one time is that share of all cells.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    shingled = rows.mapInArrow(_shingled(shingle, num, den), SHINGLED)
-    settled = shingled.repartition("cell").sortWithinPartitions("cell", "kind", "doc").mapInArrow(_shared_cells, SHINGLED)
-    settled = materialize(settled, "jaccard-cells")
-    release_shuffles(spark)
-
-    every = settled.filter("kind = 0").select("doc", "n", "h1", "h2")
+    settled = None
+    for nth in range(passes):
+        shingled = rows.mapInArrow(_shingled(shingle, num, den, passes, nth), SHIPPED)
+        part = shingled.repartition("cell").sortWithinPartitions("cell", "doc").mapInArrow(_shared_cells, SHINGLED)
+        part = materialize(part, "jaccard-cells")
+        settled = part if settled is None else settled.unionByName(part)
+        release_shuffles(spark)
+
+    every = settled.filter("kind = 0").select("doc", "n", "h1", "h2", "need")
     classes = every.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    named = materialize(every.join(classes, ["h1", "h2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "jaccard-sets")
+    named = materialize(every.join(classes, ["h1", "h2"], "left").select("doc", "n", "need", F.coalesce("rep", "doc").alias("rep")), "jaccard-sets")
     rep_of = named.filter("doc <> rep").select("doc", "rep").distinct()
     members = settled.filter("kind = 1").select("cell", "doc", F.col("n").alias("first"))
     for column in ("doc", "first"):
@@ -388,8 +410,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     texts = materialize(keyed.join(involved, "doc").dropDuplicates(["doc"]), "jaccard-texts")
     release_shuffles(spark)
 
-    # regions of the cells' pivots
-    stars = members.filter("doc <> first").select(F.greatest("doc", "first").alias("a"), F.least("doc", "first").alias("b")).distinct()
+    # each document's nearest pivot, by the cells they share; where that is far, the cells stay open
+    shared = members.filter("doc <> first").groupBy("doc", "first").agg(F.count(F.lit(1)).alias("cells"))
+    nearest = shared.groupBy("doc").agg(F.max_by("first", F.struct("cells", (-F.col("first")).alias("low"))).alias("first"))
+    stars = nearest.select(F.greatest("doc", "first").alias("a"), F.least("doc", "first").alias("b")).distinct()
     near = materialize(_checked(stars, texts, shingle, num, den), "jaccard-near")
     links = near.filter("links").select("a", "b")
     roots = materialize(components(links), "jaccard-roots")
@@ -400,9 +424,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     small = open_cells.filter(F.col("members") <= SMALL)
     left = small.select("cell", F.col("doc").alias("a"), F.col("label").alias("la"))
     right = small.select("cell", F.col("doc").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "cell").filter("a > b AND la <> lb").select("a", "b").distinct()
+    pairs = left.join(right, "cell").filter("a > b AND la <> lb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cells"))
     pairs = pairs.join(near.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = materialize(_within_reach(pairs, near, named, num, den), "jaccard-pairs")
+    crowded = open_cells.filter(F.col("members") > SMALL).groupBy("doc").agg(F.count(F.lit(1)).alias("large"))
+    pairs = materialize(_within_reach(pairs, near, named, crowded, num, den), "jaccard-pairs")
     more = _checked(pairs, texts, shingle, num, den).filter("links").select("a", "b")
     links = materialize(links.unionByName(more), "jaccard-links")
 
@@ -417,16 +442,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     return found.select(ids[0].alias("doc_id"), F.col("n").alias("n_shingles"), ids[1].alias("component_id"))
 
 
-def _within_reach(pairs: DataFrame, near: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
-    """Drop pairs that sizes, or the distances to their nearest pivot where it is the same one, rule out."""
-    sizes = named.filter("doc = rep").select("doc", "n").distinct()
-    pivot = near.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("p"))
+def _within_reach(pairs: DataFrame, near: DataFrame, named: DataFrame, crowded: DataFrame, num: int, den: int) -> DataFrame:
+    """Drop pairs that cannot link: by their sizes, by sharing fewer cells than linked sets must
+    (large cells count as shared), or by the triangle inequality over a pivot both measured."""
+    sizes = named.filter("doc = rep").groupBy("doc").agg(F.max("n").alias("n"), F.min("need").alias("need"))
+    pivot = near.select("a", F.struct("distance", "b").alias("p"))
     for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}")), side)
-        pairs = pairs.join(pivot.select(F.col("a").alias(side), F.col("p").alias(f"p_{side}")), side, "left")
-    fits = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & ~F.coalesce(
-        (F.col("p_a.b") == F.col("p_b.b")) & (F.abs(F.col("p_a.distance") - F.col("p_b.distance")) > (den - num) / den + 1e-9), F.lit(False)
-    )
+        pairs = pairs.join(sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("need").alias(f"need_{side}")), side)
+        pairs = pairs.join(pivot.groupBy(F.col("a").alias(side)).agg(F.min("p").alias(f"p_{side}")), side, "left")
+    pairs = pairs.join(crowded.withColumnRenamed("doc", "a"), "a", "left")
+    need = F.when(F.col("n_a") < F.col("n_b"), F.col("need_a")).when(F.col("n_a") > F.col("n_b"), F.col("need_b")).otherwise(F.least("need_a", "need_b"))
+    far = (F.col("p_a.b") == F.col("p_b.b")) & (F.abs(F.col("p_a.distance") - F.col("p_b.distance")) > (den - num) / den + 1e-9)
+    fits = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (F.col("cells") + F.coalesce("large", F.lit(0)) >= need) & ~F.coalesce(far, F.lit(False))
     return pairs.filter(fits).select("a", "b")
 
 
@@ -446,9 +473,9 @@ def _region_links(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int
     return materialize(found, "jaccard-regions")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, passes: int = 1) -> DataFrame:
     """The input's rows with one document of each component, the one of smallest id, all columns unchanged."""
-    found = jaccard_components(docs, shingle, num, den)
+    found = jaccard_components(docs, shingle, num, den, passes)
     staying = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
     return docs.join(staying, docs["doc_id"].eqNullSafe(staying["k_id"]), "left_semi")
 
