@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm._shared import documents
+from rungwise.llm._shared import documents, materialize
 
 TEMPERATURE = 0.7
 SEED = 17
@@ -55,10 +55,10 @@ def rates(docs: DataFrame, weights: dict | None, size: float, temperature: float
     else:
         named = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "w_source string, w double")
         weighted = counts.join(named, F.col("r_source").eqNullSafe(F.col("w_source")), "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    total = weighted.agg(F.sum("w").alias("sum_w"), F.sum("n").alias("sum_n"))
-    rated = weighted.crossJoin(F.broadcast(total))  # one row
-    rate = F.when(F.col("sum_w") > 0, F.col("w") / F.col("sum_w") * F.col("sum_n") * size / F.col("n")).otherwise(0.0)
-    return rated.select("r_source", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    weighted = materialize(weighted, "mix-sources")
+    sum_w, sum_n = weighted.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    rate = F.col("w") / F.lit(sum_w) * F.lit(sum_n) * size / F.col("n") if sum_w > 0 else F.lit(0.0)
+    return weighted.select("r_source", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, tempera
     docs = docs.drop("mix_copy", "mix_key")
     names = docs.columns
     by_source = rates(docs, weights, size, temperature)
-    if docs.select(F.approx_count_distinct("source")).first()[0] <= BROADCAST_SOURCES // 2:
+    if by_source.count() <= BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
     u = uniform(seed, "count", docs["doc_id"])
     counted = docs.join(by_source, docs["source"].eqNullSafe(by_source["r_source"]))
