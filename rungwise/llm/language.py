@@ -222,13 +222,20 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
     rows = pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = rows.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "lang", F.substring("text", 1, 40 * TRAIN_WORDS).alias("text"))
-    got = sorted(got.collect(), key=lambda r: (r["doc_id"], r["text"], r["lang"]))
+    joined = rows.join(F.broadcast(chosen.distinct()), "doc_id").withColumn("text", F.substring("text", 1, 40 * TRAIN_WORDS))
+    one = joined.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "t.text", "t.lang")
+    got = sorted(one.collect(), key=lambda r: r["doc_id"])  # at most ``most`` rows
     return train_field([r["text"] for r in got], [r["lang"] for r in got])
 
 
+def _words(text: str) -> list[str]:
+    """Words of a text that holds a letter (the pattern alone would take other numerals for letters)."""
+    words = WORDS.findall(text.lower())
+    return words if any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w) else []
+
+
 def predictions(field: Field | None, texts: list[str | None]) -> list[tuple[str, float]]:
-    split = [WORDS.findall(t.lower()) if t else [] for t in texts]
+    split = [_words(t) if t else [] for t in texts]
     if field is None:
         return [(NONE, 0.0)] * len(texts)
     words = [w for x in split for w in x]

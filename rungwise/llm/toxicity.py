@@ -9,7 +9,7 @@ and quotation marks add a learned context score that tells quoting from
 abuse. A logistic model over a document's hits gives the score.
 
 Training reads at most ``TRAIN_ROWS`` labelled rows of each class, chosen by a
-hash of the id; everything else reads whole texts of all documents.
+hash of the id, and ``TRAIN_CHARS`` characters of each; everything else reads whole texts of all documents.
 
 Defined results: null and empty texts score as texts without hits; labels
 that are null are no labels, of repeated ones the largest counts; without any
@@ -34,6 +34,8 @@ from rungwise.llm._shared import bounded_batches, by_bytes, documents, pick
 THRESHOLD = 0.7
 #: Labelled rows of each class that training reads at most.
 TRAIN_ROWS = 3000
+#: Characters of each that it reads at most.
+TRAIN_CHARS = 200_000
 LEXICON = 2000
 WINDOW = 5
 WORDS = re.compile(r"[^\W_]+")
@@ -318,8 +320,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     for kind in (0, 1):
         some = named.filter(F.col("toxic").cast("int") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int"), "doc_id")
-    got = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))  # at most twice ``most`` rows, repeats aside
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    got = sorted(one.collect(), key=lambda r: r["doc_id"])  # at most twice ``most`` rows
     return fit([r["text"] or "" for r in got], [r["toxic"] for r in got], odds=counts[1] / counts[0])
 
 
