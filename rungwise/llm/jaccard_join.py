@@ -167,11 +167,11 @@ class Cells:
         return h + 1 + best[1], best[1]
 
     def of(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """Cells of a sorted set, as signed 64-bit keys, and how many of them a linked set of this size or more shares at least."""
+        """Cells of a sorted set, as signed 64-bit keys, and how many of them it shares at least with any linked set."""
         n = len(s)
         if not n:
             return np.empty(0, np.int64), 0
-        out, need, crowded = [], 1, False
+        out, need, crowded = [], None, False
         for c in range(self.class_of(-(-n * self.num // self.den)), self.class_of(n) + 1):
             m, spare = self.parts(c)
             part = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # ascending, as s is
@@ -184,8 +184,9 @@ class Cells:
             if m > 1:
                 key = key[~weak]
                 crowded = crowded or weak.sum() > spare
-            # parts of a linked pair that differ are at most as many as its differing shingles
-            need = m - self.differing(n) - int(weak.sum() if m > 1 else 0)
+            # of a linked pair's parts at most as many differ as it has differing shingles; small equal parts are no cells
+            least = m - self.differing(min(self.tops[c], n)) - int(weak.sum() if m > 1 else 0)
+            need = least if need is None else min(need, least)
             out.append(key)
         if crowded:
             out.append(_mixed(s[: n + (-n * self.num // self.den) + 1] ^ np.uint64(0xA0761D6478BD642F)))
@@ -434,7 +435,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     large = open_cells.filter(F.col("members") > SMALL)
     if large.limit(1).count():
         roots = materialize(components(links), "jaccard-roots")
-        links = links.unionByName(_region_links(large.select("cell", "doc"), roots, texts, shingle, num, den))
+        links = links.unionByName(_region_links(_dense(large.select("cell", "doc"), named), roots, texts, shingle, num, den))
     roots = components(links) if links.limit(1).count() else spark.createDataFrame([], "node long, root long")
     release_shuffles(spark)
     found = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("root", "rep"))
@@ -451,12 +452,26 @@ def _within_reach(pairs: DataFrame, near: DataFrame, named: DataFrame, crowded:
         pairs = pairs.join(sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("need").alias(f"need_{side}")), side)
         pairs = pairs.join(pivot.groupBy(F.col("a").alias(side)).agg(F.min("p").alias(f"p_{side}")), side, "left")
     pairs = pairs.join(crowded.withColumnRenamed("doc", "a"), "a", "left")
-    need = F.when(F.col("n_a") < F.col("n_b"), F.col("need_a")).when(F.col("n_a") > F.col("n_b"), F.col("need_b")).otherwise(F.least("need_a", "need_b"))
+    need = F.greatest("need_a", "need_b")
     far = (F.col("p_a.b") == F.col("p_b.b")) & (F.abs(F.col("p_a.distance") - F.col("p_b.distance")) > (den - num) / den + 1e-9)
     fits = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (F.col("cells") + F.coalesce("large", F.lit(0)) >= need) & ~F.coalesce(far, F.lit(False))
     return pairs.filter(fits).select("a", "b")
 
 
+def _dense(large: DataFrame, named: DataFrame) -> DataFrame:
+    """Members of large cells that may link through large cells alone, in as few of them as needed.
+
+    Such a set has as many large cells as it must share, else it is left out: a
+    passage that many texts quote gives each of them a few, which is not
+    enough. Of k cells, two sets that share s or more meet in the first
+    k - s + 1 of each in any fixed order.
+    """
+    needs = named.filter("doc = rep").groupBy("doc").agg(F.min("need").alias("need"))
+    has = large.groupBy("doc").agg(F.sort_array(F.collect_list("cell")).alias("cells")).join(needs, "doc")
+    first = F.slice("cells", 1, F.size("cells") - F.col("need").cast("int") + 1)
+    return materialize(has.filter(F.size("cells") >= F.col("need")).select(F.explode(first).alias("cell"), "doc"), "jaccard-dense")
+
+
 def _region_links(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links between components within the regions that large cells make up, in blocks of bounded size."""
     labelled = _contested(_labelled(members, roots)).select("cell", "doc", "label")
