@@ -31,6 +31,8 @@ from rungwise.llm._shared import materialize, pick
 BLOCK = 4096
 QUERY_BLOCK = 512
 PIVOTS = 32
+#: Vectors of one length below which all of them are evaluated.
+FEW = 256
 CHUNK = 256
 #: Components below this magnitude multiply exactly in double precision (64 dimensions and far more).
 EXACT = 1 << 20
@@ -81,7 +83,7 @@ def best_of_blocks(qi, q, qd, ci, c, cd, k: int, chunk: int = CHUNK) -> tuple[li
     qf, cf = (q.astype(np.float64), c.astype(np.float64)) if exact else (q.astype(object), c.astype(object))
     out, evaluated = [], 0
     for i in range(len(qi)):
-        apart = np.abs(cd - qd[i]).max(axis=1)
+        apart = np.abs(cd - qd[i]).max(axis=1, initial=0.0)
         # rounding of distances and norms is far below this margin
         slack = 1.0 + 1e-9 * (q2[i] + c2)
         upper = (q2[i] + c2 - np.maximum(apart - 1e-6 * (1 + apart), 0) ** 2) / 2 + slack
@@ -110,8 +112,12 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # a fixed number of pivots of each dimension, spread by hash
+    # a fixed number of pivots of each length, chosen by hash
     table: dict[int, np.ndarray] = {}
-    for dim in counts:
+    for dim, rows_of in counts.items():
+        if rows_of < FEW:  # too few to be worth pivots
+            table[dim] = np.empty((0, dim), np.int64)
+            continue
         some = vectors.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec_id")).limit(pivots).select("v").collect()
         table[dim] = np.array([r["v"] for r in some], dtype=np.int64)
     n = sum(counts.values())
