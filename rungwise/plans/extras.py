@@ -34,7 +34,7 @@ def cycle_bundle(spark, d):
 def burst_bundle(spark, d):
     """Index frames written by burst; the manifest vouches for every file."""
     path = shared_path(spark, "burst")
-    frames = PF.index_frames(spark, d).withColumn("burst", F.floor(F.col("cycle") / 16)).filter("cycle <= 64")
+    frames = PF.index_frames(spark, d).withColumn("burst", F.floor(F.col("cycle") / 16))
     U.write({"frames": frames}, path, ["burst", "frame"])
     return U.intact(spark, path, ["frames"])
 

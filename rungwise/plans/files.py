@@ -7,6 +7,7 @@ modules, so the queries need no data beside the tables.
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,10 @@ def seeds(spark, d):
     return V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.floor(F.col("s_acctbal")) % 1000).cast("long").alias("k"))
 
 
+def _upto(rows, key: str, limit: int | None):
+    return rows if limit is None else rows.filter(F.col(key) <= limit)
+
+
 SEEDS = "seeds AS (SELECT s_suppkey AS id, CAST(floor(s_acctbal) AS BIGINT) % 1000 AS k FROM supplier)"
 SIDE = 16
 
@@ -132,8 +137,9 @@ def pictures(spark, d):
 # ---------------------------------------------------------------- sequential operators
 
 
-def walk_sites(spark, d):
-    s = seeds(spark, d).filter("id <= 20").select(F.col("id").alias("frame"), F.abs("k").alias("k"))
+def walk_sites(spark, d, limit: int | None = None):
+    """frame, y, x, l, a, b: a frame per supplier; a limit keeps the ids that an SQL twin names."""
+    s = _upto(seeds(spark, d), "id", limit).select(F.col("id").alias("frame"), F.abs("k").alias("k"))
     wide = s.withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)))).withColumn("y", F.floor(F.col("site") / SIDE)).withColumn("x", (F.col("site") % SIDE).cast("long"))
     v = F.col("k") + F.col("frame") * 13 + F.col("y") * 577 + F.col("x") * 211
     return wide.select("frame", "y", "x", ((v * 29) % 65536).alias("l"), ((v * 7) % 8192 - 4096).alias("a"), ((v * 5) % 8192 - 4096).alias("b"))
@@ -144,18 +150,18 @@ def q16_bell(spark):
 
 
 @query("seq2_error_diffusion", f"WITH {SEEDS} SELECT id AS frame, CAST({SIDE * SIDE} AS BIGINT) AS sites, true AS conserved FROM seeds WHERE id <= 20")
-def error_diffusion(spark, d):
+def error_diffusion(spark, d, limit: int | None = 20):
     """Per frame: targets minus chosen colours sum to exactly what was dropped at the borders."""
-    sites, palette = walk_sites(spark, d), q16_bell(spark)
+    sites, palette = walk_sites(spark, d, limit), q16_bell(spark)
     got = Q.walk(sites, palette, SIDE, 2).join(F.broadcast(palette.select("idx", *[F.col(c).alias(f"p_{c}") for c in "lab"])), "idx").join(sites, ["frame", "y", "x"])
     sums = got.groupBy("frame").agg(F.count(F.lit(1)).alias("sites"), *[(F.sum(F.col(c) - F.col(f"p_{c}")) == F.max(f"drop_{c}")).alias(f"ok_{c}") for c in "lab"])
     return sums.select("frame", "sites", (F.col("ok_l") & F.col("ok_a") & F.col("ok_b")).alias("conserved"))
 
 
 @query("seq3_settle", f"WITH {SEEDS} SELECT id AS frame, CAST({SIDE * SIDE} AS BIGINT) AS n, true AS consistent FROM seeds WHERE id <= 20")
-def settle(spark, d):
+def settle(spark, d, limit: int | None = 20):
     """Settled frames: the running balance equals a full recount, and never rose."""
-    sites = walk_sites(spark, d).withColumn("pos", F.col("frame") * 1000 + F.col("y") * SIDE + F.col("x"))
+    sites = walk_sites(spark, d, limit).withColumn("pos", F.col("frame") * 1000 + F.col("y") * SIDE + F.col("x"))
     k = P.alternatives(sites, q16_bell(spark), 8).withColumn("frame", F.floor(F.col("pos") / 1000))
     got = Q.settled(k, budget=2000.0, ceiling=400.0)
     return got.select("frame", "n", ((F.abs(F.col("after") - F.col("recount")) < 1e-6) & (F.col("after") <= F.col("before"))).alias("consistent"))
@@ -170,13 +176,13 @@ def judged_settle(spark, d):
 
 
 @query("seq6_convolution", f"WITH {SEEDS} SELECT id AS item, CAST(4 * 4 * 4 AS BIGINT) AS outputs FROM seeds WHERE id <= 10")
-def convolution(spark, d):
+def convolution(spark, d, limit: int | None = 10):
     """A small stack on random weights of fixed seed: grouped, pointwise and strided layers."""
     rng = np.random.default_rng(5)
     layers = [
         (rng.normal(size=(4, 1, 3, 3)), np.zeros(4), 1, 2), (rng.normal(size=(4, 4, 1, 1)), np.ones(4), 1, 1), (rng.normal(size=(8, 4, 3, 3)), np.zeros(8), 2, 1), (rng.normal(size=(4, 8, 3, 3)), np.zeros(4), 2, 1),
     ]
-    s = walk_sites(spark, d).filter("frame <= 10")
+    s = walk_sites(spark, d, limit)
     planes = s.select(F.col("frame").alias("item"), "y", "x", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("c"), (F.col("l") / 65536).alias("v")), F.struct(F.lit(1).cast("long").alias("c"), (F.col("a") / 4096).alias("v")))).alias("p"))
     out = Q.infer(planes.select("item", "p.c", "y", "x", "p.v"), layers, 4)
     return out.groupBy("item").agg(F.count("v").alias("outputs"))
@@ -210,7 +216,7 @@ def weights_round_trip(spark, d):
     return got.select("path", F.aggregate("values", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-def container_files(spark, d):
+def container_files(spark, d, limit: int | None = None):
     def run(batches):
         for pdf in batches:
             for i in pdf["id"]:
@@ -219,23 +225,23 @@ def container_files(spark, d):
                     data = data[:100] + b"\x7f" + data[101:]
                 yield pd.DataFrame([(f"c{int(i)}", data)], columns=["path", "content"])
 
-    return seeds(spark, d).filter("id <= 4").mapInPandas(run, "path string, content binary")
+    return _upto(seeds(spark, d), "id", limit).mapInPandas(run, "path string, content binary")
 
 
 @query("src16_container_bins", f"WITH {SEEDS} SELECT 'c' || id AS path, CAST(s AS BIGINT) AS set_id, CAST(4096 AS BIGINT) AS bins, CAST(sum((b * 2654435761 + s) % 4294967296 & 255) AS BIGINT) AS l_codes FROM seeds, range(2) a(s), range(4096) c(b) WHERE id <= 4 GROUP BY ALL")
-def container_bins(spark, d):
-    got = K.containers(container_files(spark, d))
+def container_bins(spark, d, limit: int | None = 4):
+    got = K.containers(container_files(spark, d, limit))
     return got.groupBy("path", "set_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("l_code").alias("l_codes"))
 
 
 @query("src16_slow_block", f"WITH {SEEDS} SELECT 'c' || id AS path, CAST(count(*) AS BIGINT) AS bins, CAST(sum(b * 10 % 23) AS DOUBLE) AS motion FROM seeds, range(4096) c(b) WHERE id <= 4 AND id % 2 = 1 GROUP BY ALL")
-def slow_block(spark, d):
-    return K.slow_blocks(container_files(spark, d)).groupBy("path").agg(F.count(F.lit(1)).alias("bins"), F.sum("motion").alias("motion"))
+def slow_block(spark, d, limit: int | None = 4):
+    return K.slow_blocks(container_files(spark, d, limit)).groupBy("path").agg(F.count(F.lit(1)).alias("bins"), F.sum("motion").alias("motion"))
 
 
 @query("agg41_integrity", f"WITH {SEEDS} SELECT 'c' || id AS path, true AS magic_ok, CAST(CASE WHEN id % 2 = 1 THEN 2 ELSE 1 END AS BIGINT) AS version, CAST(2 AS BIGINT) AS sets, id <> 4 AS checksum_ok FROM seeds WHERE id <= 4")
-def integrity(spark, d):
-    return K.integrity(container_files(spark, d)).drop("bytes")
+def integrity(spark, d, limit: int | None = 4):
+    return K.integrity(container_files(spark, d, limit)).drop("bytes")
 
 
 @query("agg31_crc64")
@@ -336,5 +342,15 @@ def downsample(spark, d):
 
 
 @query("src17_golden_scan", "SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 100")
-def golden_scan(spark, d):
-    return V.table(spark, d, "events").filter("event_id < 100").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+def golden_scan(spark, d, limit: int | None = 99):
+    return _upto(V.table(spark, d, "events"), "event_id", limit).select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# ---------------------------------------------------------------- whole tables
+
+#: The SQL twins above name a few ids; these run the same operators over every row and have no twin.
+for _name, _fn in {
+    "seq2_error_diffusion": error_diffusion, "seq3_settle": settle, "seq6_convolution": convolution, "src16_container_bins": container_bins,
+    "src16_slow_block": slow_block, "agg41_integrity": integrity, "src17_golden_scan": golden_scan,
+}.items():
+    query(f"{_name}_whole")(partial(_fn, limit=None))
