@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -349,9 +351,9 @@ def greedy_order(spark, d):
 
 
 @query("flt5_in_frame", f"WITH {V.lattice_sql(64)} SELECT y, x, CAST((x < 63)::INT + (y < 63 AND x > 0)::INT + (y < 63)::INT + (y < 63 AND x < 63)::INT AS BIGINT) AS inside FROM lattice WHERE y % 2 = 0")
-def in_frame(spark, d):
-    """How many of the four neighbours that take an error lie in the frame (even rows)."""
-    rows = V.lattice(spark, d).filter("y % 2 = 0")
+def in_frame(spark, d, whole: bool = False):
+    """How many of the four neighbours that take an error lie in the frame (even rows, as in the twin, unless whole)."""
+    rows = V.lattice(spark, d) if whole else V.lattice(spark, d).filter("y % 2 = 0")
     steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
     near = rows.withColumn("n", F.explode(steps)).withColumn("ny", F.col("y") + F.col("n.dy")).withColumn("nx", F.col("x") + F.col("n.dx"))
     return near.groupBy("y", "x").agg(F.count_if(F.col("ny").between(0, 63) & F.col("nx").between(0, 63)).alias("inside"))
@@ -363,3 +365,6 @@ def move_candidates(spark, d):
 
     palette, targets = V.probes(spark, d)
     return P.alternatives(targets, palette, 8).filter("rank > 0 AND d2 < 100000000").select("pos", "idx", "d2")
+
+
+query("flt5_in_frame_whole")(partial(in_frame, whole=True))

@@ -65,16 +65,32 @@ INDEX_SQL = "index_stream AS (SELECT user_id AS series, event_id AS pos, ts AS m
 
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cycle, frame, t, iso, f_number: the first four orders of a customer as a bracket; some without metadata."""
+    return _shots(spark, sf_dir).filter("nth < 4").select(F.col("o_custkey").alias("cycle"), F.col("nth").alias("frame"), "t", "iso", "f_number")
+
+
+def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").withColumn("frame", nth.cast("long")).filter("frame < 4").select(
-        F.col("o_custkey").alias("cycle"), "frame",
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("long").alias("o_custkey"), nth.cast("long").alias("nth"),
         F.when(k % 97 == 0, 0.0).otherwise(1.0 / F.pow(F.lit(2.0), (k % 11).cast("double"))).alias("t"),
         (100.0 * (1 + k % 13)).alias("iso"),
         F.lit(1.78).alias("f_number"),
     )
 
 
+#: Numbers of brackets that a customer's cycles are told apart by.
+BRACKETS = 1 << 20
+
+
+def brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like exposures, but all orders of a customer, four to a bracket in turn; the last one may be short.
+
+    cycle is customer * BRACKETS + bracket, so bursts of 16 cycles lie within one customer.
+    """
+    return _shots(spark, sf_dir).select((F.col("o_custkey") * BRACKETS + F.floor(F.col("nth") / 4)).alias("cycle"), (F.col("nth") % 4).alias("frame"), "t", "iso", "f_number")
+
+
 EXPOSURES_SQL = """exposures AS (SELECT * FROM (SELECT o_custkey AS cycle, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame,
   CASE WHEN o_orderkey % 97 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / pow(CAST(2 AS DOUBLE), o_orderkey % 11) END AS t,
   CAST(100 AS DOUBLE) * (1 + o_orderkey % 13) AS iso, CAST(1.78 AS DOUBLE) AS f_number FROM orders) WHERE frame < 4)"""

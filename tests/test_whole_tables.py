@@ -47,3 +47,48 @@ def test_bundle_holds_every_cycle(spark, small, monkeypatch):
     monkeypatch.setattr(extras, "shared_path", lambda *a: paths.append(made(*a)) or paths[-1])
     assert registry.queries()["snk6_burst_bundle"](spark, small).collect()[0]["intact"]
     assert spark.read.parquet(f"{paths[0]}/frames").select("cycle").distinct().count() == files.seeds(spark, small).count()
+
+
+# ---------------------------------------------------------------- lines, series, lattice rows, brackets
+
+
+@pytest.mark.parametrize("name", ["prj4_apply_matrix", "prj13_transfer_lookup", "prj5_9_camera_matrix"])
+def test_every_item_line_takes_the_colour_path(spark, sf, name):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    ids = registry.queries()[f"{name}_whole"](spark, sf).select("id.order", "id.line")
+    assert ids.exceptAll(lines).count() == 0 and lines.exceptAll(ids).count() == 0
+
+
+def test_all_colour_queries_take_all_lines(spark, sf):
+    q = registry.queries()
+    n = q["prj3_pinned_cube_root_whole"](spark, sf).count()
+    assert n > q["prj3_pinned_cube_root"](spark, sf).count()
+    assert {q[f"{k}_whole"](spark, sf).count() for k in ("prj10_oklab", "prj11_quantise", "prj12_linear_display", "prj14_palette_bytes", "prj15_delta")} == {n}
+
+
+def test_every_series_has_its_changes(spark, sf):
+    stream = spark.read.parquet(f"{sf}/events.parquet").select("event_id")
+    changed = {r["pos"] for r in registry.queries()["flt4_changed_whole"](spark, sf).collect()}
+    assert changed == {r["event_id"] for r in stream.collect() if r["event_id"] % 5 == 0}
+    assert registry.queries()["jn10_apply_delta_whole"](spark, sf).select("pos").exceptAll(stream.select(F.col("event_id").alias("pos"))).count() == 0
+    assert registry.queries()["jn10_apply_delta_whole"](spark, sf).count() == stream.count()
+
+
+def test_every_site_has_its_neighbours_counted(spark, sf):
+    got = {(r["y"], r["x"]): r["inside"] for r in registry.queries()["flt5_in_frame_whole"](spark, sf).collect()}
+    assert got == {(y, x): (x < 63) + (y < 63 and x > 0) + (y < 63) + (y < 63 and x < 63) for y in range(64) for x in range(64)}
+
+
+def test_every_order_is_in_a_bracket(spark, sf):
+    q = registry.queries()
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").toPandas().sort_values(["o_custkey", "o_orderkey"])
+    nth = orders.groupby("o_custkey").cumcount()
+    want = sorted(zip(orders["o_custkey"] * (1 << 20) + nth // 4, nth % 4, 100.0 * (1 + orders["o_orderkey"] % 13)))
+    assert sorted((r["cycle"], r["frame"], r["iso"]) for r in q["agg1_relative_exposure_whole"](spark, sf).collect()) == want
+    for name in ("win7_ratio_to_extremes", "prj39_stops", "prj31_bounded_plan", "jn14_last_known_plan", "win8_last_good"):
+        assert q[f"{name}_whole"](spark, sf).count() == len(want)
+    cycles = {c for c, _, _ in want}
+    for name in ("flt6_metadata_validity", "flt7_profile_gate", "prj38_base_frame", "jn13_governing_palette"):
+        assert {r["cycle"] for r in q[f"{name}_whole"](spark, sf).collect()} == cycles
+    assert q["flt8_good_cycles_whole"](spark, sf).count() > q["flt8_good_cycles"](spark, sf).count()
+    assert {r["burst"] for r in q["str5_failure_budget_whole"](spark, sf).collect()} == {c // 16 for c in cycles}
