@@ -1,7 +1,9 @@
 """Licence scan by Dice coefficient over word bigrams.
 
 Texts are normalised to lower-case words of letters and digits. Each line,
-each paragraph (parted by blank lines) and the whole text is a segment;
+each paragraph (parted by blank lines) and the whole text is a segment, and so is
+any run of words, wherever it starts and ends, for texts of several paragraphs
+inside a longer document and notices inside a line;
 segments and templates are sets of word bigrams (a single word counts as one
 bigram with nothing). A template is compared only if the sizes allow the
 threshold: ``2 min(a, b) / (a + b) >= threshold``; sizes are known before any
@@ -9,13 +11,17 @@ bigram is made, and so are the words that no template has.
 
 Defined results: null or empty texts match nothing (licence null, dice 0, no
 segments); ties go to the earlier template, then whole text before paragraph
-before line, then the earlier segment; repeated rows come out alike; a null id
+before line before run of words, then the earlier segment; segments are counted
+as matching lines, paragraphs and whole texts, and the best runs of words that
+overlap neither these nor each other; a run inside a match of a template with
+more bigrams is a part of that match and no run of its own; repeated rows come out alike; a null id
 is carried; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import pyarrow as pa
@@ -62,6 +68,11 @@ class Scanner:
         self.sizes = [len(x[1]) for x in self.by_size]
         self.words = {w for _, s, _ in self.sets for pair in s for w in pair if w}
         self.ratio = threshold / (2 - threshold)
+        self.places: dict[tuple[str, str], list[int]] = {}  # templates of each bigram
+        for _, s, k in self.sets:
+            for pair in s:
+                self.places.setdefault(pair, []).append(k)
+        self.single = any(not second for _, second in self.places)
 
     def candidates(self, size: float):
         """Templates whose size alone does not rule out the threshold against ``size`` bigrams."""
@@ -85,15 +96,82 @@ class Scanner:
                 found = (dice, k, name)
         return found
 
+    def runs(self, words: list[str]):
+        """(-dice, template's place, first word, word after the last) of the best run of words from each start, by template.
+
+        A best run starts and ends on bigrams of its template, and does not meet its first one again: without
+        that bigram it would be no worse. So the runs from one bigram's occurrences never overlap, and a text
+        takes time in proportion to its length.
+        """
+        found = []
+        if self.single:
+            found += [(-1.0, k, i, i + 1) for i, w in enumerate(words) for k in self.places.get((w, ""), ())]
+        pairs = list(zip(words, words[1:]))
+        at: dict[int, list[int]] = {}
+        for i, ks in enumerate(map(self.places.get, pairs)):
+            if ks:
+                for k in ks:
+                    at.setdefault(k, []).append(i)
+        for k, starts in at.items():
+            s = self.sets[k][1]
+            if len({pairs[i] for i in starts}) < self.ratio * len(s) - 1e-9:  # too few of its bigrams anywhere
+                continue
+            most = len(s) / self.ratio + 1e-9
+            again: dict[tuple[str, str], int] = {}
+            for i in reversed(starts):
+                stop = again.get(pairs[i], len(pairs))
+                again[pairs[i]] = i
+                seen, hits, best, end = set(), 0, 0.0, i
+                for j in range(i, stop):
+                    pair = pairs[j]
+                    if pair in seen:
+                        continue
+                    seen.add(pair)
+                    if len(seen) > most:
+                        break
+                    if pair in s:
+                        hits += 1
+                        dice = 2 * hits / (len(seen) + len(s))
+                        if dice > best:
+                            best, end = dice, j
+                if best >= self.threshold:
+                    found.append((-best, k, i, end + 2))
+        return sorted(found)
+
+    def outermost(self, runs, spans):
+        """The runs that lie inside no other match of a larger template; ``spans`` are (first, end, template's place) of segments."""
+        size = [len(s) for _, s, _ in self.sets]
+        kept = []
+        for n in sorted({size[r[1]] for r in runs}, reverse=True):
+            larger = sorted([x[:2] for x in spans if size[x[2]] > n] + [r[2:] for r in kept if size[r[1]] > n])
+            ends = list(itertools.accumulate((end for _, end in larger), max))
+            for r in (r for r in runs if size[r[1]] == n):
+                before = bisect.bisect_right(larger, r[2], key=lambda x: x[0])
+                if not before or ends[before - 1] < r[3]:
+                    kept.append(r)
+        return sorted(kept)
+
     def scan(self, text: str | None):
         """(licence, dice, unit, matching segments) of a text."""
-        found, count = [], 0
-        for order, (unit, parts) in enumerate((("text", [text or ""]), ("paragraph", PARAGRAPHS.split(text or "")), ("line", (text or "").split("\n")))):
+        lines = [words_of(part) for part in (text or "").split("\n")]
+        words = [w for part in lines for w in part]
+        paragraphs = (words_of(part) for part in PARAGRAPHS.split(text or ""))
+        found, spans, taken = [], [], bytearray(len(words))
+        for order, (unit, parts) in enumerate((("text", [words]), ("paragraph", paragraphs), ("line", lines))):
+            first = 0
             for nth, part in enumerate(parts):
-                got = self.best(words_of(part))
+                got = self.best(part)
                 if got:
-                    count += 1
                     found.append((-got[0], got[1], order, nth, got[2], unit))
+                    spans.append((first, first + len(part), got[1]))
+                    taken[first : first + len(part)] = b"\1" * len(part)
+                first += len(part)
+        count = len(found)
+        for dice, k, first, end in self.outermost(self.runs(words), spans):
+            found.append((dice, k, 3, first, self.sets[k][0], "words"))
+            if not any(taken[first:end]):
+                count += 1
+                taken[first:end] = b"\1" * (end - first)
         if not found:
             return None, 0.0, None, 0
         first = min(found)
