@@ -26,6 +26,8 @@ TEMPERATURE = 0.7
 SEED = 17
 #: Up to so many sources the rates are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Rates above it are not summed from exp(-rate).
+LARGE = 700.0
 
 
 def uniform(seed: int, salt: str, *parts: Column) -> Column:
@@ -35,16 +37,26 @@ def uniform(seed: int, salt: str, *parts: Column) -> Column:
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """Cumulative probabilities 0, 1, 2, ... far enough that the rest is below 2^-52."""
-    terms = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("all"))
+    """Cumulative probabilities 0, 1, 2, ... far enough that the rest is below 2^-52.
+
+    exp(-rate) leaves the doubles at a rate of 745. Above LARGE the terms start as far below the rate as they end
+    above it, from 1, and are divided by their sum; the counts below that, of less than 2^-52 together, have 0.
+    """
+    past = 12 * F.sqrt(rate) + 30
+    low = F.when(rate > LARGE, F.floor(rate - past)).otherwise(0).cast("int")
+    first = F.when(rate > LARGE, 1.0).otherwise(F.exp(-rate))
+    start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all"))
 
     def step(acc, k):
         p = acc["p"] * rate / k
         c = acc["c"] + p
         return F.struct(p.alias("p"), c.alias("c"), F.concat(acc["all"], F.array(c)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), terms), start, step)["all"]
+    def finish(acc):
+        total = F.when(rate > LARGE, acc["c"]).otherwise(1.0)
+        return F.concat(F.array_repeat(F.lit(0.0), low), F.transform(acc["all"], lambda c: c / total))
+
+    return F.aggregate(F.sequence(low + 1, F.ceil(rate + past).cast("int")), start, step, finish)
 
 
 def rates(docs: DataFrame, weights: dict | None, size: float, temperature: float) -> DataFrame:
