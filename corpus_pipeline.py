@@ -49,7 +49,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express the scores, the state or the packing; tests hold every stage against brute force.
+#: SQL cannot express the scores, the state or the packing; tests hold the two deduplications, mixing and packing
+#: against brute force in Python, and toxicity against the scores of the same model only.
 ORACLE_SQL = None
 
 
