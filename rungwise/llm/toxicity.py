@@ -196,14 +196,16 @@ class Model:
 
 
 def quoted_places(text: str) -> frozenset:
-    """Places of the words that stand between a pair of quotation marks."""
-    out, inside, k = set(), False, 0
-    for token in re.finditer(r"[\"«»“”„‹›]|[^\W_]+", text):
+    """Places of the words that stand between a pair of quotation marks of one paragraph; a mark that never closes quotes nothing."""
+    out, inside, opened, k = set(), False, 0, 0
+    for token in re.finditer(r"[\"«»“”„‹›]|\n[ \t]*\n|[^\W_]+", text):
         if QUOTES.match(token.group()):
-            inside = not inside
-        else:
             if inside:
-                out.add(k)
+                out.update(range(opened, k))
+            inside, opened = not inside, k
+        elif token.group()[0] == "\n":
+            inside = False
+        else:
             k += 1
     return frozenset(out)
 
