@@ -54,10 +54,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def input_partitions(spark: SparkSession, rows_per_task: int, rows: int) -> int:
-    """Partitions for a stage of ``rows`` rows, at least the session's own number."""
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows // rows_per_task))
+def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A table of narrow rows, marked for broadcast if it has at most ``most`` of them (counted here)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:

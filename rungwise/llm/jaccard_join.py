@@ -1,33 +1,45 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets.
 
 The distance of two documents is ``1 - |A & B| / |A | B|``; documents within
-``1 - threshold`` link, and links make components. Unrelated texts all lie at
-distance 1 from each other, so document pivots alone cannot part a corpus.
-The join therefore works on two levels:
-
-1. Cells. Two linked documents differ in at most ``H`` shingles, a bound set
-   by the smaller one's size (that window, and the size classes it spans, is
-   what the triangle inequality leaves around the empty set). Shingles are
-   dealt by hash to ``H + 1 + E`` parts, so at least ``E + 1`` parts are equal.
-   A cell is the content of one part that holds two shingles or more. Documents
-   with more than ``E`` smaller parts also go to the cells of their first
-   shingles in hash order, as many as any linked set must meet; that keeps the
-   join exact. Documents near a size class boundary go to both classes.
-2. Regions. Each cell has a pivot, its first document. Members measure their
-   exact distance to the pivots of their cells, and those within reach join the
-   pivot's region. A cell is done when all its members lie in one component.
-   In other cells members join their next pivots: small cells at once for
-   every two members of different components, unless the triangle inequality
-   over a pivot common to both rules them out; cells of more than ``SMALL``
-   members by whole regions, joined recursively in blocks of bounded size.
+``r = 1 - threshold`` link, and links make components.
+
+1. Cells, a filter. Unrelated texts all lie at distance 1 from each other, so
+   no pivot parts a whole corpus; cells part it into groups that may hold
+   links. Two linked documents differ in at most ``H`` shingles, a bound set by
+   the smaller one's size. Shingles are dealt by hash to ``H + 1 + E`` parts,
+   so at least ``E + 1`` parts are equal. A cell is the content of one part
+   that holds two shingles or more. Documents with more than ``E`` smaller
+   parts also go to the cells of their first shingles in hash order, as many
+   as any linked set must meet. Documents near a size class boundary go to
+   both classes.
+2. First pivots. Each cell's first document is a pivot. Every document goes to
+   the pivot that it shares most cells with and measures its exact distance;
+   within ``r`` it links. A cell whose members are one component by now is done.
+3. Regions. Of the cells that are not, a document needs only the rarest ones:
+   of its k, two sets that share s or more meet in the first k - s + 1. Cells
+   that share a document make one region. Inside a region pivots are chosen,
+   every member measures its distance to all of them and is at home in the
+   Voronoi region of the nearest. If x is at home with p, y with q and
+   ``d(x, y) <= r``, then ``d(x, q) <= d(x, p) + 2 r``: a document in that window
+   of an earlier pivot is replicated there, so every link is found in some
+   region. Regions are joined in the same way again, over the cluster while
+   they are larger than ``REGION_BYTES`` of text and inside one task from there
+   on, down to ``LEAF`` members, each of which is a pivot to the others.
+   Regions that pivots do not make smaller are cut into blocks of bounded
+   bytes, and each two blocks are joined the same way.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text of fewer than
-``shingle`` words counts as one shingle.
+``shingle`` words counts as one shingle. Sets are compared for equality by 128
+bits of two independent hashes; a link between different sets is accepted on
+the words of the shingles themselves.
+
+The result has components, not counts of links: a group of near copies may
+hold a third of all rows, and its links are as many as the square of that.
 
 Defined results: null, empty or blank texts have no shingles and link with
-nothing; equal sets link; rows that repeat an id are one node; a null id is
-carried, as the smallest node; an empty table gives an empty result; other
-columns are never read.
+nothing; equal sets link; rows that repeat an id are one document, which links
+wherever one of its texts does; a null id is an id of its own, the smallest;
+an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -36,6 +48,7 @@ import bisect
 import math
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,12 +57,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm._shared import bounded_batches, by_bytes, documents, materialize, pick, release_shuffles
+from rungwise.llm._shared import bounded_batches, by_bytes, documents, materialize, pick, release_shuffles, small_side
 from rungwise.llm.components import components
 
-SMALL = 32
-#: Documents of a region that one task joins with as many others.
-REGION_BLOCK = 2000
+#: Text that one task joins at a time.
+REGION_BYTES = 1 << 22
+#: Pivots of a region; members down to which a region is parted.
+PIVOTS = 8
+LEAF = 32
+#: A region whose parts keep more of its text than that is cut into blocks.
+SHRINKS = 0.8
+#: Cells of more members are joined apart from the others, by broadcast of the cell's name.
+HEAVY = 1000
+#: Bytes of words that a worker remembers.
+WORDS_HELD = 1 << 26
 _NO_ID = -(1 << 63)
 
 #: What the shuffle of cells carries: ``set`` (size and digest) is null but for one row a document.
@@ -59,12 +80,9 @@ SHINGLED = "kind int, cell long, doc long, n long, h1 long, h2 long, need long"
 
 # ---------------------------------------------------------------- shingle sets
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_TABLE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
-_ODD = np.random.default_rng(8).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_ODD = np.random.default_rng(8).integers(0, 1 << 63, (64, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_HALF = (1 << 64) - 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,54 +93,83 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int) -> np.ndarray:
-    out = np.full(size, 0xD6E8FEB86659FD93, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of concatenated texts, and the text each belongs to."""
-    if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[0] = True
-    edge[ends] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | edge[1:-1]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    lengths = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data)) - np.repeat(starts, lengths)[: len(data)] if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(data)) - np.repeat(starts, lengths)])
-    weighted = np.where(inside, _TABLE[_LOWER[data]] * _powers(1 << max(10, int(place.max()).bit_length()))[place], np.uint64(0))
-    return _mixed(np.add.reduceat(weighted, starts)), np.searchsorted(ends, starts, side="right")
-
-
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted hashes."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    words, owner = word_hashes(data, ends)
-    counts = np.bincount(owner, minlength=len(texts))
-    stops = np.cumsum(counts)
-    if len(words) >= k:
-        joined = np.zeros(len(words) - k + 1, np.uint64)
-        for j in range(k):
-            joined += words[j : len(words) - k + 1 + j] * _ODD[j]
-        joined = _mixed(joined)
-    out = []
-    for stop, count in zip(stops.tolist(), counts.tolist()):
-        at = stop - count
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text; split() without an argument parts at exactly the six bytes named above."""
+    return text.translate(_LOWER).split()
+
+
+class Vocabulary(dict):
+    """Places of words, with two 64-bit hashes of each."""
+
+    def __init__(self):
+        self.hashes = np.empty((1 << 12, 2), np.uint64)
+        self.held = 0
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        if i == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
+        h = xxhash.xxh3_128_intdigest(word)
+        self.hashes[i, 0], self.hashes[i, 1] = h >> 64, h & _HALF
+        self.held += len(word) + 100
+        return i
+
+
+def shingle_sets(texts: list[bytes], k: int, words: Vocabulary | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct shingles as two aligned arrays of hashes, ascending."""
+    words = Vocabulary() if words is None else words
+    split = [words_of(t) for t in texts]
+    flat = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64)
+    hashes = words.hashes[flat]
+    joined = np.zeros((max(len(flat) - k + 1, 0), 2), np.uint64)
+    for j in range(k if len(joined) else 0):
+        joined += hashes[j : len(flat) - k + 1 + j] * _ODD[j]
+    joined = _mixed(joined)
+    out, at = [], 0
+    for part in split:
+        count = len(part)
         if count >= k:
-            out.append(np.unique(joined[at : stop - k + 1]))
+            a, b = joined[at : at + count - k + 1].T
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            same = a[1:] == a[:-1]
+            if (same & (b[1:] != b[:-1])).any():  # two shingles of one first hash
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            new = np.r_[True, ~same]
+            out.append((a[new], b[new]))
         elif count:
-            few = (words[at:stop] * _ODD[:count]).sum(dtype=np.uint64) + np.uint64(count)
-            out.append(_mixed(np.array([few], np.uint64)))
+            few = _mixed((hashes[at : at + count] * _ODD[:count]).sum(0, dtype=np.uint64) + np.uint64(count))
+            out.append((few[:1], few[1:]))
+        else:
+            out.append((joined[:0, 0], joined[:0, 1]))
+        at += count
+    return out
+
+
+class _Places(dict):
+    def __missing__(self, key) -> int:
+        i = self[key] = len(self)
+        return i
+
+
+def exact_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as ascending numbers, equal in these texts if and only if their words are."""
+    split = [words_of(t) for t in texts]
+    flat = np.fromiter(map(_Places().__getitem__, chain.from_iterable(split)), np.int64)
+    several = int(flat.max(initial=0)) + 1
+    ids = flat
+    for j in range(1, k):  # runs of j + 1 words, numbered anew so that numbers stay below the count of words
+        ids = ids[:-1] * several + flat[j:] if len(flat) > j else flat[:0]
+        ids = np.unique(ids, return_inverse=True)[1]
+    short, out, at = _Places(), [], 0
+    for part in split:
+        if len(part) >= k:
+            out.append(np.unique(ids[at : at + len(part) - k + 1]))
         else:
-            out.append(np.empty(0, np.uint64))
+            out.append(np.array([len(flat) + short[tuple(part)]] if part else [], np.int64))
+        at += len(part)
     return out
 
 
@@ -193,29 +240,31 @@ class Cells:
         return np.concatenate(out).view(np.int64), max(need, 1)
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(s.tobytes())
-    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+def _digest(s: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(s[0].tobytes() + s[1].tobytes())
+    return (h >> 64) - (1 << 63), (h & _HALF) - (1 << 63)
 
 
 def _shingled(k: int, num: int, den: int, passes: int, nth: int):
     """Each document with its set's size and digest (in the first pass); this pass's cells of each distinct set of a slice."""
 
     def run(batches):
-        cells = Cells(num, den)
+        cells, words = Cells(num, den), Vocabulary()
         for batch in batches:
             for some in by_bytes(batch, 1, 1 << 19):
                 ids = some.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-                sets = shingle_sets([t or b"" for t in some.column(1).to_pylist()], k)
+                if words.held > WORDS_HELD:
+                    words = Vocabulary()
+                sets = shingle_sets([t or b"" for t in some.column(1).to_pylist()], k, words)
                 digests = [_digest(s) for s in sets]
-                named = [cells.of(s) for s in sets]
+                named = [cells.of(s) for s, _ in sets]
                 if nth == 0:
-                    extra = [struct.pack("<qqqq", len(s), *h, need) for s, h, (_, need) in zip(sets, digests, named)]
+                    extra = [struct.pack("<qqqq", len(s), *h, need) for (s, _), h, (_, need) in zip(sets, digests, named)]
                     yield _shipped(np.array([h[0] for h in digests], np.int64), ids, pa.array(extra, pa.binary()))
                 first: dict = {}
                 for i in np.argsort(ids, kind="stable").tolist():
                     first.setdefault(digests[i], i)
-                mine = [i for i in first.values() if len(sets[i])]
+                mine = [i for i in first.values() if len(sets[i][0])]
                 keys = [named[i][0] for i in mine]
                 if passes > 1:
                     keys = [x[(x.view(np.uint64) >> np.uint64(40)) % np.uint64(passes) == nth] for x in keys]
@@ -265,108 +314,214 @@ def _shared_cells(batches):
         held = (cell[-1], doc[head[-1]], given)
 
 
-# ---------------------------------------------------------------- exact checks
+# ---------------------------------------------------------------- exact distances
 
 
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int):
     return den * common >= num * (a + b - common)
 
 
-def _check_pairs(k: int):
-    """Pairs with both texts, sorted by the second document: their set sizes and common shingles."""
+def common_with(one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many shingles of each set (concatenated, none empty) are in ``one``."""
+    mark = np.zeros(int(max(flat.max(initial=0), one.max(initial=0))) + 1, np.uint8)
+    mark[one] = 1
+    return np.add.reduceat(mark[flat], starts, dtype=np.int64)
+
+
+class Region:
+    """Sets in memory, and the components that links found so far make of them."""
+
+    def __init__(self, sets: list[np.ndarray], label: np.ndarray, num: int, den: int, side: np.ndarray | None = None):
+        self.sets, self.num, self.den = sets, num, den
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.comp = np.unique(label, return_inverse=True)[1]
+        self.side = np.full(len(sets), -1) if side is None else side
+        self.reach = (den - num) / den
+        self.links: list[tuple[int, int]] = []
+
+    def measure(self, i: int, members: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distances of members to set i; those within reach are linked to it."""
+        common = common_with(self.sets[i], flat, starts)
+        near = linked(common, self.sizes[i], self.sizes[members], self.num, self.den)
+        for j in members[near & (self.comp[members] != self.comp[i])].tolist():
+            if self.comp[i] != self.comp[j]:
+                self.comp[self.comp == self.comp[j]] = self.comp[i]
+                self.links.append((i, j))
+        return 1 - common / (self.sizes[i] + self.sizes[members] - common)
+
+    def flat(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(self.sizes[members])
+        return np.concatenate([self.sets[j] for j in members.tolist()]), ends - self.sizes[members]
+
+    def done(self, members: np.ndarray) -> bool:
+        side = self.side[members]
+        return len(members) < 2 or (self.comp[members] == self.comp[members[0]]).all() or (side[0] >= 0 and (side == side[0]).all())
+
+    def join(self, home: np.ndarray, outer: np.ndarray) -> None:
+        """Links among home members, and between home and outer ones."""
+        members = np.concatenate([home, outer])
+        if not len(home) or self.done(members):
+            return
+        if len(members) <= LEAF:
+            return self.each_a_pivot(home, members)
+        flat, starts = self.flat(members)
+        inside = np.arange(len(members)) < len(home)
+        table = np.empty((len(members), PIVOTS))
+        chosen = 0
+        for k in range(PIVOTS):  # each the home member farthest from those before
+            table[:, k] = self.measure(int(members[chosen]), members, flat, starts)
+            chosen = int(table[: len(home), : k + 1].min(1).argmax())
+        own, best = table.argmin(1), table.min(1)
+        for q in range(PIVOTS):
+            mine = inside & (own == q)
+            if not mine.any():
+                continue
+            at = table[:, q]
+            window = (at <= best + 2 * self.reach + 1e-9) & (at <= at[mine].max() + self.reach + 1e-9)
+            window &= np.where(inside, own > q, True)
+            part, others = members[mine], members[window]
+            if len(part) + len(others) > SHRINKS * len(members):
+                both = np.concatenate([part, others])
+                if not self.done(both):
+                    self.each_a_pivot(part, both)
+            else:
+                self.join(part, others)
+
+    def each_a_pivot(self, home: np.ndarray, members: np.ndarray) -> None:
+        """Every home member measured against the members after it that it may still join."""
+        for k, i in enumerate(home.tolist()):
+            rest = members[k + 1 :]
+            open_ = self.comp[rest] != self.comp[i]
+            if self.side[i] >= 0:
+                open_ &= self.side[rest] != self.side[i]
+            low, high = np.minimum(self.sizes[rest], self.sizes[i]), np.maximum(self.sizes[rest], self.sizes[i])
+            rest = rest[open_ & (self.den * low >= self.num * high)]
+            if len(rest):
+                self.measure(i, rest, *self.flat(rest))
+
+
+def join_in_memory(texts: list[bytes], home: np.ndarray, label: np.ndarray, side: np.ndarray, k: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect different labels (a spanning forest of them), exactly."""
+    region = Region(exact_sets(texts, k), label, num, den, side)
+    some = region.sizes > 0
+    region.join(np.flatnonzero(home & some), np.flatnonzero(~home & some))
+    return region.links
+
+
+ROWS = ["region", "doc", "home", "label", "side", "text"]
+
+
+def _join_regions(k: int, num: int, den: int):
+    """Over rows sorted by region: the links of each."""
+
+    def joined(held):
+        _, doc, home, label, side, texts = zip(*held)
+        found = join_in_memory([t or b"" for t in texts], np.array(home, bool), np.array(label, np.int64), np.array(side, np.int64), k, num, den)
+        return [(doc[i], doc[j]) for i, j in found]
 
     def run(batches):
-        last: dict = {}
-        for batch in (part for whole in batches for part in by_bytes(whole, 2, 1 << 18)):
-            cols = [c.to_pylist() for c in batch.columns]
-            out = []
-            for at in range(0, len(cols[0]), 64):
-                a, b, ta, tb = (c[at : at + 64] for c in cols)
-                texts = {}
-                for x, t in zip(a + b, ta + tb):
-                    texts.setdefault(x, t)
-                new = [x for x in texts if x not in last]
-                sets = {x: last[x] for x in texts if x in last}
-                sets.update(zip(new, shingle_sets([texts[x] or b"" for x in new], k)))
-                for x, y in zip(a, b):
-                    out.append((x, y, len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y])))
-                last = {b[-1]: sets[b[-1]]}
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "common", "n_a", "n_b"])
+        held, out = [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[-1][0]:
+                    out += joined(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield _pairs(out)
+                out = []
+        if held:
+            yield _pairs(joined(held))
 
     return run
 
 
-def join_in_memory(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect different labels (a spanning forest of them), exactly.
-
-    ``side`` restricts to pairs of different sides. Rarest shingles first; a set
-    and a linked larger one share one of the first ``n - ceil(t n) + 1``.
-    """
-    if not sets:
-        return []
-    sizes = np.array([len(s) for s in sets])
-    _, local = np.unique(np.concatenate(sets), return_inverse=True)
-    freq = np.bincount(local)
-    cut = np.cumsum(sizes)
-    mine = [local[c - n : c] for c, n in zip(cut, sizes)]
-    root: dict[int, int] = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    seen: dict[int, list[int]] = {}
-    mark = np.zeros(len(freq), bool)
-    out = []
-    for i in np.argsort(sizes, kind="stable").tolist():
-        n = int(sizes[i])
-        if not n:
-            continue
-        elements = mine[i][np.argsort(freq[mine[i]], kind="stable")]
-        window = elements[: n - -(-n * num // den) + 1].tolist()
-        near = set()
-        for e in window:
-            near.update(seen.get(e, ()))
-        mark[elements] = True
-        for j in sorted(near):
-            if den * sizes[j] < num * n or side is not None and side[i] == side[j] or find(int(label[i])) == find(int(label[j])):
-                continue
-            common = int(mark[mine[j]].sum())
-            if den * common >= num * (n + int(sizes[j]) - common):
-                root[find(int(label[i]))] = find(int(label[j]))
-                out.append((i, j))
-        mark[elements] = False
-        for e in window:
-            if freq[e] > 1:
-                seen.setdefault(e, []).append(i)
-    return out
+def _pairs(rows):
+    a, b = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _to_pivots(k: int, num: int, den: int):
+    """Members of a region (some of it, about REGION_BYTES) and its pivots: home, windows and links."""
+    reach = (den - num) / den
+
+    def run(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        pivots = pivots.sort_values("p_p")
+        sets = exact_sets([bytes(t) for t in [*members["text"], *pivots["p_text"]]], k)
+        own, around = sets[: len(members)], sets[len(members) :]
+        if not len(members) or not len(pivots):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in MEASURED_NAMES})
+        sizes = np.array([len(s) for s in own], np.int64)
+        flat, starts = np.concatenate(own), np.cumsum(sizes) - sizes
+        table, near = np.empty((len(own), len(around))), np.empty((len(own), len(around)), bool)
+        for j, s in enumerate(around):
+            common = common_with(s, flat, starts)
+            table[:, j] = 1 - common / (sizes + len(s) - common)
+            near[:, j] = linked(common, sizes, len(s), num, den)
+        best, nearest = table.min(1), table.argmin(1)
+        window = table <= best[:, None] + 2 * reach + 1e-9
+        home = members["home"].to_numpy(bool)
+        window &= ~home[:, None] | (np.arange(len(around))[None, :] < nearest[:, None])
+        number, label, pivot = (pivots[c].to_numpy() for c in ("p_p", "p_label", "p_doc"))
+        return pd.DataFrame(
+            {
+                "region": members["region"], "doc": members["doc"], "home": home, "label": members["label"], "bytes": members["bytes"], "parent": members["parent"],
+                "own": number[nearest], "windows": [number[w].tolist() for w in window],
+                "hits": [[(int(a), int(b)) for a, b in zip(pivot[w], label[w])] for w in near],
+            }
+        )
 
+    return run
 
-def _join_blocks(k: int, num: int, den: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_sets([bytes(t) if t is not None else b"" for t in pdf["text"]], k)
-        doc, block = pdf["doc"].to_numpy(), pdf["block"].to_numpy()
-        side = block if len(set(block.tolist())) > 1 else None
-        got = join_in_memory(sets, pdf["label"].to_numpy(), side, num, den)
-        return pd.DataFrame({"a": [doc[i] for i, _ in got], "b": [doc[j] for _, j in got]}, dtype=np.int64)
 
-    return run
+MEASURED = "region long, doc long, home boolean, label long, bytes long, parent long, own int, windows array<int>, hits array<struct<doc: long, label: long>>"
+MEASURED_NAMES = ["region", "doc", "home", "label", "bytes", "parent", "own", "windows", "hits"]
 
 
 # ---------------------------------------------------------------- the join
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with their exact distance and whether they link."""
-    a = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    out = both.mapInArrow(_check_pairs(k), "a long, b long, common long, n_a long, n_b long")
-    union = F.col("n_a") + F.col("n_b") - F.col("common")
-    return out.select("a", "b", (1 - F.col("common") / union).alias("distance"), (den * F.col("common") >= num * union).alias("links"))
+def _star_pairs(k: int, num: int, den: int):
+    """Rows (b, a, text) sorted by b, the pivot's own first (a = b): each a's distance to b."""
+
+    def run(batches):
+        pivot, text_of = None, b""
+        for batch in (part for whole in batches for part in by_bytes(whole, 2, 1 << 18)):
+            b, a, texts = (c.to_pylist() for c in batch.columns)
+            out = ([], [], [], [])
+            at = 0
+            while at < len(b):
+                stop = bisect.bisect_right(b, b[at], at)
+                if b[at] != pivot:
+                    pivot, text_of = b[at], texts[at] or b""
+                mine = [i for i in range(at, stop) if a[i] != pivot]
+                if mine:
+                    one, *others = exact_sets([text_of, *((texts[i] or b"") for i in mine)], k)
+                    sizes = np.array([len(s) for s in others], np.int64)
+                    common = common_with(one, np.concatenate(others), np.cumsum(sizes) - sizes)
+                    out[0].extend(a[i] for i in mine)
+                    out[1].extend([pivot] * len(mine))
+                    out[2].extend(linked(common, sizes, len(one), num, den).tolist())
+                at = stop
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "links"])
+
+    return run
+
+
+def _star_links(stars: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b) of stars (a to its pivot b) that link. The rays of a pivot of many are dealt to several tasks, each with the pivot's text."""
+    rays = stars.join(texts.select(F.col("doc").alias("a"), "bytes"), "a")
+    crowded = rays.groupBy("b").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > REGION_BYTES)
+    crowded = crowded.select("b", F.ceil(F.col("bytes") / REGION_BYTES).cast("int").alias("parts"))
+    crowded = small_side(materialize(crowded, "jaccard-crowded"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = stars.join(crowded, "b", "left").select("b", "a", F.pmod(F.xxhash64("a"), parts).cast("int").alias("salt"))
+    pivots = stars.select("b").distinct().join(crowded, "b", "left")
+    pivots = pivots.select("b", F.col("b").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    rows = dealt.unionByName(pivots).join(texts.select(F.col("doc").alias("a"), "text"), "a")
+    # a pivot's own row comes first
+    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", (F.col("a") != F.col("b")), "a").select("b", "a", "text")
+    return rows.mapInArrow(_star_pairs(k, num, den), "a long, b long, links boolean").filter("links").select("a", "b")
 
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -375,8 +530,26 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _contested(members: DataFrame) -> DataFrame:
+    """Members of cells that hold several labels, with the cell's size; cells of many members never meet in one task."""
     cells = members.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
-    return members.join(cells.filter("lo < hi").select("cell", "members"), "cell")
+    cells = materialize(cells.filter("lo < hi").select("cell", "members"), "jaccard-contested")
+    heavy = small_side(materialize(members.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > HEAVY).select("cell"), "jaccard-heavy"))
+    large = small_side(cells.filter(F.col("members") > HEAVY))
+    light = members.join(heavy, "cell", "left_anti").join(cells.filter(F.col("members") <= HEAVY), "cell")
+    return light.unionByName(members.join(large, "cell").select(*light.columns))
+
+
+def _needed(contested: DataFrame, named: DataFrame) -> DataFrame:
+    """Each document's rarest contested cells, as many as exactness needs.
+
+    A linked document of another label shares ``need`` of them or more, so one
+    with fewer has no link left to find: a passage that many texts quote gives
+    each of them a few cells, which is not enough.
+    """
+    needs = named.filter("doc = rep").groupBy("doc").agg(F.min("need").alias("need"))
+    has = contested.groupBy("doc", "label").agg(F.sort_array(F.collect_list(F.struct("members", "cell"))).alias("cells")).join(needs, "doc")
+    first = F.slice("cells", 1, F.size("cells") - F.col("need").cast("int") + 1)
+    return has.filter(F.size("cells") >= F.col("need")).select(F.explode(first).alias("c"), "doc", "label").select("c.cell", "doc", "label")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, passes: int = 1) -> DataFrame:
@@ -388,6 +561,26 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    key = F.coalesce("doc_id", F.lit(_NO_ID))
+    if not rows.groupBy(key.alias("doc")).count().filter("count > 1").limit(1).count():
+        found = _components_of(rows.select(key.alias("doc"), "text"), shingle, num, den, passes)
+    else:
+        # every row a node of its own; nodes of one id belong together
+        nodes = materialize(rows.select(key.alias("id"), F.monotonically_increasing_id().alias("doc"), "text"), "jaccard-rows")
+        of = _components_of(nodes.select("doc", "text"), shingle, num, den, passes).join(nodes.select("doc", "id"), "doc")
+        of = materialize(of, "jaccard-nodes")
+        firsts = of.groupBy("id").agg(F.min("component").alias("b"))
+        ties = of.join(firsts, "id").select(F.col("component").alias("a"), "b").filter("a <> b").distinct()
+        of = of.join(components(ties).withColumnRenamed("node", "component"), "component", "left").withColumn("root", F.coalesce("root", "component"))
+        least = of.groupBy("root").agg(F.min("id").alias("component"))
+        found = of.drop("component", "doc").join(least, "root").withColumnRenamed("id", "doc")
+    ids = [F.when(F.col(c) != _NO_ID, F.col(c)) for c in ("doc", "component")]
+    return found.select(ids[0].alias("doc_id"), F.col("n").alias("n_shingles"), ids[1].alias("component_id"))
+
+
+def _components_of(rows: DataFrame, shingle: int, num: int, den: int, passes: int) -> DataFrame:
+    """doc, n, component of rows (doc, text), no doc twice."""
+    spark = rows.sparkSession
     settled = None
     for nth in range(passes):
         shingled = rows.mapInArrow(_shingled(shingle, num, den, passes, nth), SHIPPED)
@@ -399,7 +592,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     every = settled.filter("kind = 0").select("doc", "n", "h1", "h2", "need")
     classes = every.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
     named = materialize(every.join(classes, ["h1", "h2"], "left").select("doc", "n", "need", F.coalesce("rep", "doc").alias("rep")), "jaccard-sets")
-    rep_of = named.filter("doc <> rep").select("doc", "rep").distinct()
+    rep_of = named.filter("doc <> rep").select("doc", "rep")
     members = settled.filter("kind = 1").select("cell", "doc", F.col("n").alias("first"))
     for column in ("doc", "first"):
         other = rep_of.select(F.col("doc").alias(column), F.col("rep").alias("r"))
@@ -407,85 +600,90 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     members = materialize(members.distinct(), "jaccard-members")
 
     involved = members.select("doc").union(members.select("first")).distinct()
-    keyed = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
-    texts = materialize(keyed.join(involved, "doc").dropDuplicates(["doc"]), "jaccard-texts")
+    texts = materialize(rows.join(involved, "doc").select("doc", "text", F.length("text").cast("long").alias("bytes")), "jaccard-texts")
     release_shuffles(spark)
 
-    # each document's nearest pivot, by the cells they share; where that is far, the cells stay open
+    # each document's first pivot, by the cells they share; where that is far, the cells stay open
     shared = members.filter("doc <> first").groupBy("doc", "first").agg(F.count(F.lit(1)).alias("cells"))
     nearest = shared.groupBy("doc").agg(F.max_by("first", F.struct("cells", (-F.col("first")).alias("low"))).alias("first"))
-    stars = nearest.select(F.greatest("doc", "first").alias("a"), F.least("doc", "first").alias("b")).distinct()
-    near = materialize(_checked(stars, texts, shingle, num, den), "jaccard-near")
-    links = near.filter("links").select("a", "b")
+    stars = materialize(nearest.select(F.greatest("doc", "first").alias("a"), F.least("doc", "first").alias("b")).distinct(), "jaccard-stars")
+    links = materialize(_star_links(stars, texts, shingle, num, den), "jaccard-near")
     roots = materialize(components(links), "jaccard-roots")
     release_shuffles(spark)
 
-    # cells whose members lie in several regions
-    open_cells = materialize(_contested(_labelled(members.select("cell", "doc"), roots)), "jaccard-open")
-    small = open_cells.filter(F.col("members") <= SMALL)
-    left = small.select("cell", F.col("doc").alias("a"), F.col("label").alias("la"))
-    right = small.select("cell", F.col("doc").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "cell").filter("a > b AND la <> lb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cells"))
-    pairs = pairs.join(near.select("a", "b"), ["a", "b"], "left_anti")
-    crowded = open_cells.filter(F.col("members") > SMALL).groupBy("doc").agg(F.count(F.lit(1)).alias("large"))
-    pairs = materialize(_within_reach(pairs, near, named, crowded, num, den), "jaccard-pairs")
-    more = _checked(pairs, texts, shingle, num, den).filter("links").select("a", "b")
-    links = materialize(links.unionByName(more), "jaccard-links")
-
-    large = open_cells.filter(F.col("members") > SMALL)
-    if large.limit(1).count():
-        roots = materialize(components(links), "jaccard-roots")
-        links = links.unionByName(_region_links(_dense(large.select("cell", "doc"), named), roots, texts, shingle, num, den))
-    roots = components(links) if links.limit(1).count() else spark.createDataFrame([], "node long, root long")
+    needed = materialize(_needed(_contested(_labelled(members.select("cell", "doc"), roots)), named), "jaccard-needed")
+    needed = materialize(_contested(needed), "jaccard-open")
+    if needed.limit(1).count():
+        links = links.unionByName(_region_links(needed, texts, shingle, num, den))
+        roots = components(links)
     release_shuffles(spark)
-    found = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("root", "rep"))
-    ids = [F.when(F.col(c) != _NO_ID, F.col(c)) for c in ("doc", "component")]
-    return found.select(ids[0].alias("doc_id"), F.col("n").alias("n_shingles"), ids[1].alias("component_id"))
-
-
-def _within_reach(pairs: DataFrame, near: DataFrame, named: DataFrame, crowded: DataFrame, num: int, den: int) -> DataFrame:
-    """Drop pairs that cannot link: by their sizes, by sharing fewer cells than linked sets must
-    (large cells count as shared), or by the triangle inequality over a pivot both measured."""
-    sizes = named.filter("doc = rep").groupBy("doc").agg(F.max("n").alias("n"), F.min("need").alias("need"))
-    pivot = near.select("a", F.struct("distance", "b").alias("p"))
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("need").alias(f"need_{side}")), side)
-        pairs = pairs.join(pivot.groupBy(F.col("a").alias(side)).agg(F.min("p").alias(f"p_{side}")), side, "left")
-    pairs = pairs.join(crowded.withColumnRenamed("doc", "a"), "a", "left")
-    need = F.greatest("need_a", "need_b")
-    far = (F.col("p_a.b") == F.col("p_b.b")) & (F.abs(F.col("p_a.distance") - F.col("p_b.distance")) > (den - num) / den + 1e-9)
-    fits = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (F.col("cells") + F.coalesce("large", F.lit(0)) >= need) & ~F.coalesce(far, F.lit(False))
-    return pairs.filter(fits).select("a", "b")
-
-
-def _dense(large: DataFrame, named: DataFrame) -> DataFrame:
-    """Members of large cells that may link through large cells alone, in as few of them as needed.
-
-    Such a set has as many large cells as it must share, else it is left out: a
-    passage that many texts quote gives each of them a few, which is not
-    enough. Of k cells, two sets that share s or more meet in the first
-    k - s + 1 of each in any fixed order.
-    """
-    needs = named.filter("doc = rep").groupBy("doc").agg(F.min("need").alias("need"))
-    has = large.groupBy("doc").agg(F.sort_array(F.collect_list("cell")).alias("cells")).join(needs, "doc")
-    first = F.slice("cells", 1, F.size("cells") - F.col("need").cast("int") + 1)
-    return materialize(has.filter(F.size("cells") >= F.col("need")).select(F.explode(first).alias("cell"), "doc"), "jaccard-dense")
-
-
-def _region_links(members: DataFrame, roots: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links between components within the regions that large cells make up, in blocks of bounded size."""
-    labelled = _contested(_labelled(members, roots)).select("cell", "doc", "label")
-    firsts = labelled.groupBy("cell").agg(F.min("doc").alias("b"))
-    regions = components(labelled.join(firsts, "cell").select(F.col("doc").alias("a"), "b").filter("a <> b").distinct())
-    of = regions.select(F.col("node").alias("doc"), F.col("root").alias("region"))
-    sizes = of.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / REGION_BLOCK).cast("int").alias("blocks"))
-    dealt = of.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(labelled.select("doc", "label").distinct(), "doc").join(texts, "doc")
-    # each block meets itself and every other block of its region once
+    return named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("root", "rep").alias("component"))
+
+
+def _region_links(needed: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between labels within the regions that shared cells make up."""
+    spark = needed.sparkSession
+    firsts = needed.groupBy("cell").agg(F.min("doc").alias("b"))
+    edges = needed.join(firsts, "cell").select(F.col("doc").alias("a"), "b").filter("a <> b").distinct()
+    region = components(edges).select(F.col("node").alias("doc"), F.col("root").alias("region"))
+    state = needed.select("doc", "label").distinct().join(region, "doc").join(texts.select("doc", "bytes"), "doc")
+    state = materialize(state.select("region", "doc", F.lit(True).alias("home"), "label", "bytes", F.lit(1 << 62).alias("parent")), "jaccard-regions")
+    found: list[DataFrame] = []
+    while True:
+        sums = state.groupBy("region").agg(F.sum("bytes").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("parent").alias("parent"), F.max("home").alias("any_home"))
+        sums = materialize(sums.filter("lo < hi AND any_home").select("region", "size", (F.col("size") > SHRINKS * F.col("parent")).alias("stuck")), "jaccard-sizes")
+        small = state.join(sums.filter(F.col("size") <= REGION_BYTES), "region").withColumn("side", F.lit(-1))
+        large = small_side(sums.filter(F.col("size") > REGION_BYTES))
+        big = state.join(large, "region")
+        blocks = _in_blocks(big.filter("stuck"))
+        found.append(materialize(_joined(small.select(*ROWS[:-1]).unionByName(blocks), texts, k, num, den), "jaccard-found"))
+        big = big.filter("NOT stuck")
+        if not big.limit(1).count():
+            break
+        measured = materialize(_measured(big, texts, k, num, den), "jaccard-measured")
+        hits = measured.select(F.col("doc").alias("a"), "label", F.explode("hits").alias("h"))
+        found.append(materialize(hits.select("a", F.col("h.doc").alias("b")), "jaccard-found"))
+        merged = components(hits.select(F.col("label").alias("a"), F.col("h.label").alias("b")).filter("a <> b").distinct())
+        merged = small_side(materialize(merged.withColumnRenamed("node", "label"), "jaccard-merged"))
+        parts = F.array_union(F.transform("windows", lambda q: F.struct(q.alias("q"), F.lit(False).alias("home"))), F.when(F.col("home"), F.array(F.struct(F.col("own").alias("q"), F.lit(True).alias("home")))).otherwise(F.array()))
+        state = measured.select("region", "doc", "label", "bytes", "parent", F.explode(parts).alias("p"))
+        state = state.join(merged, "label", "left").select(
+            F.xxhash64("region", "p.q").alias("region"), "doc", F.col("p.home").alias("home"), F.coalesce("root", "label").alias("label"), "bytes", "parent"
+        )
+        state = materialize(state, "jaccard-regions")
+        release_shuffles(spark)
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links.filter("a <> b")
+
+
+def _joined(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    rows = rows.join(texts.select("doc", "text"), "doc").select(*ROWS)
+    return rows.repartition("region").sortWithinPartitions("region", "doc").mapInArrow(_join_regions(k, num, den), "a long, b long")
+
+
+def _measured(big: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Members of large regions with their nearest pivot, windows and links; each task has about REGION_BYTES of one region."""
+    parts = F.ceil(F.col("size") / REGION_BYTES).cast("int")
+    chosen = big.filter("home").groupBy("region", parts.alias("parts")).agg(
+        F.array_distinct(F.array(*[F.min_by(F.struct("doc", "label"), F.xxhash64("doc", F.lit(i))) for i in range(PIVOTS)])).alias("pivots")
+    )
+    pivots = chosen.select("region", "parts", F.posexplode("pivots").alias("p", "v")).select("region", "p", "v.doc", "v.label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    pivots = pivots.join(texts.select("doc", "text"), "doc")
+    pivots = pivots.select(*[F.col(c).alias(f"p_{c}") for c in ("region", "salt", "p", "doc", "label", "text")])
+    members = big.withColumn("salt", F.pmod(F.xxhash64("doc"), parts).cast("int")).withColumn("parent", F.col("size"))
+    members = members.select("region", "salt", "doc", "home", "label", "bytes", "parent").join(texts.select("doc", "text"), "doc")
+    return members.groupBy("region", "salt").cogroup(pivots.groupBy("p_region", "p_salt")).applyInPandas(_to_pivots(k, num, den), MEASURED)
+
+
+def _in_blocks(stuck: DataFrame) -> DataFrame:
+    """Regions that pivots leave whole, as pairs of blocks of bounded bytes."""
+    dealt = stuck.withColumn("blocks", F.ceil(F.col("size") * 2 / REGION_BYTES).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("region", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "label", "block", "text")
-    found = met.groupBy("region", "lo", "hi").applyInPandas(_join_blocks(k, num, den), "a long, b long")
-    return materialize(found, "jaccard-regions")
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(lo == hi, -1).when(F.col("block") == lo, 0).otherwise(1)
+    return met.select(F.xxhash64("region", lo, hi).alias("region"), "doc", "home", "label", side.alias("side"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, passes: int = 1) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -33,14 +34,83 @@ def brute(rows, k, num, den):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("k, num, den, small, block", [(4, 85, 100, 32, 2000), (5, 80, 100, 3, 4)])
-def test_against_brute_force(table, corpus, monkeypatch, k, num, den, small, block):
-    monkeypatch.setattr(m, "SMALL", small)
-    monkeypatch.setattr(m, "REGION_BLOCK", block)
+@pytest.mark.parametrize("k, num, den, region, leaf, heavy", [(4, 85, 100, 1 << 22, 32, 1000), (5, 80, 100, 2000, 3, 2)])
+def test_against_brute_force(table, corpus, monkeypatch, k, num, den, region, leaf, heavy):
+    for name, value in (("REGION_BYTES", region), ("LEAF", leaf), ("HEAVY", heavy)):
+        monkeypatch.setattr(m, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in m.jaccard_components(table(corpus), k, num, den).collect()}
     assert got == brute(corpus, k, num, den)
 
 
+def families(seed, count, members):
+    """Texts around bases, so that links lie inside families and chain past the pivots' reach."""
+    rnd = random.Random(seed)
+    rows = []
+    for _ in range(count):
+        base = [f"w{rnd.randrange(500)}" for _ in range(rnd.randint(30, 90))]
+        for _ in range(rnd.randint(1, members)):
+            t = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3, 5])):
+                t[rnd.randrange(len(t))] = f"v{rnd.randrange(500)}"
+            rows.append(" ".join(t))
+    return [(i + 1, t) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("leaf", [2, 8, 64])
+def test_regions_in_memory_find_every_link(monkeypatch, leaf):
+    monkeypatch.setattr(m, "LEAF", leaf)
+    rnd = random.Random(leaf)
+    for seed in range(8):
+        texts = [t for _, t in families(seed, 12, 20)]
+        n = len(texts)
+        home = np.array([rnd.random() < 0.7 for _ in range(n)])
+        side = np.full(n, -1) if seed % 2 else np.array([rnd.randrange(2) for _ in range(n)])
+        got = m.join_in_memory([t.encode() for t in texts], home, np.arange(n), side, 4, 85, 100)
+        sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(words, texts)]
+        link = lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+        assert all(link(i, j) for i, j in got)
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in got:
+            root[find(i)] = find(j)
+        assert all(find(i) == find(j) for i in range(n) for j in range(i) if (home[i] or home[j]) and (side[i] < 0 or side[i] != side[j]) and link(i, j))
+
+
+@pytest.mark.parametrize("region", [3000])
+def test_large_regions_part_by_pivots_and_blocks(table, monkeypatch, region):
+    monkeypatch.setattr(m, "REGION_BYTES", region)
+    monkeypatch.setattr(m, "LEAF", 4)
+    rows = families(5, 10, 40)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in m.jaccard_components(table(rows)).collect()}
+    assert got == brute(rows, 4, 85, 100)
+
+
+def test_words_that_polynomial_hashes_confuse(table):
+    even = [bin(i).count("1") % 2 for i in range(1024)]
+    word, other = "".join("ab"[e] for e in even), "".join("ba"[e] for e in even)
+    got = {r["doc_id"]: r["component_id"] for r in m.jaccard_components(table([(1, word), (2, other), (3, f"{word} {other} x y z"), (4, f"{other} {word} x y z")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_rows_that_repeat_an_id_link_by_each_of_their_texts(table):
+    a, b, c = ("one two three four five six", "red green blue grey pink gold", "north south east west up down")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in m.jaccard_components(table([(1, a), (5, a), (5, b), (7, b.upper()), (8, c), (8, c), (9, "")])).collect())
+    assert got == [(1, 3, 1), (5, 3, 1), (5, 3, 1), (7, 3, 1), (8, 3, 8), (8, 3, 8), (9, 0, 9)]
+
+
+def test_very_long_texts(table):
+    rnd = random.Random(2)
+    long = [f"w{rnd.randrange(40000)}" for _ in range(60000)]
+    near = [w if i % 400 else "changed" for i, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:40000])), (4, "x" * 300000), (5, "x" * 300000 + "y")]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in m.jaccard_components(table(rows)).collect()} == brute(rows, 4, 85, 100)
+
+
 def test_linked_sets_always_share_the_cells_they_need():
     rng = np.random.default_rng(5)
     cells = m.Cells(85, 100)
