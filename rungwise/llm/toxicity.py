@@ -8,8 +8,10 @@ the learned log-odds of its entry at its edit distance; words around the hit
 and quotation marks add a learned context score that tells quoting from
 abuse. A logistic model over a document's hits gives the score.
 
-Training reads at most ``TRAIN_ROWS`` labelled rows of each class, chosen by a
-hash of the id, and ``TRAIN_CHARS`` characters of each; everything else reads whole texts of all documents.
+Training reads the whole texts of at most ``TRAIN_ROWS`` labelled rows of each
+class, chosen by a hash of the id. It counts in the workers: the driver gets
+counts of the terms that may enter the lexicon, of the words around hits, and
+one short row of features per document, never a text.
 
 Defined results: null and empty texts score as texts without hits; labels
 that are null are no labels, of repeated ones the largest counts; without any
@@ -23,20 +25,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm._shared import bounded_batches, by_bytes, documents, pick
+from rungwise.llm._shared import bounded_batches, by_bytes, documents, materialize, pick
 
 THRESHOLD = 0.7
 #: Labelled rows of each class that training reads at most.
 TRAIN_ROWS = 3000
-#: Characters of each that it reads at most.
-TRAIN_CHARS = 200_000
-LEXICON = 2000
 WINDOW = 5
 WORDS = re.compile(r"[^\W_]+")
 QUOTES = re.compile("[\"«»“”„‹›]")
@@ -111,6 +111,7 @@ class Automaton:
             if after is None:
                 if len(self.moves) > 200_000:
                     self.moves.clear()
+                    self.ends.clear()
                 after = self.moves[key] = self._move(state, c)
             state = after
             if not state:
@@ -214,77 +215,90 @@ def _log_odds(toxic: int, clean: int, n_toxic: int, n_clean: int, prior: float =
     return math.log((toxic + prior) / (n_toxic + 1)) - math.log((clean + prior) / (n_clean + 1))
 
 
-def lexicon(texts: list[str], labels: list[int], size: int = LEXICON) -> list[tuple[str, bool]]:
-    """Terms and stems (prefixes of several words) that mark toxic texts, those of most documents first."""
-    n = Counter(labels)
-    terms: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    stems: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+#: Different endings of a stem that are counted.
+ENDINGS = 6
+
+
+def term_counts(texts: list[str], labels: list[int]) -> list[tuple]:
+    """(kind, term, clean texts, toxic texts, some endings) of words (kind False) and of their prefixes."""
+    counts: dict[tuple[bool, str], list[int]] = defaultdict(lambda: [0, 0])
     endings: dict[str, set] = defaultdict(set)
     for text, y in zip(texts, labels):
         words = set(WORDS.findall(text.lower()))
         for w in words:
-            terms[w][y] += 1
+            counts[False, w][y] += 1
+            for k in range(4, min(len(w), 8)) if y else ():
+                if len(endings[w[:k]]) < ENDINGS:
+                    endings[w[:k]].add(w[k:])
         for p in {w[:k] for w in words for k in range(4, min(len(w), 8))}:
-            stems[p][y] += 1
-        if y:
-            for w in words:
-                for k in range(4, min(len(w), 8)):
-                    if len(endings[w[:k]]) < 12:
-                        endings[w[:k]].add(w[k:])
+            counts[True, p][y] += 1
+    return [(kind, term, c, t, sorted(endings[term]) if kind and t else []) for (kind, term), (c, t) in counts.items()]
+
+
+def least_texts(toxic: int) -> int:
+    """Toxic texts of the sample that a term of the lexicon is in at least."""
+    return max(3, toxic // 100)
+
+
+def lexicon(counts: list[tuple], n: dict[int, int]) -> list[tuple[str, bool]]:
+    """Terms and stems (prefixes of several words) that mark toxic texts, those of most documents first."""
     found = []
-    least = max(3, n[1] // 100)
-    for kind, table in ((False, terms), (True, stems)):
-        for term, (clean, toxic) in table.items():
-            if toxic < least or kind and len(endings[term]) < 6:
-                continue
-            odds = _log_odds(toxic, clean, n[1], n[0])
-            if odds > 3 and toxic / n[1] > 20 * (clean + 0.01) / n[0]:
-                found.append((-toxic * odds, -len(term), term, kind))
+    for kind, term, clean, toxic, endings in counts:
+        if toxic < least_texts(n[1]) or kind and len(endings) < ENDINGS:
+            continue
+        odds = _log_odds(toxic, clean, n[1], n[0])
+        if odds > 3 and toxic / n[1] > 20 * (clean + 0.01) / n[0]:
+            found.append((-toxic * odds, -len(term), term, kind))
     out: list[tuple[str, bool]] = []
     chosen: set[str] = set()
     for _, _, term, kind in sorted(found):
-        covered = any(term[:k] in chosen for k in range(4, len(term)))
-        if not covered and len(out) < size:
+        if not any(term[:k] in chosen for k in range(4, len(term))):
             out.append((term, kind))
             if kind:
                 chosen.add(term)
     return out
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 30, odds: float | None = None) -> Model:
-    """Learn everything from labelled texts; ``odds`` of toxic to clean, if the texts were chosen by class."""
-    model = Model()
-    distinct = sorted(set(zip(texts, labels)))
-    texts, labels = [t for t, _ in distinct], [y for _, y in distinct]
-    n = Counter(labels)
-    if not n[0] or not n[1]:
-        return model
-    model.entries = lexicon(texts, labels)
-    seen: dict[tuple[int, bool], list[int]] = defaultdict(lambda: [0, 0])
-    near: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    total = [0, 0]
+def hit_counts(model: Model, texts: list[str], labels: list[int]) -> list[tuple]:
+    """(what, key, clean, toxic): texts with a hit of an entry, exact or edited; hits with a word around; hits."""
+    counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
     for text, y in zip(texts, labels):
         found, words = model.hits(text)
-        for key in {(e, d > 0) for _, e, d in found}:
-            seen[key][y] += 1
+        for e, edited in {(e, d > 0) for _, e, d in found}:
+            counts["entry", f"{e}:{int(edited)}"][y] += 1
         for i, _, _ in found:
-            total[y] += 1
+            counts["hits", ""][y] += 1
             for w in set(words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]):
-                near[w][y] += 1
+                counts["near", w][y] += 1
+    return [(what, key, c, t) for (what, key), (c, t) in counts.items()]
+
+
+def weigh(model: Model, counts: list[tuple], n: dict[int, int]) -> None:
+    """Weights of hits and of the words around them."""
+    got = {(what, key): (c, t) for what, key, c, t in counts}
     for k in range(len(model.entries)):
-        exact = _log_odds(seen[k, False][1], seen[k, False][0], n[1], n[0])
-        model.weight[k, False] = exact
+        clean, toxic = got.get(("entry", f"{k}:0"), (0, 0))
+        exact = model.weight[k, False] = _log_odds(toxic, clean, n[1], n[0])
         # a misspelling leans on the entry itself until it has been seen often enough
-        toxic, clean = seen[k, True][1], seen[k, True][0]
+        clean, toxic = got.get(("entry", f"{k}:1"), (0, 0))
         trust = (toxic + clean) / (toxic + clean + 3)
         model.weight[k, True] = trust * _log_odds(toxic, clean, n[1], n[0]) + (1 - trust) * 0.6 * exact
     # context: words around hits in clean against toxic texts, only where clean hits exist
+    total = got.get(("hits", ""), (0, 0))
     if total[0] >= 5:
-        for w, (clean, toxic) in near.items():
-            if clean + toxic >= 5:
+        for (what, w), (clean, toxic) in got.items():
+            if what == "near" and clean + toxic >= LEAST_NEAR:
                 model.context[w] = 0.5 * _log_odds(toxic, clean, total[1], total[0], 2.0)
-    x = np.array([model.features(t) for t in texts])
-    y = np.array(labels, float)
+
+
+#: Hits that a word stands around at least before it has a weight.
+LEAST_NEAR = 5
+
+
+def regress(model: Model, rows: list[tuple[list[float], int]], odds: float | None = None, rounds: int = 30) -> None:
+    """Logistic weights from (features, label); ``odds`` of toxic to clean, if the rows were chosen by class."""
+    rows = sorted(rows)  # the sums are the same in any order of rows
+    x, y = np.array([f for f, _ in rows]), np.array([y for _, y in rows], float)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     beta = np.zeros(z.shape[1])
@@ -299,8 +313,20 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, odds: float | Non
             break
     model.beta, model.bias = beta[:-1], float(beta[-1])
     if odds:
-        model.bias += math.log(odds) - math.log(n[1] / n[0])
+        model.bias += math.log(odds) - math.log(y.sum() / (len(y) - y.sum()))
     model.fitted = True
+
+
+def fit(texts: list[str], labels: list[int], odds: float | None = None) -> Model:
+    """A model of labelled texts in memory."""
+    model = Model()
+    distinct = sorted(set(zip(texts, labels)))
+    texts, labels = [t for t, _ in distinct], [y for _, y in distinct]
+    n = Counter(labels)
+    if n[0] and n[1]:
+        model.entries = lexicon(term_counts(texts, labels), n)
+        weigh(model, hit_counts(model, texts, labels), n)
+        regress(model, [(model.features(t).tolist(), y) for t, y in distinct], odds)
     return model
 
 
@@ -313,6 +339,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """A model from at most ``most`` rows of each class that are not held out."""
+    bounded_batches(docs.sparkSession)
     named = pick(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     counts = dict(named.groupBy(F.col("toxic").cast("int")).count().filter("count > 0").collect())
@@ -322,10 +349,52 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     for kind in (0, 1):
         some = named.filter(F.col("toxic").cast("int") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    one = rows.groupBy("doc_id").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text"), F.max("toxic").cast("int").alias("toxic"))
-    got = sorted(one.collect(), key=lambda r: r["doc_id"])  # at most twice ``most`` rows
-    return fit([r["text"] or "" for r in got], [r["toxic"] for r in got], odds=counts[1] / counts[0])
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most twice ``most`` ids
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = rows.select(text.alias("text"), F.col("toxic").cast("int").alias("toxic")).withColumn("of", F.sha2(F.col("text").cast("binary"), 256))
+    sample = rows.repartition("of").dropDuplicates(["of", "toxic"]).select("text", "toxic")
+    sample = materialize(sample, "toxic-sample")
+    n = {0: 0, 1: 0} | dict(sample.groupBy("toxic").count().collect())
+    model = Model()
+    if not n[0] or not n[1]:
+        return model
+    terms = sample.mapInArrow(_counted(term_counts, TERMS), TERMS).groupBy("kind", "term").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("endings")))).alias("endings")
+    )
+    terms = terms.filter((F.col("toxic") >= least_texts(n[1])) & (F.col("toxic") / n[1] > 20 * (F.col("clean") + 0.01) / n[0]))
+    terms = terms.filter(~F.col("kind") | (F.size("endings") >= ENDINGS))
+    model.entries = lexicon([tuple(r) for r in terms.collect()], n)
+    hits = sample.mapInArrow(_counted(partial(hit_counts, model), HITS), HITS).groupBy("what", "key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    weigh(model, [tuple(r) for r in hits.filter((F.col("what") != "near") | (F.col("clean") + F.col("toxic") >= LEAST_NEAR)).collect()], n)
+    made = sample.mapInArrow(_counted(partial(_features, model), FEATURES), FEATURES).collect()
+    regress(model, [(r["features"], r["toxic"]) for r in made], counts[1] / counts[0])
+    return model
+
+
+TERMS = "kind boolean, term string, clean long, toxic long, endings array<string>"
+HITS = "what string, key string, clean long, toxic long"
+FEATURES = "features array<double>, toxic int"
+
+
+def _features(model: Model, texts: list[str], labels: list[int]) -> list[tuple]:
+    return [(model.features(t).tolist(), y) for t, y in zip(texts, labels)]
+
+
+def _counted(rows_of, schema: str):
+    """Rows that a function makes of each batch of (text, toxic), of about a megabyte."""
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    kinds = [
+        {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}[f.split(" ")[1]]
+        for f in schema.split(", ")
+    ]
+
+    def run(batches):
+        for whole in batches:
+            for batch in by_bytes(whole, 0, 1 << 20):
+                cols = list(zip(*rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist()))) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
