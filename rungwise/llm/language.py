@@ -8,11 +8,15 @@ score per language is the mean over its words. Training maximises the
 likelihood of word sequences, pieces of different documents joined so that
 transitions between languages are seen.
 
-Training reads at most ``TRAIN_DOCS`` documents, chosen by a hash of the id,
-and of each at most ``TRAIN_WORDS`` words; predictions read whole texts.
+Training samples at most about ``TRAIN_DOCS`` documents of each language by a
+hash of the id, and of each whole text ``TRAIN_PIECES`` runs of ``PIECE`` words
+by a hash of the run's words; the workers cut them out, so the driver never
+gets a text. Words of more than ``WORD_LETTERS`` letters are not learned from.
+Predictions read whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
-0; so is everything if no document is labelled; repeated rows come out alike;
+0; so is everything if no document is labelled; of languages of equal score
+the first in order of name is predicted; repeated rows come out alike;
 a null id is carried and counts as held out from training; an empty table
 gives an empty result; other columns are never read.
 """
@@ -20,16 +24,20 @@ gives an empty result; other columns are never read.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm._shared import bounded_batches, by_bytes, documents, pick
+from rungwise.llm._shared import bounded_batches, by_bytes, documents, materialize, pick, small_side
 
-TRAIN_DOCS = 2000
-TRAIN_WORDS = 120
+#: Documents of each language that training samples, runs of words of each, words of a run, letters of a word.
+TRAIN_DOCS = 500
+TRAIN_PIECES = 6
+PIECE = 20
+WORD_LETTERS = 100
 BUCKETS = 1 << 16
 SEGMENT = 64
 WORDS = re.compile(r"[^\W\d_]+")
@@ -161,18 +169,22 @@ def marginals(e: np.ndarray, lengths: np.ndarray, step: np.ndarray, segment: int
     return both[there]
 
 
-def train_field(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 3) -> Field | None:
+def sampled_pieces(text: str, most: int = TRAIN_PIECES) -> list[list[str]]:
+    """Runs of words of a text, those of least hash."""
+    words = [w for w in WORDS.findall(text.lower()) if len(w) <= WORD_LETTERS]
+    runs = [words[at : at + PIECE] for at in range(0, len(words), PIECE)]
+    keyed = sorted((zlib.crc32(" ".join(r).encode("utf-8", "surrogatepass")), k) for k, r in enumerate(runs))[:most]
+    return [runs[k] for _, k in sorted(keyed, key=lambda x: x[1])]
+
+
+def train_field(samples: list[tuple[list[list[str]], str]], epochs: int = 6, rate: float = 0.5, seed: int = 3) -> Field | None:
     """Learn a field by Adagrad on pieces of documents joined into sequences."""
-    labels = sorted(set(langs))
+    labels = sorted({lang for _, lang in samples})
     if not labels:
         return None
     field = Field(labels)
     rng = np.random.default_rng(seed)
-    pieces = []
-    for text, lang in zip(texts, langs):
-        words = WORDS.findall(text.lower())[:TRAIN_WORDS]
-        for at in range(0, len(words), 20):
-            pieces.append((words[at : at + 20], labels.index(lang)))
+    pieces = [(words, labels.index(lang)) for runs, lang in samples for words in runs]
     emit = np.zeros((BUCKETS, len(labels)))
     squares, step_squares = np.full(emit.shape, 1e-8), np.full(field.step.shape, 1e-8)
     for _ in range(epochs):
@@ -219,13 +231,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Field | None:
+    """A field from about ``most`` documents of each language, those of least hash among the ones not held out."""
+    bounded_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    joined = rows.join(F.broadcast(chosen.distinct()), "doc_id").withColumn("text", F.substring("text", 1, 40 * TRAIN_WORDS))
-    one = joined.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "t.text", "t.lang")
-    got = sorted(one.collect(), key=lambda r: r["doc_id"])  # at most ``most`` rows
-    return train_field([r["text"] for r in got], [r["lang"] for r in got])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    # of each language the share that leaves about ``most``; a few more, never many fewer
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(most + 4 * most**0.5) / F.count(F.lit(1))).alias("share"))
+    chosen = rows.join(small_side(materialize(shares, "lang-shares"), 10_000), "lang").filter(place < F.col("share"))
+
+    def run(batches):
+        for whole in batches:
+            for batch in by_bytes(whole, 2, 1 << 20):
+                runs = [sampled_pieces(t) for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.list_(pa.string())))], names=["doc_id", "lang", "runs"])
+
+    samples = chosen.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, runs array<array<string>>")
+    one = samples.groupBy("doc_id").agg(F.min(F.struct("lang", "runs")).alias("s"))  # of rows that repeat an id one
+    got = sorted(one.collect(), key=lambda r: r["doc_id"])  # ``most`` documents a language, TRAIN_PIECES * PIECE words each
+    return train_field([(r["s"]["runs"], r["s"]["lang"]) for r in got])
 
 
 def _words(text: str) -> list[str]:
