@@ -7,21 +7,24 @@ earlier: in a document of smaller id, or earlier in the same document.
    one of its q-grams: the one of least hash, leftmost on ties, so equal
    windows always meet. Neighbouring windows share that gram and travel as one
    run ``(bucket, run hash, document, place)`` instead of byte by byte.
-2. Whole runs. Of runs with equal bucket and run hash (128 bits together) all
-   but the earliest are repeats. A bucket left with one run is finished.
+2. Whole runs. Of runs with equal bucket and run hash all but the earliest are
+   repeats; a bucket left with one run is finished. Bucket and run are hashes
+   of two independent families: 64 bits of the shared gram and 64 bits of the
+   whole run (of 168 bytes at most). This is the only place where hashes decide.
 3. Refinement. Buckets that hold several different runs fetch their bytes. Each
    start gets the identifier of its 8-byte bucket; sorting on the identifiers
    at offsets 8, 16, 32 and 36 further on refines the buckets to depth 16, 32,
    64 and ``LENGTH``, every step reusing the identifiers the last one updated
    and sorting only starts whose bucket still has company. This is exact.
-4. Buckets with more than ``HOT`` runs are refined to single windows by hash
-   before the shuffle, with the earliest start kept per task, so a passage
-   that very many documents share never meets in one task.
+4. A bucket of more than ``HOT`` runs would not fit in a task. Its windows are
+   dealt to sub-buckets by hash over the cluster; those that have company there
+   fetch their bytes, and equal bytes decide, as in 3.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH``
-are kept whole; a null id sorts before every other; rows that repeat an id are
-the same document (its repeated rows do not make each other repeats); an empty
-table gives an empty result; other columns are never read.
+are kept whole; a null id sorts before every other; rows that repeat an id and
+its text are the same document (they do not make each other repeats); rows of
+one id with different texts are documents in the order of their texts' SHA-256;
+an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -33,16 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm._shared import bounded_batches, by_bytes, documents, materialize, pick, release_shuffles
+from rungwise.llm._shared import bounded_batches, by_bytes, documents, materialize, pick, release_shuffles, small_side
 
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 18
-HOT = 200_000
+#: Runs of a bucket that one task refines (some 15 kB of memory each).
+HOT = 4000
 #: Bytes of runs that are refined together.
 REFINE_BYTES = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _NO_ID = -(1 << 63)
 
 RUNS = "bucket long, run long, doc long, pos long"
@@ -53,11 +57,11 @@ FOUND = "bucket long, doc long, start long, stop long, anchor int"
 class Hashing:
     """Substring hashes of a byte chunk: differences of weighted prefix sums, mixed."""
 
-    def __init__(self, size: int):
-        table = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
-        inverse = pow(_BASE, -1, 1 << 64)
+    def __init__(self, size: int, family: int):
+        table = np.random.default_rng(20240229 + family).integers(0, 1 << 64, 256, dtype=np.uint64)
+        inverse = pow(_BASES[family], -1, 1 << 64)
         with np.errstate(over="ignore"):
-            ones = np.full(size, _BASE, np.uint64)
+            ones = np.full(size, _BASES[family], np.uint64)
             ones[0] = 1
             self.power = np.multiply.accumulate(ones)
             ones[1:] = inverse
@@ -88,10 +92,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _HASHING: list[Hashing] = []
 
 
-def hashing() -> Hashing:
+def hashing(family: int = 0) -> Hashing:
+    """One of two independent families: other weights of bytes and another base."""
     if not _HASHING:
-        _HASHING.append(Hashing(CHUNK + 2 * LENGTH))
-    return _HASHING[0]
+        _HASHING.extend(Hashing(CHUNK + 2 * LENGTH, k) for k in range(len(_BASES)))
+    return _HASHING[family]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -150,7 +155,8 @@ def runs_of(data: np.ndarray, ends: np.ndarray):
     at = np.flatnonzero(first)
     n = np.diff(np.append(np.cumsum(whole)[at] - 1, whole.sum()))
     a = anchor[at]
-    run = hs.ranges(prefix, at, at + n - 1 + LENGTH) + (a - at).astype(np.uint64)
+    other = hashing(1)
+    run = other.ranges(other.prefix(data), at, at + n - 1 + LENGTH) + (a - at).astype(np.uint64)
     return grams[a].view(np.int64), mixed(run).view(np.int64), piece[at], at - starts[piece[at]], n, a - at
 
 
@@ -305,23 +311,17 @@ def _slices(batches):
 
 
 def _windows(batches):
-    """Single windows of hot runs: two hashes, doc, place; per batch the earliest of equal ones, the rest as repeats."""
+    """Single windows of hot runs: hash, doc, place, run's place; per batch the earliest of equal ones."""
     hs = hashing()
     for batch in (part for whole in batches for part in by_bytes(whole, 2, 1 << 17)):
         rows = []
         for doc, start, data in zip(*(c.to_pylist() for c in batch.columns)):
-            part = np.frombuffer(data, np.uint8)
-            prefix = hs.prefix(part)
-            n = len(part) - LENGTH + 1
+            prefix = hs.prefix(np.frombuffer(data, np.uint8))
+            n = len(data) - LENGTH + 1
             at = np.arange(n)
-            rows.append((hs.ranges(prefix, at, at + LENGTH).view(np.int64), hs.ranges(prefix, at + 1, at + LENGTH - 1).view(np.int64), np.full(n, doc, np.int64), start + at))
-        if not rows:
-            continue
-        a, b, d, p = (np.concatenate(x) for x in zip(*rows))
-        order = np.lexsort((p, d, b, a))
-        a, b, d, p = a[order], b[order], d[order], p[order]
-        same = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, d, p, same)], names=["a", "b", "doc", "start", "repeat"])
+            rows.append((hs.ranges(prefix, at, at + LENGTH).view(np.int64), np.full(n, doc, np.int64), start + at, np.full(n, start, np.int64)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], names=["a", "doc", "start", "run_start"])
 
 
 def _apply(batches):
@@ -351,12 +351,23 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc, start, stop (bytes) of ranges to remove; they may overlap."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, doc, text, first: doc orders documents as their ids and tells apart different texts of one id; one row of a doc is its first."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    runs = rows.mapInArrow(_emit_runs, RUNS)
+    key = F.coalesce("doc_id", F.lit(_NO_ID))
+    if not rows.groupBy(key.alias("doc")).count().filter("count > 1").limit(1).count():
+        return rows.select("doc_id", key.alias("doc"), "text", F.lit(True).alias("first"))
+    of = F.sha2(F.coalesce("text", F.lit(b"")), 256)
+    keyed = materialize(rows.select("doc_id", key.alias("id"), of.alias("of"), F.monotonically_increasing_id().alias("row"), "text"), "suffix-rows")
+    order = keyed.groupBy("id", "of").agg(F.min("row").alias("lead")).orderBy("id", "of").withColumn("doc", F.monotonically_increasing_id())
+    return keyed.join(materialize(order, "suffix-order"), ["id", "of"]).select("doc_id", "doc", "text", (F.col("row") == F.col("lead")).alias("first"))
+
+
+def repeated_ranges(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc, start, stop (bytes) of ranges to remove, of rows (doc, text), no doc twice; they may overlap."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    runs = rows.select("doc", "text").mapInArrow(_emit_runs, RUNS)
     settled = runs.repartition("bucket").sortWithinPartitions("bucket", "run", "doc", "pos").mapInArrow(_settle_runs, FOUND)
     found = materialize(settled, "suffix-found")
     release_shuffles(spark)
@@ -365,30 +376,35 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     crowded = open_runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
     crowded = materialize(crowded.select("bucket", F.lit(True).alias("hot")), "suffix-hot")
     some_hot = crowded.limit(1).count() > 0
-    flagged = open_runs.join(crowded, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if some_hot else open_runs.withColumn("hot", F.lit(False))
+    flagged = open_runs.join(small_side(crowded), "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if some_hot else open_runs.withColumn("hot", F.lit(False))
     wanted = flagged.groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "stop", "hot")).alias("wanted"))
-    with_text = rows.withColumn("doc", F.coalesce("doc_id", F.lit(_NO_ID))).join(wanted, "doc").select("text", "doc", "wanted")
+    with_text = rows.join(wanted, "doc").select("text", "doc", "wanted")
     slices = with_text.mapInArrow(_slices, "bucket long, doc long, start long, bytes binary, hot boolean")
     if some_hot:
         slices = materialize(slices, "suffix-bytes")
     cold = slices.filter("NOT hot").drop("hot").repartition("bucket").sortWithinPartitions("bucket")
     ranges = ranges.unionByName(cold.mapInArrow(_refine_sorted, "doc long, start long, stop long"))
     if some_hot:
-        single = slices.filter("hot").select("doc", "start", "bytes").mapInArrow(_windows, "a long, b long, doc long, start long, repeat boolean")
-        single = materialize(single, "suffix-windows")
-        earliest = single.filter("NOT repeat").groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("e"))
-        later = single.join(earliest, ["a", "b"]).filter((F.col("doc") != F.col("e.doc")) | (F.col("start") != F.col("e.start")))
+        held = slices.filter("hot").select("doc", "start", "bytes")
+        single = materialize(held.mapInArrow(_windows, "a long, doc long, start long, run_start long"), "suffix-windows")
+        company = single.groupBy("a").agg(F.min(F.struct("doc", "start")).alias("lo"), F.max(F.struct("doc", "start")).alias("hi")).filter("lo <> hi").select("a")
+        company = single.join(small_side(materialize(company, "suffix-company"), 1_000_000), "a").select("doc", "start", "run_start")
+        runs_of_doc = held.select("doc", F.col("start").alias("run_start"), "bytes")
+        same = company.join(runs_of_doc, ["doc", "run_start"]).select("doc", "start", F.expr(f"substring(bytes, cast(start - run_start + 1 as int), {LENGTH})").alias("window"))
+        same = materialize(same, "suffix-same")
+        earliest = same.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("e"))
+        later = same.join(earliest, "window").filter((F.col("doc") != F.col("e.doc")) | (F.col("start") != F.col("e.start")))
         ranges = ranges.unionByName(later.select("doc", "start", (F.col("start") + LENGTH).alias("stop")))
     return ranges
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    ranges = materialize(repeated_ranges(docs, hot), "suffix-ranges")
+    rows = _numbered(docs)
+    ranges = materialize(repeated_ranges(rows.filter("first").select("doc", "text"), hot), "suffix-ranges")
     release_shuffles(docs.sparkSession)
     by_doc = ranges.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    joined = rows.withColumn("doc", F.coalesce("doc_id", F.lit(_NO_ID))).join(by_doc, "doc", "left").select("doc_id", "text", "starts", "stops")
+    joined = rows.join(by_doc, "doc", "left").select("doc_id", "text", "starts", "stops")
     return joined.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

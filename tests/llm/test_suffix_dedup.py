@@ -43,6 +43,24 @@ def test_repeats_nulls_and_empty_tables(table):
     assert m.remove_repeats(table([])).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts(table):
+    part = "".join(f"{i}," for i in range(60))
+    a, b = "x" + part, "yy" + part + "z"
+    first, second = sorted([a, b], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    rows = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in m.remove_repeats(table([(4, a), (4, b), (4, b), (9, "short")])).collect()}
+    assert rows == {(4, len(first)): 0, (4, len(second)): len(part), (9, 5): 0}
+
+
+def test_hash_families_are_independent():
+    """Two windows whose inner bytes agree under one family differ under the other."""
+    one, other = m.hashing(0), m.hashing(1)
+    data = np.arange(200).astype(np.uint8)
+    at = np.arange(100)
+    x, y = (h.ranges(h.prefix(data), at, at + 100) for h in (one, other))
+    assert len(set(x)) == len(set(y)) == 100 and not set(x) & set(y)
+    assert one.table is not other.table and (one.table != other.table).all() and one.power[1] != other.power[1]
+
+
 def test_refined_buckets_are_exact():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 100, 3000).astype(np.uint8)
