@@ -7,14 +7,24 @@ inner product: ``(|q|^2 + |x|^2 - bound^2) / 2``. Candidates are evaluated in
 the order of that bound until it falls below the k-th best score found, which
 no later candidate can then reach.
 
-Candidates come in blocks of about ``BLOCK`` rows and queries in blocks of
-about ``QUERY_BLOCK``; each pair of blocks is one group, and the k best of each
-group are merged.
+1. Rows are dealt to blocks by their nearest pivot (several blocks where it has
+   many rows), so a block is compact; each keeps the least and greatest
+   distance to every pivot and its greatest norm.
+2. Every query meets a block of its own nearest pivot. Its k-th best score
+   there is a floor for all that follows.
+3. Query blocks meet those ranges, not the rows: a pair of a query and a block
+   whose bound is below the query's floor goes no further.
+4. The pairs that remain are joined with the blocks. Candidates whose bound
+   reaches the floor are evaluated in the order of the bound until it falls
+   below the k-th best score.
+
+``search`` also tells how many of all pairs of rows were evaluated.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows without an id; vectors of another length
 than the query's are no candidates of it; rows with the query's own id are not
-its candidates; repeated rows of other ids each count; ties go to the smaller
+its candidates; rows that repeat a query's id are one query, with the least of
+their vectors; repeated rows of other ids each count; ties go to the smaller
 id; an empty table gives an empty result; other columns are never read.
 """
 
@@ -31,8 +41,8 @@ from rungwise.llm._shared import materialize, pick
 BLOCK = 4096
 QUERY_BLOCK = 512
 PIVOTS = 32
-#: Vectors of one length below which all of them are evaluated.
-FEW = 256
+#: Blocks whose ranges a query block meets at a time.
+RANGES = 512
 CHUNK = 256
 #: Components below this magnitude multiply exactly in double precision (64 dimensions and far more).
 EXACT = 1 << 20
@@ -49,26 +59,6 @@ def usable(rows: DataFrame, scale: int) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), F.size(x).alias("dim"))
 
 
-def _blocks(rows: DataFrame, count: int, name: str, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Rows packed by block and dimension: ids, components and pivot distances as bytes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(pdf["v"].tolist(), dtype=np.int64)
-        table = pivot_table(v, pivots[int(pdf["dim"].iloc[0])])
-        return pd.DataFrame(
-            {
-                name: pdf["block"].iloc[:1],
-                "dim": pdf["dim"].iloc[:1],
-                f"{name}_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
-                f"{name}_v": [v.tobytes()],
-                f"{name}_d": [table.tobytes()],
-            }
-        )
-
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int"))
-    return dealt.groupBy("block", "dim").applyInPandas(run, f"{name} int, dim int, {name}_ids binary, {name}_v binary, {name}_d binary")
-
-
 def pivot_table(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of rows to pivots."""
     a, p = v.astype(np.float64), pivots.astype(np.float64)
@@ -76,72 +66,144 @@ def pivot_table(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0))
 
 
-def best_of_blocks(qi, q, qd, ci, c, cd, k: int, chunk: int = CHUNK) -> tuple[list, int]:
-    """(query id, candidate id, score) of each query's k best, and how many products were evaluated."""
+def best_of_blocks(qi, q, qd, ci, c, cd, k: int, chunk: int = CHUNK, floor=None) -> tuple[list, int]:
+    """(query id, candidate id, score) of each query's k best that reach its floor, and how many products were evaluated."""
     q2, c2 = (q.astype(np.float64) ** 2).sum(1), (c.astype(np.float64) ** 2).sum(1)
     exact = max(np.abs(q).max(), np.abs(c).max()) < EXACT
     qf, cf = (q.astype(np.float64), c.astype(np.float64)) if exact else (q.astype(object), c.astype(object))
     out, evaluated = [], 0
     for i in range(len(qi)):
+        least = -np.inf if floor is None else floor[i]
         apart = np.abs(cd - qd[i]).max(axis=1, initial=0.0)
-        # rounding of distances and norms is far below this margin
-        slack = 1.0 + 1e-9 * (q2[i] + c2)
-        upper = (q2[i] + c2 - np.maximum(apart - 1e-6 * (1 + apart), 0) ** 2) / 2 + slack
+        upper = _upper(q2[i], c2, apart)
         upper[ci == qi[i]] = -np.inf
-        order = np.argsort(-upper, kind="stable")
+        some = np.flatnonzero((upper >= least) & (upper > -np.inf))
+        order = some[np.argsort(-upper[some], kind="stable")]
         ids, scores = np.empty(0, np.int64), np.empty(0, object if not exact else np.float64)
         for at in range(0, len(order), chunk):
             some = order[at : at + chunk]
-            if upper[some[0]] == -np.inf or len(scores) == k and scores[-1] > upper[some[0]]:
+            if len(scores) == k and scores[-1] > upper[some[0]]:
                 break
-            some = some[upper[some] > -np.inf]
             evaluated += len(some)
             ids = np.concatenate([ids, ci[some]])
             scores = np.concatenate([scores, cf[some] @ qf[i]])
             top = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[top], scores[top]
-        out += [(int(qi[i]), int(a), int(max(min(int(b), (1 << 63) - 1), -(1 << 63)))) for a, b in zip(ids, scores)]
+        out += [(int(qi[i]), int(a), int(max(min(int(b), (1 << 63) - 1), -(1 << 63)))) for a, b in zip(ids, scores) if b >= least]
     return out, evaluated
 
 
-def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best candidates of each row whose id ``every`` divides."""
+def _upper(q2, c2, apart):
+    """The greatest inner product at squared norms and a least distance; rounding of either is far below the margin."""
+    return (q2 + c2 - np.maximum(apart - 1e-6 * (1 + apart), 0) ** 2) / 2 + 1.0 + 1e-9 * (q2 + c2)
+
+
+BLOCKS = "dim int, home int, sub int, ids binary, v binary, d binary"
+
+
+def _packed(rows: DataFrame, size: int, table: dict[int, np.ndarray]) -> DataFrame:
+    """Blocks of about ``size`` rows with the same nearest pivot: ids, components, pivot distances, as bytes."""
+
+    def nearest(batches):
+        for pdf in batches:
+            home = np.zeros(len(pdf), np.int32)
+            for dim, part in pdf.reset_index(drop=True).groupby("dim"):
+                home[part.index] = pivot_table(np.array(part["v"].tolist(), np.int64), table[int(dim)]).argmin(1)
+            yield pdf.assign(home=home)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(pdf["v"].tolist(), dtype=np.int64)
+        d = pivot_table(v, table[int(pdf["dim"].iloc[0])])
+        first = {c: pdf[c].iloc[:1] for c in ("dim", "home", "sub")}
+        return pd.DataFrame(first | {"ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "v": [v.tobytes()], "d": [d.tobytes()]})
+
+    at_home = rows.mapInPandas(nearest, "vec_id long, v array<long>, dim int, home int")
+    counts = at_home.groupBy("dim", "home").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("subs"))
+    counts = F.broadcast(materialize(counts, "topk-homes"))  # a row for each pivot
+    dealt = at_home.join(counts, ["dim", "home"]).withColumn("sub", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("subs")).cast("int"))
+    return dealt.groupBy("dim", "home", "sub").applyInPandas(run, BLOCKS)
+
+
+def _arrays(ids: bytes, v: bytes, d: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.frombuffer(ids, np.int64)
+    return n, np.frombuffer(v, np.int64).reshape(len(n), -1), np.frombuffer(d, np.float64).reshape(len(n), -1)
+
+
+def search(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vec_id, score of all that may be among the k best; evaluated: pairs of rows whose product was computed)."""
     spark = rows.sparkSession
     vectors = materialize(usable(pick(rows, "vec_id", "embedding"), scale), "topk-vectors")
-    counts = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # a fixed number of pivots of each dimension, spread by hash
-    # a fixed number of pivots of each length, chosen by hash
-    table: dict[int, np.ndarray] = {}
-    for dim, rows_of in counts.items():
-        if rows_of < FEW:  # too few to be worth pivots
-            table[dim] = np.empty((0, dim), np.int64)
-            continue
-        some = vectors.filter(F.col("dim") == dim).orderBy(F.xxhash64("vec_id")).limit(pivots).select("v").collect()
-        table[dim] = np.array([r["v"] for r in some], dtype=np.int64)
-    n = sum(counts.values())
-    cand_blocks = max(1, -(-n // BLOCK))
-    queries = vectors.filter(F.col("vec_id") % every == 0)
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    c = _blocks(vectors, cand_blocks, "c", table)
-    q = _blocks(queries, query_blocks, "q", table).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cand_blocks - 1))))
+    chosen = vectors.groupBy("dim").agg(F.array_distinct(F.array(*[F.min_by("v", F.xxhash64("vec_id", F.lit(i))) for i in range(pivots)])).alias("pivots"))
+    table = {r["dim"]: np.array(r["pivots"], dtype=np.int64) for r in chosen.collect()}  # a fixed number of pivots for each length of vectors
+    if not table:
+        none = spark.createDataFrame([], FOUND)
+        return none, none.select(F.col("score").alias("evaluated"))
+    c = materialize(_packed(vectors, BLOCK, table), "topk-blocks")
+    queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.v", "q.dim")
+    q = _packed(queries, QUERY_BLOCK, table).select("dim", "home", F.col("sub").alias("qsub"), *[F.col(x).alias(f"q_{x}") for x in ("ids", "v", "d")])
+
+    def seed(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                qi, qv, qd = _arrays(r.q_ids, r.q_v, r.q_d)
+                got, n = best_of_blocks(qi, qv, qd, *_arrays(r.ids, r.v, r.d), k) if r.ids is not None else ([], 0)
+                scores: dict[int, list[int]] = {}
+                for query_id, _, score in got:
+                    scores.setdefault(query_id, []).append(score)
+                floor = np.array([min(s) if len(s := scores.get(i, [])) == k else -np.inf for i in qi.tolist()])
+                yield pd.DataFrame({"dim": [r.dim], "home": [r.home], "q_ids": [r.q_ids], "q_v": [r.q_v], "q_d": [r.q_d], "floor": [floor.tobytes()], "found": [got], "evaluated": [n]})
+
+    seeded = q.join(c.filter("sub = 0").select("dim", "home", "ids", "v", "d"), ["dim", "home"], "left").mapInPandas(
+        seed, "dim int, home int, q_ids binary, q_v binary, q_d binary, floor binary, found array<struct<query_id: long, vec_id: long, score: long>>, evaluated long"
+    )
+    seeded = materialize(seeded, "topk-seeds")
+
+    def ranges(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                _, v, d = _arrays(r.ids, r.v, r.d)
+                out.append((r.dim, r.home, r.sub, d.min(0).tolist(), d.max(0).tolist(), float((v.astype(np.float64) ** 2).sum(1).max())))
+            yield pd.DataFrame(out, columns=["dim", "c_home", "c_sub", "lo", "hi", "norm"])
+
+    spans = c.mapInPandas(ranges, "dim int, c_home int, c_sub int, lo array<double>, hi array<double>, norm double")
+    spans = materialize(spans, "topk-ranges")
+    parts = F.ceil(F.lit(max(1, spans.count())) / RANGES).cast("int")
+    spans = spans.withColumn("part", F.pmod(F.xxhash64("c_home", "c_sub"), parts)).groupBy("dim", "part").agg(F.collect_list(F.struct("c_home", "c_sub", "lo", "hi", "norm")).alias("spans"))
+
+    def reaching(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                qi, qv, qd = _arrays(r.q_ids, r.q_v, r.q_d)
+                q2, floor = (qv.astype(np.float64) ** 2).sum(1), np.frombuffer(r.floor, np.float64)
+                out = []
+                for s in r.spans:
+                    if s["c_home"] == r.home and s["c_sub"] == 0:  # evaluated already
+                        continue
+                    apart = np.maximum(np.array(s["lo"]) - qd, qd - np.array(s["hi"])).max(1).clip(0)
+                    go = _upper(q2, s["norm"], apart) >= floor
+                    if go.any():
+                        out.append((r.dim, s["c_home"], s["c_sub"], qi[go].tobytes(), qv[go].tobytes(), qd[go].tobytes(), floor[go].tobytes()))
+                yield pd.DataFrame(out, columns=["dim", "home", "sub", "q_ids", "q_v", "q_d", "floor"])
+
+    met = seeded.join(spans, "dim").mapInPandas(reaching, "dim int, home int, sub int, q_ids binary, q_v binary, q_d binary, floor binary")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                got, n = best_of_blocks(*_arrays(r.q_ids, r.q_v, r.q_d), *_arrays(r.ids, r.v, r.d), k, floor=np.frombuffer(r.floor, np.float64))
+                yield pd.DataFrame({"found": [got], "evaluated": [n]})
+
+    rest = met.join(c, ["dim", "home", "sub"]).mapInPandas(run, "found array<struct<query_id: long, vec_id: long, score: long>>, evaluated long")
+    both = materialize(seeded.select("found", "evaluated").unionByName(rest), "topk-found")
+    return both.select(F.explode("found").alias("f")).select("f.query_id", "f.vec_id", "f.score"), both.select("evaluated")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for r in pdf.itertuples():
-            qi, ci = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.c_ids, np.int64)
-            got, _ = best_of_blocks(
-                qi, np.frombuffer(r.q_v, np.int64).reshape(len(qi), -1), np.frombuffer(r.q_d, np.float64).reshape(len(qi), -1),
-                ci, np.frombuffer(r.c_v, np.int64).reshape(len(ci), -1), np.frombuffer(r.c_d, np.float64).reshape(len(ci), -1), k,
-            )
-            found += got
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype=np.int64)
-
-    pairs = q.join(c, ["c", "dim"]).groupBy("c", "q", "dim").applyInPandas(run, FOUND)
+
+def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = PIVOTS) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best candidates of each row whose id ``every`` divides."""
+    found, _ = search(rows, k, every, scale, pivots)
     best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id")))
-    merged = pairs.groupBy("query_id").agg(F.slice(best, 1, k).alias("best"))
-    out = merged.select("query_id", F.posexplode("best"))
+    out = found.groupBy("query_id").agg(F.slice(best, 1, k).alias("best")).select("query_id", F.posexplode("best"))
     return out.select(
         "query_id", (F.col("pos") + 1).cast(T.IntegerType()).alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.neg")).alias("score")
     )

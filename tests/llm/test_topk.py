@@ -30,6 +30,22 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert got == brute(rows, 5, 50)
 
 
+def test_repeated_query_ids_are_one_query(spark):
+    rows = [(0, [2.0, 1.0]), (0, [2.0, 1.0]), (0, [-9.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 3.0]), (7, [5.0, 1.0])]
+    got = sorted(tuple(r) for r in m.top_k(frame(spark, rows)).collect())
+    assert got == brute([rows[2], *rows[3:]], 5, 50) and [r[1] for r in got] == [1, 2, 3, 4]
+
+
+def test_blocks_out_of_reach_are_never_read(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) + (40 if i % 50 == 0 or i % 7 == 0 else -40)).tolist()) for i in range(1, 1500)]
+    found, evaluated = m.search(frame(spark, rows), k=3, every=50)
+    queries = sum(1 for i, _ in rows if i % 50 == 0)
+    assert evaluated.agg({"evaluated": "sum"}).first()[0] < 0.2 * queries * len(rows)
+    assert sorted(tuple(r) for r in m.top_k(frame(spark, rows), k=3, every=50).collect()) == brute(rows, 3, 50)
+
+
 def test_few_candidates_large_values_and_empty_tables(spark):
     rows = [(0, [3.0e4, -2.0]), (1, [3.0e4, 5.0]), (50, [-1.0, 0.0])]
     assert sorted(tuple(r) for r in m.top_k(frame(spark, rows)).collect()) == brute(rows, 5, 50)
