@@ -2,10 +2,14 @@
 
 A streaming aggregation keeps one state row per content digest in the
 disk-backed store, without expiry: the stable id of the row that stays, its
-content locator and the number of rows seen. Feeding a later arrival through
-the same checkpoint updates that state. On hits (rows that meet a digest whose
-state names another row) the full normalised bytes are compared with the
-kept row's; digests under which bytes differ are regrouped by the whole text.
+content locator and the number of rows seen. All of it lies in the folder
+``store``; a later call with the same folder is a later arrival, which meets
+the state that the earlier ones left. A locator is an arrival's number and a
+row's number in it, and names a row of ``store/rows``, where the normalised
+bytes are. On hits (rows that meet a digest whose state names another row) the
+full bytes are fetched by locator and compared with the kept row's; digests
+under which bytes differ are regrouped by the whole text. Members of a large
+group are compared in several tasks.
 
 Texts are equal when identical after lower-casing A-Z only.
 
@@ -33,8 +37,18 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _state_of(rows_path: str, spark: SparkSession, schema, checkpoint: str, out: str) -> DataFrame:
-    """Run the stateful query over what is new in ``rows_path``; one row per digest."""
+ROWS = "doc_id long, arrival int, uid long, digest string, whole string"
+#: Members of a group that one task compares with the kept row.
+GROUP = 256
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _state_of(spark: SparkSession, store: str) -> DataFrame | None:
+    """Run the stateful query over what is new in ``store/rows``; one row per digest seen so far."""
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -45,100 +59,94 @@ def _state_of(rows_path: str, spark: SparkSession, schema, checkpoint: str, out:
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        arrivals = spark.readStream.schema(schema).parquet(rows_path)
+        arrivals = spark.readStream.schema(ROWS).parquet(f"{store}/rows")
         state = arrivals.groupBy("digest").agg(
-            F.max(F.struct("doc_id", "uid", "locator")).alias("keep"),
+            F.max(F.struct("doc_id", "arrival", "uid")).alias("keep"),
             F.count(F.lit(1)).alias("group_size"),
         )
         query = (
             state.writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint)
+            .option("checkpointLocation", f"{store}/state")
             .trigger(availableNow=True)
-            .foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out))
+            .foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{store}/keys"))
             .start()
         )
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    keep = "keep struct<doc_id: bigint, uid: bigint, locator: string>"
-    table = spark.read.schema(f"digest string, {keep}, group_size bigint, batch bigint").parquet(out)
-    return table.groupBy("digest").agg(
-        F.max_by("keep", "batch").alias("keep"), F.max("group_size").alias("group_size")
-    )
+    if not _exists(spark, f"{store}/keys"):
+        return None
+    keep = "keep struct<doc_id: bigint, arrival: int, uid: bigint>"
+    table = spark.read.schema(f"digest string, {keep}, group_size bigint, batch bigint").parquet(f"{store}/keys")
+    return table.groupBy("digest").agg(F.max_by("keep", "batch").alias("keep"), F.max("group_size").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, digest=sha256_hex) -> DataFrame:
-    """One row per input row: doc_id, uid, keep_id, group_size, kept, digest, locator.
+def exact_dedup(docs: DataFrame, digest=sha256_hex, store: str | None = None) -> DataFrame:
+    """One row per row of this and all earlier arrivals in ``store``: doc_id, arrival, uid, keep_id, group_size, kept, digest.
 
     ``digest`` maps the normalised text to a key; whatever it maps together is
     told apart by the bytes afterwards, so a weak one gives the same classes.
     """
     spark = docs.sparkSession
-    rows = pick(docs, "doc_id", "text")
-    keyed = materialize(
-        rows.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.monotonically_increasing_id().alias("uid"),
-            digest(normalised(F.col("text"))).alias("digest"),
-            F.input_file_name().alias("locator"),
-        ),
-        "dedup-rows",
-    )
-    if keyed.limit(1).count() == 0:
-        return keyed.select("doc_id", "uid", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", "locator")
-    path = keyed.inputFiles()[0].rsplit("/", 1)[0]
-    state = materialize(
-        _state_of(path, spark, keyed.schema, new_path(spark, "dedup-state"), new_path(spark, "dedup-out")), "dedup-keys"
-    )
-    named = keyed.join(state, "digest").select(
-        "doc_id", "uid", "digest", "locator", "group_size",
-        F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"),
+    store = (store or new_path(spark, "dedup")).rstrip("/")
+    path = f"{store}/rows"
+    arrival = 0
+    if _exists(spark, path):
+        arrival = (spark.read.schema(ROWS).parquet(path).agg(F.max("arrival")).first()[0] or 0) + 1
+    whole = normalised(F.col("text").cast("string"))
+    rows = pick(docs, "doc_id", "text").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit(arrival).alias("arrival"), F.monotonically_increasing_id().alias("uid"), digest(whole).alias("digest"), whole.alias("whole")
     )
-    found = named.select(
-        "doc_id", "uid", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "digest", "locator"
-    )
-    differing = materialize(_differing(rows, named, digest), "dedup-differing")
+    rows.write.mode("append").option("compression", "zstd").parquet(path)
+    content = spark.read.schema(ROWS).parquet(path)
+    keyed = content.drop("whole")
+    state = _state_of(spark, store)
+    if state is None:
+        return keyed.select("doc_id", "arrival", "uid", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    named = keyed.join(materialize(state, "dedup-keys"), "digest")
+    kept = (F.col("arrival") == F.col("keep.arrival")) & (F.col("uid") == F.col("keep.uid"))
+    found = named.select("doc_id", "arrival", "uid", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "digest")
+    differing = materialize(_differing(content, named), "dedup-differing")
     if differing.limit(1).count() == 0:
         return found
-    return _regrouped(rows, found, differing, digest)
-
+    return _regrouped(content, found, differing)
 
-def _texts_of(rows: DataFrame, digest) -> DataFrame:
-    whole = normalised(F.col("text"))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("whole")).withColumn("digest", digest(F.col("whole")))
 
-
-def _differing(rows: DataFrame, named: DataFrame, digest) -> DataFrame:
+def _differing(content: DataFrame, named: DataFrame) -> DataFrame:
     """Digests under which a hit's bytes are not those of the row that stays."""
-    hits = named.filter("group_size > 1")
-    members = hits.select("doc_id", "digest", "keep_id").distinct()
-    texts = rows.select(F.col("doc_id").cast("long").alias("t_id"), normalised(F.col("text")).alias("whole"))
-    have = members.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id"))).drop("t_id")
-    have = have.filter(digest(F.col("whole")) == F.col("digest"))
-    kept = have.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("whole").alias("kept_whole"))
-    return have.join(kept, "digest").filter(F.col("whole") != F.col("kept_whole")).select("digest").distinct()
-
-
-def _regrouped(rows: DataFrame, found: DataFrame, differing: DataFrame, digest) -> DataFrame:
-    texts = _texts_of(rows, digest).join(differing, "digest").withColumn("uid", F.monotonically_increasing_id())
-    texts = materialize(texts, "dedup-regroup")
-    classes = texts.groupBy("digest", "whole").agg(
-        F.max(F.struct("doc_id", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size")
-    )
-    again = texts.join(classes, ["digest", "whole"]).select(
-        "doc_id", "uid", F.col("keep.doc_id").alias("keep_id"), "group_size",
-        (F.col("uid") == F.col("keep.uid")).alias("kept"), "digest", F.lit("").alias("locator"),
-    )
+    parts = F.ceil(F.col("group_size") / GROUP).cast("int")
+    hits = named.filter("group_size > 1").select("arrival", "uid", "digest", "keep", parts.alias("parts"))
+    is_kept = (F.col("arrival") == F.col("keep.arrival")) & (F.col("uid") == F.col("keep.uid"))
+    texts = hits.join(content.select("arrival", "uid", "whole"), ["arrival", "uid"])
+    others = texts.filter(~is_kept).select("digest", F.pmod("uid", "parts").cast("int").alias("part"), "whole")
+    kept = texts.filter(is_kept).select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("whole").alias("kept_whole"))
+    return others.join(kept, ["digest", "part"]).filter(F.col("whole") != F.col("kept_whole")).select("digest").distinct()
+
+
+def _regrouped(content: DataFrame, found: DataFrame, differing: DataFrame) -> DataFrame:
+    texts = materialize(content.join(differing, "digest"), "dedup-regroup")
+    classes = texts.groupBy("digest", "whole").agg(F.max(F.struct("doc_id", "arrival", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    kept = (F.col("arrival") == F.col("keep.arrival")) & (F.col("uid") == F.col("keep.uid"))
+    again = texts.join(classes, ["digest", "whole"]).select("doc_id", "arrival", "uid", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "digest")
     return found.join(differing, "digest", "left_anti").select(*again.columns).unionByName(again)
 
 
+def _unused(names: list[str], stem: str) -> str:
+    """A column name that differs from all others, whatever their case."""
+    taken = {n.lower() for n in names}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The input's rows without exact copies, all columns unchanged (null ids included)."""
-    classes = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"))
-    keyed = docs.withColumn("k_of_text", sha256_hex(normalised(docs["text"])))
-    joined = keyed.join(classes, keyed["doc_id"].eqNullSafe(classes["k_id"]) & (F.col("k_of_text") == F.col("k_digest")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "k_of_text"]).drop("k_of_text")
+    of_id, of_digest, of_text = (_unused(docs.columns, x) for x in ("k_id", "k_digest", "k_text"))
+    classes = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias(of_id), F.col("digest").alias(of_digest))
+    keyed = docs.withColumn(of_text, sha256_hex(normalised(F.col("text").cast("string"))))
+    joined = keyed.join(classes, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(of_text) == F.col(of_digest)), "left_semi")
+    return joined.dropDuplicates(["doc_id", of_text]).drop(of_text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

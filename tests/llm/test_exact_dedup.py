@@ -36,6 +36,29 @@ def test_repeats_nulls_and_empty_tables(table):
     assert m.exact_dedup(table([])).count() == 0
 
 
+def test_a_later_arrival_meets_the_state_of_earlier_ones(spark, table, tmp_path):
+    store = f"file://{tmp_path}/store"
+    first, second = [(1, "A b"), (2, "c"), (9, "a B")], [(5, "C"), (3, "a b"), (6, "new")]
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in m.exact_dedup(table(first), store=store).collect()} == {i: v[:2] for i, v in brute(first).items()}
+    got = m.exact_dedup(table(second), store=store).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["digest"]) for r in got} == brute(first + second)
+    assert m.exact_dedup(table([]), store=store).count() == 6
+    # locators lead to the bytes
+    rows = {(r["arrival"], r["uid"]): r["whole"] for r in spark.read.parquet(f"{store}/rows").collect()}
+    texts = dict(first + second)
+    assert {r["doc_id"]: rows[r["arrival"], r["uid"]] for r in got} == {i: lowered(t) for i, t in texts.items()}
+
+
+def test_large_groups_long_texts_and_names_of_its_own(table, monkeypatch):
+    monkeypatch.setattr(m, "GROUP", 2)
+    long = "word " * 200_000
+    rows = [(i, "Same text") for i in range(40)] + [(50, long), (51, long.upper()), (52, long + "x")]
+    df = table(rows).toDF("doc_id", "text", *[f"x{i}" for i in range(len(table(rows).columns) - 4)], "k_digest", "K_TEXT")
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["digest"]) for r in m.exact_dedup(df).collect()} == brute(rows)
+    kept = m.keep_one(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {39, 51, 52}
+
+
 def test_native_plan(table):
     plan = m.exact_dedup(table([(1, "a"), (2, "A")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
