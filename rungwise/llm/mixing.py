@@ -12,7 +12,8 @@ small sources; ``weights`` names others (a source not named there weighs 0).
 Defined results: rows with a null source form a source of their own (named
 None in ``weights``); a null text is carried along; rows that repeat an id get
 the same count; a null id hashes as the word "null"; an empty table gives an
-empty result; input columns named mix_copy or mix_key are replaced.
+empty result; input columns named mix_copy or mix_key are replaced; other
+columns may have any name, with dots too.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from rungwise.llm._shared import documents, materialize
 
 TEMPERATURE = 0.7
 SEED = 17
-#: Up to so many sources the rates are broadcast; beyond, they are joined by shuffle.
-BROADCAST_SOURCES = 100_000
+#: Up to so many numbers in the tables of all sources (16 MB) they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_NUMBERS = 2_000_000
 #: Rates above it are not summed from exp(-rate).
 LARGE = 700.0
 
@@ -36,11 +37,11 @@ def uniform(seed: int, salt: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Cumulative probabilities 0, 1, 2, ... far enough that the rest is below 2^-52.
+def poisson_table(rate: Column) -> tuple[Column, Column]:
+    """(low, cumulative probabilities of low, low + 1, ...), so far that the rest is below 2^-52.
 
     exp(-rate) leaves the doubles at a rate of 745. Above LARGE the terms start as far below the rate as they end
-    above it, from 1, and are divided by their sum; the counts below that, of less than 2^-52 together, have 0.
+    above it, from 1, and are divided by their sum; counts below ``low``, of less than 2^-52 together, have 0.
     """
     past = 12 * F.sqrt(rate) + 30
     low = F.when(rate > LARGE, F.floor(rate - past)).otherwise(0).cast("int")
@@ -54,9 +55,15 @@ def poisson_cdf(rate: Column) -> Column:
 
     def finish(acc):
         total = F.when(rate > LARGE, acc["c"]).otherwise(1.0)
-        return F.concat(F.array_repeat(F.lit(0.0), low), F.transform(acc["all"], lambda c: c / total))
+        return F.transform(acc["all"], lambda c: c / total)
+
+    return low, F.aggregate(F.sequence(low + 1, F.ceil(rate + past).cast("int")), start, step, finish)
 
-    return F.aggregate(F.sequence(low + 1, F.ceil(rate + past).cast("int")), start, step, finish)
+
+def poisson_cdf(rate: Column) -> Column:
+    """Cumulative probabilities of 0, 1, 2, ..."""
+    low, table = poisson_table(rate)
+    return F.concat(F.array_repeat(F.lit(0.0), low), table)
 
 
 def rates(docs: DataFrame, weights: dict | None, size: float, temperature: float) -> DataFrame:
@@ -70,22 +77,24 @@ def rates(docs: DataFrame, weights: dict | None, size: float, temperature: float
     weighted = materialize(weighted, "mix-sources")
     sum_w, sum_n = weighted.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
     rate = F.col("w") / F.lit(sum_w) * F.lit(sum_n) * size / F.col("n") if sum_w > 0 else F.lit(0.0)
-    return weighted.select("r_source", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    low, table = poisson_table(F.col("rate"))
+    return materialize(weighted.select("r_source", rate.alias("rate")).select("r_source", "rate", low.alias("low"), table.alias("cdf")), "mix-rates")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """The input's columns, each row as often as its count, with mix_copy (from 1) and mix_key."""
-    docs = docs.drop("mix_copy", "mix_key")
-    names = docs.columns
+    taken = ("mix_copy", "mix_key")
+    names = [n for n in docs.columns if n.lower() not in taken]
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     by_source = rates(docs, weights, size, temperature)
-    if by_source.count() <= BROADCAST_SOURCES:
+    if by_source.agg(F.coalesce(F.sum(F.size("cdf")), F.lit(0))).first()[0] <= BROADCAST_NUMBERS:
         by_source = F.broadcast(by_source)
-    u = uniform(seed, "count", docs["doc_id"])
-    counted = docs.join(by_source, docs["source"].eqNullSafe(by_source["r_source"]))
-    copies = F.size(F.filter(by_source["cdf"], lambda c: c <= u))
-    exploded = counted.select(*[docs[n] for n in names], F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias("mix_copy"))
-    keyed = exploded.withColumn("mix_key", uniform(seed, "order", F.col("doc_id"), F.col("mix_copy")))
-    return keyed.select(*names, "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    u = uniform(seed, "count", F.col("id"))
+    copies = F.col("low") + F.size(F.filter("cdf", lambda c: c <= u))
+    counted = rows.join(by_source, F.col("of").eqNullSafe(F.col("r_source"))).withColumn("copies", copies.cast("int"))
+    exploded = counted.filter("copies > 0").select("id", "row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_copy"))
+    keyed = exploded.withColumn("mix_key", uniform(seed, "order", F.col("id"), F.col("mix_copy")))
+    return keyed.select("row.*", "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

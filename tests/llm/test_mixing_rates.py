@@ -23,3 +23,14 @@ def test_a_small_source_with_a_large_share_keeps_its_size(spark):
     docs = spark.range(24010).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10, "few").otherwise("many").alias("source"))
     copies = [r["count"] for r in mixing.mix(docs, weights={"few": 0.5, "many": 0.5}).filter("source = 'few'").groupBy("doc_id").count().collect()]
     assert len(copies) == 10 and len(set(copies)) > 1 and abs(sum(copies) / 10 - 1200.5) < 60
+
+
+@pytest.mark.parametrize("rate", [800.0, 50_000.0])
+def test_counts_over_many_documents_are_poisson(spark, rate):
+    """Mean and variance of the counts of 400 documents lie within four standard deviations of the rate."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    low, table = mixing.poisson_table(F.lit(rate))
+    got = [r["k"] for r in docs.select((low + F.size(F.filter(table, lambda c: c <= mixing.uniform(mixing.SEED, "count", F.col("doc_id"))))).alias("k")).collect()]
+    mean = sum(got) / 400
+    assert abs(mean - rate) < 4 * math.sqrt(rate / 400)
+    assert abs(sum((k - mean) ** 2 for k in got) / 399 - rate) < 4 * rate * math.sqrt(2 / 399)
