@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm._shared import documents, materialize, pick, release_shuffles
+from rungwise.llm._shared import bounded_batches, by_bytes, documents, materialize, pick, release_shuffles
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -46,10 +46,27 @@ CERTIFICATES = "round int, part long, bins long, bound long"
 
 #: Latin text without the characters that white-space rules or composition treat specially.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff]*")
-#: The split pattern of the tokenizer file, for such text after lower-casing (fixed value).
+#: Steps before the merges that words may be split and remembered by (fixed values); other files take whole texts.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: That split pattern, for such text after lower-casing.
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
 
 
+def _splits_words(plan: dict) -> bool:
+    """Whether a tokenizer file normalises and splits as ``_WORDS`` does, and marks the end of words."""
+    before = (plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return bool(
+        (plan.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and [x.get("type") for x in before] == ["Split", "ByteLevel"]
+        and before[0].get("pattern") == {"Regex": _SPLIT}
+        and before[0].get("invert")
+        and not before[1].get("add_prefix_space")
+        and plan["model"].get("end_of_word_suffix")
+        and not plan.get("post_processor")
+    )
+
+
 class WordMemo:
     """Token ids of whole texts, remembering the ids of each word (little-endian bytes).
 
@@ -65,6 +82,10 @@ class WordMemo:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         # words are normalised and split already: the same merges without those steps
         plan = json.loads(tokenizer_json)
+        self.by_word = _splits_words(plan)
+        self.known: dict[str, bytes] = {}
+        if not self.by_word:
+            return
         byte_level = [x for x in plan["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel"]
         plan |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *byte_level]}}
         self.word_tokenizer = Tokenizer.from_str(json.dumps(plan))
@@ -72,7 +93,6 @@ class WordMemo:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         """Ids of words, many to a call, told apart by the tokens that end a word."""
@@ -91,6 +111,8 @@ class WordMemo:
         return np.asarray(ids, dtype="<u4").tobytes()
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [self.whole(t) for t in texts]
         known = self.known
         split = [_WORDS.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         new = set().union(*(w for w in split if w)) - known.keys()
@@ -129,11 +151,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def run(batches):
         memo = memo_for(tokenizer_json)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                doc_ids = some.column(0).to_pylist()
+            for some in by_bytes(batch, 1, 1 << 20):
                 rows = []
-                for doc_id, ids in zip(doc_ids, memo.ids_of([t or "" for t in some.column(1).to_pylist()])):
+                for doc_id, ids in zip(some.column(0).to_pylist(), memo.ids_of([t or "" for t in some.column(1).to_pylist()])):
                     rows += [(doc_id, *x) for x in cut(ids + closing, capacity)]
                 cols = list(zip(*rows))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -141,7 +161,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    bounded_batches(docs.sparkSession)
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
 # ---------------------------------------------------------------- packing

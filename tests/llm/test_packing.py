@@ -70,3 +70,16 @@ def test_best_fit_and_bound(lengths):
 def test_bound_sees_large_items():
     assert m.lower_bound(np.array([51] * 7), 100) == 7
     assert m.lower_bound(np.array([34] * 9), 100) == 5
+
+
+def test_other_tokenizer_files_take_whole_texts(spark, table):
+    """A file whose steps before the merges are not those that words are remembered by."""
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    path = str(Path(m.default_tokenizer_path()).with_name("byte_bpe_50k.json"))
+    rows = [(1, "Some Text, it's 42 words\n\tlong"), (2, None), (3, "Ünï  code " * 50)]
+    got = sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in m.token_pieces(table(rows), path, 64).collect()), key=str)
+    assert got == pieces(Tokenizer.from_file(path), rows, 64)
+    assert not m.memo_for(Path(path).read_text(encoding="utf-8")).by_word and m.memo_for(Path(m.default_tokenizer_path()).read_text(encoding="utf-8")).by_word
