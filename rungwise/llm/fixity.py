@@ -9,9 +9,10 @@ only children of nodes that differ are read on, and the leaves that differ
 locate the corruption. Nodes without a counterpart (records one replica lacks)
 count as different.
 
-Defined results: null url or html count as empty; rows with a null id are
-left out of files and audited by nothing; rows that repeat an id are hashed
-together, in the order of their record hashes; empty tables give an empty
+Defined results: null url or html count as empty; rows that repeat an id are
+one record, whose hash is made of their number and the sums of their hashes, in
+any order; rows with a null id are such a record in a file of its own, before
+all others, and come out with null page_id and file; empty tables give an empty
 result; other columns are never read.
 """
 
@@ -24,6 +25,8 @@ from rungwise.llm._shared import materialize, pick
 
 FILE_RECORDS = 1000
 FANOUT = 16
+#: Stands for a null id; first place of a file, and a file that no id comes near.
+NO_ID = -(1 << 53)
 
 
 def record_bytes(url: Column, html: Column) -> Column:
@@ -38,11 +41,13 @@ def record_bytes(url: Column, html: Column) -> Column:
 
 def records(pages: DataFrame) -> DataFrame:
     """file, slot, record_start, record_length and digest of each record id."""
-    rows = pick(pages, "page_id", "url", "html").filter("page_id IS NOT NULL")
+    rows = pick(pages, "page_id", "url", "html")
     raw = record_bytes(F.col("url").cast("string"), F.col("html").cast("string"))
-    each = rows.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(raw, 256).alias("d"), F.length(raw).cast("long").alias("n"))
-    one = each.groupBy("page_id").agg(F.sort_array(F.collect_list("d")).alias("ds"), F.sum("n").alias("record_length"))
-    digest = F.when(F.size("ds") == 1, F.element_at("ds", 1)).otherwise(F.sha2(F.array_join("ds", ""), 256))
+    each = rows.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.sha2(raw, 256).alias("d"), F.length(raw).cast("long").alias("n"))
+    # repeated rows in bounded memory: the four quarters of their hashes are summed as whole numbers
+    quarters = [F.sum(F.conv(F.substring("d", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"q{k}") for k in range(4)]
+    one = each.groupBy("page_id").agg(F.count(F.lit(1)).alias("rows"), F.min("d").alias("d"), *quarters, F.sum("n").alias("record_length"))
+    digest = F.when(F.col("rows") == 1, F.col("d")).otherwise(F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "q0", "q1", "q2", "q3").cast("binary"), 256))
     file, slot = F.floor(F.col("page_id") / FILE_RECORDS), F.pmod("page_id", F.lit(FILE_RECORDS)).cast("int")
     laid = one.select(file.alias("file"), slot.alias("slot"), "page_id", "record_length", digest.alias("digest"))
     before = Window.partitionBy("file").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # FILE_RECORDS rows at most
@@ -123,8 +128,9 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         .when(F.col("primary_digest") != F.col("replica_digest"), "content")
         .otherwise("moved")
     )
+    page = F.col("file") * FILE_RECORDS + F.col("node")
     return both.select(
-        (F.col("file") * FILE_RECORDS + F.col("node")).alias("page_id"), "file",
+        F.when(page != NO_ID, page).alias("page_id"), F.when(page != NO_ID, F.col("file")).alias("file"),
         "primary_start", "primary_length", "replica_start", "replica_length", problem.alias("problem"),
     )
 

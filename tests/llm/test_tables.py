@@ -35,6 +35,10 @@ def test_mixing_edges(table):
     assert all(c == 2 for c in counts)
     assert mixing.mix(table([])).count() == 0
     assert mixing.mix(df, weights={"none": 1.0}).count() == 0
+    dotted = df.withColumnRenamed("lang", "a.b").withColumnRenamed("rate", "row")
+    assert mixing.mix(dotted).columns == [*dotted.columns, "mix_copy", "mix_key"]
+    long = "long text " * 200_000
+    assert {r["text"] for r in mixing.mix(table([(1, long), (2, long)]), size=20.0).collect()} == {long}
 
 
 # ---------------------------------------------------------------- fixity
@@ -62,10 +66,24 @@ def test_audit_edges(spark):
     assert fixity.audit(one, one).count() == 0
     assert fixity.audit(pages(spark, []), pages(spark, [])).count() == 0
     got = fixity.audit(one, pages(spark, []))
-    assert {(r["page_id"], r["problem"]) for r in got.collect()} == {(1, "missing in replica"), (5, "missing in replica")}
+    assert {(r["page_id"], r["problem"]) for r in got.collect()} == {(1, "missing in replica"), (5, "missing in replica"), (None, "missing in replica")}
     assert fixity.audit(pages(spark, [(1, "a"), (1, "b")]), pages(spark, [(1, "b"), (1, "a")])).count() == 0
 
 
+def test_rows_without_an_id_are_audited_too(spark):
+    rows = [(None, "a"), (None, "b"), (3, "c")]
+    assert fixity.audit(pages(spark, rows), pages(spark, rows[::-1])).count() == 0
+    got = fixity.audit(pages(spark, rows), pages(spark, [(None, "a"), (None, "x"), (3, "c")])).collect()
+    assert [(r["page_id"], r["file"], r["problem"]) for r in got] == [(None, None, "content")]
+
+
+def test_very_long_pages_and_empty_ones(spark):
+    long = "<p>long</p>" * 300_000
+    rows = [(1, long), (2, ""), (3, None), (4, "x")]
+    got = fixity.audit(pages(spark, rows), pages(spark, [(1, long[:-1] + "!"), *rows[1:]])).collect()
+    assert [(r["page_id"], r["problem"]) for r in got] == [(1, "content")]
+
+
 def test_only_branches_that_differ_are_compared(spark):
     rows = [(i, "x") for i in range(2000)]
     a, b = fixity.records(pages(spark, rows)), fixity.records(pages(spark, [(i, "y" if i == 1234 else h) for i, h in rows]))
