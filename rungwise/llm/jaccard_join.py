@@ -529,14 +529,18 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(named, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """Rows joined to their groups by key; ``groups`` counts ``members``, and rows of a group of many never meet in one task."""
+    heavy = small_side(materialize(groups.filter(F.col("members") > HEAVY), tag))
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(groups.filter(F.col("members") <= HEAVY), keys)
+    return rest.unionByName(rows.join(heavy, keys).select(*rest.columns))
+
+
 def _contested(members: DataFrame) -> DataFrame:
-    """Members of cells that hold several labels, with the cell's size; cells of many members never meet in one task."""
+    """Members of cells that hold several labels, with the cell's size."""
     cells = members.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
-    cells = materialize(cells.filter("lo < hi").select("cell", "members"), "jaccard-contested")
-    heavy = small_side(materialize(members.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > HEAVY).select("cell"), "jaccard-heavy"))
-    large = small_side(cells.filter(F.col("members") > HEAVY))
-    light = members.join(heavy, "cell", "left_anti").join(cells.filter(F.col("members") <= HEAVY), "cell")
-    return light.unionByName(members.join(large, "cell").select(*light.columns))
+    cells = materialize(cells.filter("lo < hi OR members > %d" % HEAVY), "jaccard-contested")
+    return _with_groups(members, cells, ["cell"], "jaccard-heavy").filter("lo < hi").drop("lo", "hi")
 
 
 def _needed(contested: DataFrame, named: DataFrame) -> DataFrame:
@@ -590,8 +594,9 @@ def _components_of(rows: DataFrame, shingle: int, num: int, den: int, passes: in
         release_shuffles(spark)
 
     every = settled.filter("kind = 0").select("doc", "n", "h1", "h2", "need")
-    classes = every.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    named = materialize(every.join(classes, ["h1", "h2"], "left").select("doc", "n", "need", F.coalesce("rep", "doc").alias("rep")), "jaccard-sets")
+    classes = every.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("members"))
+    named = _with_groups(every, classes, ["h1", "h2"], "jaccard-classes")
+    named = materialize(named.select("doc", "n", "need", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep")), "jaccard-sets")
     rep_of = named.filter("doc <> rep").select("doc", "rep")
     members = settled.filter("kind = 1").select("cell", "doc", F.col("n").alias("first"))
     for column in ("doc", "first"):
