@@ -59,72 +59,93 @@ def walk(sites: DataFrame, palette: DataFrame, side: int, r: int = 2) -> DataFra
     return sites.groupBy("frame").applyInPandas(run, "frame long, y long, x long, idx long, drop_l long, drop_a long, drop_b long")
 
 
-def settle(idx: np.ndarray, candidates: list[tuple[float, int, int]], n_options: int = 256, ceiling: float = 400.0) -> tuple[np.ndarray, dict]:
-    """Moves in the given order while the balance statistic is above the ceiling: one a site, only those that lower it."""
-    idx = idx.copy()
-    n = len(idx)
-    counts = np.bincount(idx, minlength=n_options)
-    chi2 = before = float(((counts - n / n_options) ** 2).sum() * n_options / n)
-    moved: set[int] = set()
-    paid = 0.0
-    for cost, i, q in candidates:
-        if chi2 <= ceiling:
-            break
-        change = 2.0 * n_options * (counts[q] - counts[idx[i]] + 1) / n
-        if i in moved or change >= 0:
+def settle(idx: np.ndarray, cost: np.ndarray, site: np.ndarray, to: np.ndarray, n_options: int = 256, ceiling: float = 400.0, scan: int = 512) -> tuple[np.ndarray, dict]:
+    """Moves (cost, site, option) taken in the given order, one a site, each that lowers the balance statistic at its turn, until the ceiling.
+
+    The statistic is ``n_options * squares / n - n`` with the sum of squared
+    counts, which stays a whole number. Between two moves no count changes, so
+    the next move is the first of the remaining ones that passes a mask.
+    """
+    now, n = idx.copy(), len(idx)
+    counts = np.bincount(now, minlength=n_options)
+    squares = int((counts * counts).sum())
+    balance = lambda: n_options * squares / n - n
+    before, free, taken, at = balance(), np.ones(n, bool), [], 0
+    while at < len(site) and balance() > ceiling:
+        part = slice(at, at + scan)
+        gain = counts[now[site[part]]] - counts[to[part]] - 1  # half of what the squares lose
+        passing = np.flatnonzero(free[site[part]] & (gain > 0))
+        if not len(passing):
+            at += scan
             continue
-        counts[idx[i]] -= 1
-        counts[q] += 1
-        idx[i] = q
-        chi2 += change
-        moved.add(i)
-        paid += max(cost, 0.0)
-    return idx, {"before": before, "after": chi2, "moves": len(moved), "paid": paid}
+        k = at + int(passing[0])
+        squares -= 2 * int(gain[passing[0]])
+        counts[now[site[k]]] -= 1
+        counts[to[k]] += 1
+        now[site[k]], free[site[k]] = to[k], False
+        taken.append(k)
+        at = k + 1
+    return now, {"before": before, "after": balance(), "moves": len(taken), "paid": float(np.maximum(cost[taken], 0.0).sum()) if taken else 0.0}
 
 
 def settled(candidates: DataFrame, budget: float, ceiling: float = 400.0) -> DataFrame:
-    """frame, pos, rank, idx, d2 (rank 0 is home) to each frame's settled report and indices."""
+    """frame, pos, rank, idx, d2 (rank 0 is home) to each frame's settled report; cheapest moves first, ties by place and rank."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pos", "rank"])
-        home = pdf[pdf["rank"] == 0].reset_index(drop=True)
-        place = {p: i for i, p in enumerate(home["pos"])}
-        base = dict(zip(home["pos"], np.sqrt(home["d2"].to_numpy(float))))
-        others = pdf[pdf["rank"] > 0]
-        moves = [(float(np.sqrt(d)) - base[p], p, k, q) for p, k, q, d in zip(others["pos"], others["rank"], others["idx"], others["d2"])]
-        ordered = [(c, place[p], q) for c, p, k, q in sorted(m for m in moves if m[0] <= budget)]
-        idx, report = settle(home["idx"].to_numpy(np.int64), ordered, ceiling=ceiling)
-        full = float(((np.bincount(idx, minlength=256) - len(idx) / 256) ** 2).sum() * 256 / len(idx))
-        return pd.DataFrame({"frame": pdf["frame"].iloc[:1], "n": [len(idx)], "before": [report["before"]], "after": [report["after"]], "recount": [full], "moves": [report["moves"]], "paid": [report["paid"]]})
+        pos, rank, option = (pdf[c].to_numpy(np.int64) for c in ("pos", "rank", "idx"))
+        home = rank == 0
+        site = np.cumsum(home) - 1  # every place starts with its home
+        far = np.sqrt(pdf["d2"].to_numpy(float))
+        cost = far - far[home][site]
+        moves = np.flatnonzero(~home & (cost <= budget))
+        moves = moves[np.lexsort((rank[moves], pos[moves], cost[moves]))]
+        idx, report = settle(option[home], cost[moves], site[moves], option[moves], ceiling=ceiling)
+        return pd.DataFrame({"frame": pdf["frame"].iloc[:1], "n": [len(idx)], **{k: [v] for k, v in report.items()}, "idx": [idx.tolist()]})
+
+    return candidates.groupBy("frame").applyInPandas(run, "frame long, n long, before double, after double, moves long, paid double, idx array<long>")
+
+
+def soft_choice(palette: np.ndarray, targets: np.ndarray, temperature: float | None, share: float = 1.0) -> np.ndarray:
+    """Each target's weights of the entries, falling off exponentially with squared distance over ``temperature`` (its mean times ``share`` if none)."""
+    squared = np.square(targets[:, None, :] - palette[None, :, :]).sum(axis=2)
+    width = share * (squared.mean() + 1e-12) if temperature is None else temperature
+    return _softmax(-squared / width)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
-    return candidates.groupBy("frame").applyInPandas(run, "frame long, n long, before double, after double, recount double, moves long, paid double")
+
+def grid_kernel(sigma: float) -> np.ndarray:
+    """Closeness of the entries on their grid."""
+    along = np.arange(GRID)
+    line = np.exp(-np.square(along[:, None] - along[None, :]) / (2 * sigma * sigma))
+    return np.kron(line, line)
 
 
 def refine_map(palette: np.ndarray, targets: np.ndarray, steps: int = 2, sigma: float = 1.5, eta: float = 0.5, tau: float = 0.05) -> np.ndarray:
-    """Neighbourhood-weighted steps of a 16 by 16 self-organising map.
+    """Steps of a self-organising map of 16 by 16 entries.
 
-    Targets choose entries softly (by distance over its mean), the choice spreads
-    to grid neighbours, and entries move towards their weighted means, the less
-    the less weight they got.
+    One aggregate an entry: its weight and its weighted sum of targets, four
+    numbers. The grid kernel mixes the aggregates of neighbours; an entry moves
+    towards its mixed mean, the less the less weight it got.
     """
-    v, u = np.divmod(np.arange(GRID * GRID), GRID)
-    near = np.exp(-((v[:, None] - v) ** 2 + (u[:, None] - u) ** 2) / (2 * sigma * sigma))
+    near = grid_kernel(sigma)
+    ones = np.c_[np.ones(len(targets)), targets]
     for _ in range(steps):
-        d2 = ((targets[:, None, :] - palette[None, :, :]) ** 2).sum(2)
-        w = np.exp(-(d2 - d2.min(1, keepdims=True)) / (tau * (d2.mean() + 1e-12)))
-        spread = (w / w.sum(1, keepdims=True)) @ near
-        mass = spread.sum(0)[:, None]
-        palette = palette + eta * mass / (mass + 1) * (spread.T @ targets / (mass + 1e-8) - palette)
+        mixed = near @ (soft_choice(palette, targets, None, tau).T @ ones)
+        weight, mean = mixed[:, :1], mixed[:, 1:] / (mixed[:, :1] + 1e-8)
+        palette = palette + eta * (weight / (weight + 1)) * (mean - palette)
     return palette
 
 
 def soft_usage(palette: np.ndarray, targets: np.ndarray, temperature: float) -> tuple[np.ndarray, float]:
     """Usage under exponential weights of distance, and its balance statistic."""
-    d2 = ((targets[:, None, :] - palette[None, :, :]) ** 2).sum(2)
-    w = np.exp(-(d2 - d2.min(1, keepdims=True)) / temperature)
-    use = (w / w.sum(1, keepdims=True)).sum(0)
-    n, k = len(targets), len(palette)
-    return use, float(((use - n / k) ** 2).sum() * k / n)
+    use = soft_choice(palette, targets, temperature).sum(axis=0)
+    fair = len(targets) / len(palette)
+    return use, float(np.square(use - fair).sum() / fair)
 
 
 def conv2d(x: np.ndarray, w: np.ndarray, bias: np.ndarray, stride: int = 1, groups: int = 1) -> np.ndarray:
@@ -145,20 +166,39 @@ def leaky(x: np.ndarray, slope: float = 1 / 16) -> np.ndarray:
     return np.where(x >= 0, x, x * slope)
 
 
-def infer(planes: DataFrame, layers: list[tuple[np.ndarray, np.ndarray, int, int]], out_channels: int) -> DataFrame:
-    """item, c, y, x, v through a stack of (weights, bias, stride, groups); leaky between layers, none after the last.
+#: (weights, bias, stride, groups, whether leaky follows).
+Layer = tuple[np.ndarray, np.ndarray, int, int, bool]
+
 
-    Weights are of fixed size and travel with the task.
+def seed_layers(tensors: dict[str, np.ndarray], frames: int = 4) -> list[Layer]:
+    """The seed network of a weight package: a stem grouped by frame, a fuse without activation, strided halvings, a head without activation.
+
+    Package tensors are (out, rows, columns, in) and have no bias.
     """
+    turned = {k: np.transpose(v, (0, 3, 1, 2)) for k, v in tensors.items()}
+    plain = lambda w, stride, groups, active: (w, np.zeros(len(w)), stride, groups, active)
+    layers = [plain(turned["encoder.stem.weight"], 1, frames, True), plain(turned["encoder.fuse.weight"], 1, 1, False)]
+    k = 0
+    while f"encoder.ladder.{k}.weight" in turned:
+        layers.append(plain(turned[f"encoder.ladder.{k}.weight"], 2, 1, True))
+        k += 1
+    return [*layers, plain(turned["palette.weight"], 1, 1, False)]
+
+
+def forward(x: np.ndarray, layers: list[Layer]) -> np.ndarray:
+    for w, b, stride, groups, active in layers:
+        x = conv2d(x, w, b, stride, groups)
+        x = leaky(x) if active else x
+    return x
+
+
+def infer(planes: DataFrame, layers: list[Layer]) -> DataFrame:
+    """item, c, y, x, v through a stack of layers, whose weights are of fixed size and travel with the task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(pdf["c"].max()) + 1, int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1)
-        a = np.zeros(shape)
+        a = np.zeros((int(pdf["c"].max()) + 1, int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1))
         a[pdf["c"], pdf["y"], pdf["x"]] = pdf["v"]
-        for n, (w, b, stride, groups) in enumerate(layers):
-            a = conv2d(a, w, b, stride, groups)
-            if n < len(layers) - 1:
-                a = leaky(a)
+        a = forward(a, layers)
         c, y, x = (i.ravel() for i in np.indices(a.shape))
         return pd.DataFrame({"item": pdf["item"].iloc[0], "c": c, "y": y, "x": x, "v": a.ravel()})
 

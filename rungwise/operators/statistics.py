@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rungwise.operators import ordering
+
 
 def stage_report(stages: DataFrame) -> DataFrame:
     """Calls, midpoint median, maximum and total per stage."""
-    return stages.groupBy("stage").agg(
-        F.count(F.lit(1)).alias("calls"), F.expr("percentile(ms, 0.5)").alias("median_ms"), F.max("ms").alias("max_ms"), F.round(F.sum(F.round(F.col("ms") * 1e6).cast("long")) / 1e6, 6).alias("total_ms")
-    )
+    sums = stages.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.max("ms").alias("max_ms"), F.round(F.sum(F.round(F.col("ms") * 1e6).cast("long")) / 1e6, 6).alias("total_ms"))
+    middle = ordering.picked(stages.select("stage", "ms").filter("ms IS NOT NULL"), ["stage"], ["ms"], lambda n: F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
+    middle = middle.groupBy("stage").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
+    median = (F.col("lo") + (F.col("hi") - F.col("lo")) * 0.5).alias("median_ms")
+    return sums.join(ordering.few(middle), "stage", "left").select("stage", "calls", median, "max_ms", "total_ms")
 
 
 def first_calls(stages: DataFrame, most: int = 128) -> DataFrame:
-    w = Window.partitionBy("stage").orderBy("moment", "call")
-    return stages.withColumn("nth", F.row_number().over(w).cast("long")).filter(F.col("nth") <= most)
+    ranks = ordering.ranked(stages, ["stage"], ["moment", "call"])
+    return ranks.filter(F.col("_r") < most).withColumn("nth", F.col("_r") + 1).drop("_r", "_n")
 
 
 def timeline(stages: DataFrame) -> DataFrame:
@@ -27,8 +31,8 @@ def timeline(stages: DataFrame) -> DataFrame:
 
 def equal_width(values: DataFrame, keys: list[str], value: str, n: int = 10) -> DataFrame:
     """Counts in n buckets over each key's own range; the last bucket is closed."""
-    w = Window.partitionBy(*keys)
-    ranged = values.withColumn("_lo", F.min(value).over(w)).withColumn("_hi", F.max(value).over(w))
+    spans = values.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    ranged = values.join(ordering.few(spans), keys)
     width = (F.col("_hi") - F.col("_lo")) / n
     bucket = F.when(width == 0, F.lit(0).cast("long")).otherwise(F.least(F.floor((F.col(value) - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(n - 1).cast("long")))
     return ranged.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -68,9 +72,7 @@ def correlation(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def ordered_pick(rows: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
     """sorted[floor(n * q)] per key."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("_r") == F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1)).select(*keys, F.col(value).alias(out))
+    return ordering.picked(rows.select(*keys, value), keys, [value], lambda n: F.array(F.least(F.floor(n * F.lit(q)), n - 1))).select(*keys, F.col(value).alias(out))
 
 
 def second_differences(rows: DataFrame, series: list[str], order: str, value: str) -> DataFrame:
@@ -81,9 +83,7 @@ def second_differences(rows: DataFrame, series: list[str], order: str, value: st
 
 def rank_buckets(rows: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
     """Bucket floor(rank * n / count) of each row."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.withColumn("bucket", F.floor(F.col("_r") * n / F.col("_n"))).drop("_r", "_n")
+    return ordering.ranked(rows, keys, [value]).withColumn("bucket", F.floor(F.col("_r") * n / F.col("_n"))).drop("_r", "_n")
 
 
 def line_fit(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -92,18 +92,21 @@ def line_fit(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def scaled_trail(rows: DataFrame, series: list[str], order: list[str], value: str, n: int = 32) -> DataFrame:
     """A value between the least and greatest of the trailing n rows."""
-    w = Window.partitionBy(*series).orderBy(*order).rowsBetween(-(n - 1), 0)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return rows.withColumn("scaled", F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(0.0))
+
+    def made(w) -> dict[str, Column]:
+        lo, hi = F.min(value).over(w), F.max(value).over(w)
+        return {"scaled": F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(0.0)}
+
+    return ordering.trailing(rows, series, order, n, made)
 
 
-def combined_weights(rows: DataFrame, keys: list[str], a: str, b: str, blend: float) -> DataFrame:
-    """Two weights, each scaled to mean 1, blended, multiplied and kept in [0.25, 4]."""
+def combined_weights(rows: DataFrame, keys: list[str], a: str, b: str, blend: float, lo: float = 0.25, hi: float = 4.0) -> DataFrame:
+    """Two weights, each scaled to mean 1, blended with an even one and kept in [lo, hi]; their product scaled to mean 1 and kept there too."""
+    kept = lambda c: F.greatest(F.lit(lo), F.least(c, F.lit(hi)))
     w = Window.partitionBy(*keys)
-    one = F.col(a) / F.avg(a).over(w)
-    two = F.col(b) / F.avg(b).over(w)
-    mixed = (1 - blend + blend * one) * (1 - blend + blend * two)
-    return rows.withColumn("weight", F.greatest(F.lit(0.25), F.least(mixed, F.lit(4.0))))
+    scaled = lambda c: c / (F.avg(c).over(w) + 1e-12)
+    product = rows.withColumn("_p", kept(1 - blend + blend * scaled(F.col(a))) * kept(1 - blend + blend * scaled(F.col(b))))
+    return product.withColumn("weight", kept(scaled(F.col("_p")))).drop("_p")
 
 
 def share(condition: Column) -> Column:

@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungwise.operators.bins import cell_sums
+from rungwise.operators.ordering import picked
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """sorted[n div 2] per key, by rank; no approximation, no array of all values."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias(out))
+    """sorted[n div 2] per key, exactly."""
+    return picked(df, keys, [value], lambda n: F.array(F.floor(n / 2))).select(*keys, F.col(value).alias(out))
 
 
 def deciles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """sorted[min(n - 1, i * n div 10)] for i = 0..10."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    places = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.struct(i.cast("long").alias("decile"), F.least(F.col("_n") - 1, F.floor(i * F.col("_n") / 10)).alias("at")))
-    hit = F.filter(places, lambda p: p["at"] == F.col("_r"))
-    return ranked.withColumn("p", F.explode(hit)).select(*keys, F.col("p.decile").alias("decile"), F.col(value).alias("value"))
+    places = lambda n: F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.least(n - 1, F.floor(i * n / 10)))
+    return picked(df, keys, [value], places).select(*keys, F.col("_i").alias("decile"), F.col(value).alias("value"))
 
 
 def _fold(terms: str, f) -> Column:

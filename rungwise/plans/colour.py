@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from rungwise.functions import colour as C
@@ -19,20 +17,12 @@ def lit(x: float) -> str:
 
 def linear(spark, d):
     """id, r, g, b: linear triples in [0, 1] from item lines."""
-    q = V.table(spark, d, "lineitem").filter("l_linenumber = 1")
-    k = F.col("l_orderkey")
-    part = lambda m, s: ((k * m + F.col("l_partkey") * s) % 4096).cast("double") / F.lit(4096.0)
-    return q.groupBy(k.alias("id")).agg(F.min(part(37, 11)).alias("r"), F.min(part(53, 7)).alias("g"), F.min(part(101, 3)).alias("b"))
-
-
-def line_colours(spark, d):
-    """Like linear, but every item line; id is the order and the line."""
     k = F.col("l_orderkey")
     part = lambda m, s: ((k * m + F.col("l_partkey") * s) % 4096).cast("double") / F.lit(4096.0)
-    return V.table(spark, d, "lineitem").select(F.struct(k.alias("order"), F.col("l_linenumber").alias("line")).alias("id"), part(37, 11).alias("r"), part(53, 7).alias("g"), part(101, 3).alias("b"))
+    return V.table(spark, d, "lineitem").select((k * 8 + F.col("l_linenumber")).alias("id"), part(37, 11).alias("r"), part(53, 7).alias("g"), part(101, 3).alias("b"))
 
 
-LINEAR = "linear AS (SELECT l_orderkey AS id, " + ", ".join(f"min(CAST((l_orderkey * {m} + l_partkey * {s}) % 4096 AS DOUBLE) / {lit(4096.0)}) AS {c}" for m, s, c in ((37, 11, "r"), (53, 7, "g"), (101, 3, "b"))) + " FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey)"
+LINEAR = "linear AS (SELECT l_orderkey * 8 + l_linenumber AS id, " + ", ".join(f"CAST((l_orderkey * {m} + l_partkey * {s}) % 4096 AS DOUBLE) / {lit(4096.0)} AS {c}" for m, s, c in ((37, 11, "r"), (53, 7, "g"), (101, 3, "b"))) + " FROM lineitem)"
 
 
 def dot_sql(row, names) -> str:
@@ -57,14 +47,14 @@ NZ = "linear_nz AS (SELECT * FROM linear WHERE r > 0 AND g > 0 AND b > 0)"
 
 
 @query("prj3_pinned_cube_root", f"WITH {LINEAR}, {NZ} " + root_sql("linear_nz", ["r", "g", "b"], "id"))
-def pinned_cube_root(spark, d, source=linear):
-    return C.with_cube_roots(source(spark, d).filter("r > 0 AND g > 0 AND b > 0"), ["r", "g", "b"])
+def pinned_cube_root(spark, d):
+    return C.with_cube_roots(linear(spark, d).filter("r > 0 AND g > 0 AND b > 0"), ["r", "g", "b"])
 
 
 @query("prj4_apply_matrix", f"WITH {LINEAR} SELECT id, " + ", ".join(f"{dot_sql(row, 'rgb')} AS {n}" for row, n in zip(C.PROPHOTO_TO_XYZ_D50, ("cx", "cy", "cz"))) + " FROM linear")
-def apply_matrix(spark, d, source=linear):
+def apply_matrix(spark, d):
     out = C.apply3(C.PROPHOTO_TO_XYZ_D50, [F.col(c) for c in "rgb"])
-    return source(spark, d).select("id", *[c.alias(n) for c, n in zip(out, ("cx", "cy", "cz"))])
+    return linear(spark, d).select("id", *[c.alias(n) for c, n in zip(out, ("cx", "cy", "cz"))])
 
 
 def _lms_sql(m) -> str:
@@ -78,41 +68,41 @@ def oklab_sql(m) -> str:
 OKLAB = f"{LINEAR}, {NZ}, oklab AS ({oklab_sql(C.prophoto_to_lms())})"
 
 
-def oklab(spark, d, source=linear):
-    rows = source(spark, d).filter("r > 0 AND g > 0 AND b > 0")
+def oklab(spark, d):
+    rows = linear(spark, d).filter("r > 0 AND g > 0 AND b > 0")
     return C.to_oklab(rows, ["r", "g", "b"], ["lab_l", "lab_a", "lab_b"]).select("id", "lab_l", "lab_a", "lab_b")
 
 
 @query("prj10_oklab", f"WITH {OKLAB} SELECT * FROM oklab")
-def to_oklab(spark, d, source=linear):
-    return oklab(spark, d, source)
+def to_oklab(spark, d):
+    return oklab(spark, d)
 
 
 Q16 = f"{OKLAB}, q16 AS (SELECT id, " + ", ".join(f"CAST(floor(lab_{c} * 65536.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS {c}" for c in "lab") + " FROM oklab)"
 
 
-def q16(spark, d, source=linear):
-    return oklab(spark, d, source).select("id", *[C.quantised(F.col(f"lab_{c}")).alias(c) for c in "lab"])
+def q16(spark, d):
+    return oklab(spark, d).select("id", *[C.quantised(F.col(f"lab_{c}")).alias(c) for c in "lab"])
 
 
 @query("prj11_quantise", f"WITH {Q16} SELECT *, CAST(l AS DOUBLE) / 65536 AS back FROM q16")
-def quantise(spark, d, source=linear):
-    return q16(spark, d, source).withColumn("back", C.dequantised(F.col("l")))
+def quantise(spark, d):
+    return q16(spark, d).withColumn("back", C.dequantised(F.col("l")))
 
 
 def _display_sql() -> str:
-    deq = "SELECT id, " + ", ".join(f"CAST({c} AS DOUBLE) / {lit(65536.0)} AS d{c}" for c in "lab") + " FROM q16"
-    roots = "SELECT id, " + ", ".join(f"dl + {lit(r[1])} * da + {lit(r[2])} * db AS r{i}" for i, r in enumerate(C.LAB_TO_LMS_ROOT)) + f" FROM ({deq})"
-    cubes = "SELECT id, " + ", ".join(f"r{i} * r{i} * r{i} AS c{i}" for i in range(3)) + f" FROM ({roots})"
-    return "SELECT id, " + ", ".join(f"{dot_sql(row, ('c0', 'c1', 'c2'))} AS {n}" for row, n in zip(C.LMS_TO_SRGB, ("lr", "lg", "lb"))) + f" FROM ({cubes})"
+    deq = "SELECT id, l, a, b, " + ", ".join(f"CAST({c} AS DOUBLE) / {lit(65536.0)} AS d{c}" for c in "lab") + " FROM q16"
+    roots = "SELECT id, l, a, b, " + ", ".join(f"dl + {lit(r[1])} * da + {lit(r[2])} * db AS r{i}" for i, r in enumerate(C.LAB_TO_LMS_ROOT)) + f" FROM ({deq})"
+    cubes = "SELECT id, l, a, b, " + ", ".join(f"r{i} * r{i} * r{i} AS c{i}" for i in range(3)) + f" FROM ({roots})"
+    return "SELECT id, l, a, b, " + ", ".join(f"{dot_sql(row, ('c0', 'c1', 'c2'))} AS {n}" for row, n in zip(C.LMS_TO_SRGB, ("lr", "lg", "lb"))) + f" FROM ({cubes})"
 
 
 DISPLAY = f"{Q16}, display AS ({_display_sql()})"
 
 
-@query("prj12_linear_display", f"WITH {DISPLAY} SELECT * FROM display")
-def linear_display(spark, d, source=linear):
-    rows = q16(spark, d, source).select("id", *[C.dequantised(F.col(c)).alias(f"d{c}") for c in "lab"])
+@query("prj12_linear_display", f"WITH {DISPLAY} SELECT id, lr, lg, lb FROM display")
+def linear_display(spark, d):
+    rows = q16(spark, d).select("id", *[C.dequantised(F.col(c)).alias(f"d{c}") for c in "lab"])
     return C.to_linear_display(rows, ["dl", "da", "db"], ["lr", "lg", "lb"]).select("id", "lr", "lg", "lb")
 
 
@@ -124,20 +114,20 @@ def _byte_sql(c: str) -> str:
 
 
 @query("prj13_transfer_lookup", f"WITH {LINEAR} SELECT id, {_byte_sql('r')} AS r8, {_byte_sql('g')} AS g8, {_byte_sql('b')} AS b8 FROM linear")
-def transfer_lookup(spark, d, source=linear):
-    return source(spark, d).select("id", *[C.display_byte(F.col(c)).alias(f"{c}8") for c in "rgb"])
+def transfer_lookup(spark, d):
+    return linear(spark, d).select("id", *[C.display_byte(F.col(c)).alias(f"{c}8") for c in "rgb"])
 
 
-@query("prj14_palette_bytes", f"WITH {DISPLAY} SELECT q.id, q.l, q.a, q.b, {_byte_sql('lr')} AS r8, {_byte_sql('lg')} AS g8, {_byte_sql('lb')} AS b8 FROM q16 q JOIN display USING (id)")
-def palette_bytes(spark, d, source=linear):
-    return C.palette_bytes(q16(spark, d, source))
+@query("prj14_palette_bytes", f"WITH {DISPLAY} SELECT id, l, a, b, {_byte_sql('lr')} AS r8, {_byte_sql('lg')} AS g8, {_byte_sql('lb')} AS b8 FROM display")
+def palette_bytes(spark, d):
+    return C.palette_bytes(q16(spark, d))
 
 
 @query("prj15_delta", f"WITH {Q16} SELECT id, l * l + a * a + b * b AS d2, a * a + b * b AS chroma2, sqrt(CAST(l * l + a * a + b * b AS DOUBLE)) AS d FROM q16")
-def delta(spark, d, source=linear):
+def delta(spark, d):
     zero = [F.lit(0).cast("long")] * 3
     cols = [F.col(c) for c in "lab"]
-    return q16(spark, d, source).select("id", C.delta_squared(cols, zero).alias("d2"), C.delta_squared(cols[1:], zero[1:]).alias("chroma2"), C.delta(cols, zero).alias("d"))
+    return q16(spark, d).select("id", C.delta_squared(cols, zero).alias("d2"), C.delta_squared(cols[1:], zero[1:]).alias("chroma2"), C.delta(cols, zero).alias("d"))
 
 
 MATS = "mats AS (SELECT o_orderkey AS id, " + ", ".join(f"CAST((o_orderkey * {7 + 4 * i} + o_custkey * {3 + i}) % 17 - 8 AS DOUBLE) AS m{i}" for i in range(9)) + " FROM orders)"
@@ -163,9 +153,20 @@ NEUTRAL = [29791 / 70950, 1 / 1, 73143 / 144911]
 
 
 @query("prj5_9_camera_matrix", f"WITH {LINEAR} SELECT id, " + ", ".join(f"{dot_sql(row, 'rgb')} AS {n}" for row, n in zip(C.camera_by_colour(COLOUR_TAG, NEUTRAL), ("pr", "pg", "pb"))) + " FROM linear")
-def camera_matrix(spark, d, source=linear):
+def camera_matrix(spark, d):
     m = C.camera_matrix(NEUTRAL, colour2=COLOUR_TAG)
-    return source(spark, d).select("id", *[c.alias(n) for c, n in zip(C.apply3(m, [F.col(c) for c in "rgb"]), ("pr", "pg", "pb"))])
+    return linear(spark, d).select("id", *[c.alias(n) for c, n in zip(C.apply3(m, [F.col(c) for c in "rgb"]), ("pr", "pg", "pb"))])
+
+
+#: A made-up forward matrix whose rows map white to the connection space's white.
+FORWARD_TAG = [[0.62, 0.21, 0.1342], [0.27, 0.71, 0.02], [0.03, 0.06, 0.7351]]
+
+
+@query("prj8_forward_matrix", f"WITH {LINEAR} SELECT id, " + ", ".join(f"{dot_sql(row, 'rgb')} AS {n}" for row, n in zip(C.mul3(C.XYZ_TO_PROPHOTO_D50, [[m * NEUTRAL[1] / NEUTRAL[0], m1, m2 * NEUTRAL[1] / NEUTRAL[2]] for m, m1, m2 in FORWARD_TAG]), ("pr", "pg", "pb"))) + " FROM linear")
+def forward_matrix(spark, d):
+    """The camera path of files with a forward matrix, which goes before a colour matrix."""
+    m = C.camera_matrix(NEUTRAL, forward2=FORWARD_TAG, colour2=COLOUR_TAG)
+    return linear(spark, d).select("id", *[c.alias(n) for c, n in zip(C.apply3(m, [F.col(c) for c in "rgb"]), ("pr", "pg", "pb"))])
 
 
 @query("prj35_neutral_law", "SELECT true AS lawful")
@@ -342,16 +343,6 @@ def fidelity(spark, d):
     from rungwise.operators import statistics as S
 
     zero = [F.lit(0).cast("long")] * 2
-    e = q16(spark, d, source).select((F.col("id") % 7).alias("rung"), C.delta([F.col("a"), F.col("b")], zero).alias("de"))
+    e = q16(spark, d).select((F.col("id") % 7).alias("rung"), C.delta([F.col("a"), F.col("b")], zero).alias("de"))
     p95 = S.ordered_pick(e, ["rung"], "de", 0.95, "p95")
     return e.groupBy("rung").agg(F.max("de").alias("most")).join(p95, "rung")
-
-
-# ---------------------------------------------------------------- whole tables
-
-#: The SQL twins above take the first line of an order; these take every line and have no twin.
-for _name, _fn in {
-    "prj3_pinned_cube_root": pinned_cube_root, "prj4_apply_matrix": apply_matrix, "prj10_oklab": to_oklab, "prj11_quantise": quantise, "prj12_linear_display": linear_display,
-    "prj13_transfer_lookup": transfer_lookup, "prj14_palette_bytes": palette_bytes, "prj15_delta": delta, "prj5_9_camera_matrix": camera_matrix,
-}.items():
-    query(f"{_name}_whole")(partial(_fn, source=line_colours))

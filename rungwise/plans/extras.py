@@ -164,14 +164,10 @@ def map_refinement(spark, d):
 @query("agg39_baseline_judging")
 def baseline_judging(spark, d):
     """Per frame, a clean and a noisy palette's balance before and after settling."""
-    from rungwise.operators import palette as P
-
-    sites = PF.walk_sites(spark, d).withColumn("pos", F.col("frame") * 1000 + F.col("y") * 16 + F.col("x"))
     out = None
     for name, step in (("clean", 0), ("noisy", 911)):
         palette = PF.q16_bell(spark).withColumn("l", F.col("l") + (F.col("idx") * step) % 1500)
-        k = P.alternatives(sites, palette, 8).withColumn("frame", F.floor(F.col("pos") / 1000))
-        got = Q.settled(k, budget=2000.0).select("frame", F.lit(name).alias("seed"), "before", "after", "moves")
+        got = Q.settled(PF.settle_candidates(spark, d, palette), budget=2000.0).select("frame", F.lit(name).alias("seed"), "before", "after", "moves")
         out = got if out is None else out.unionByName(got)
     return out
 

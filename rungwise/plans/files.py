@@ -7,7 +7,6 @@ modules, so the queries need no data beside the tables.
 from __future__ import annotations
 
 import json
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from rungwise.functions import colour as C
 from rungwise.operators import palette as P
 from rungwise.operators import sequential as Q
 from rungwise.operators import wire as W
+from rungwise.plans.colour import BELL
 from rungwise.registry import query
 from rungwise.sources import packages as K
 from rungwise.sources import rawfile as R
@@ -28,10 +28,6 @@ def seeds(spark, d):
     return V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.floor(F.col("s_acctbal")) % 1000).cast("long").alias("k"))
 
 
-def _upto(rows, key: str, limit: int | None):
-    return rows if limit is None else rows.filter(F.col(key) <= limit)
-
-
 SEEDS = "seeds AS (SELECT s_suppkey AS id, CAST(floor(s_acctbal) AS BIGINT) % 1000 AS k FROM supplier)"
 SIDE = 16
 
@@ -137,9 +133,9 @@ def pictures(spark, d):
 # ---------------------------------------------------------------- sequential operators
 
 
-def walk_sites(spark, d, limit: int | None = None):
-    """frame, y, x, l, a, b: a frame per supplier; a limit keeps the ids that an SQL twin names."""
-    s = _upto(seeds(spark, d), "id", limit).select(F.col("id").alias("frame"), F.abs("k").alias("k"))
+def walk_sites(spark, d):
+    """frame, y, x, l, a, b: a frame per supplier."""
+    s = seeds(spark, d).select(F.col("id").alias("frame"), F.abs("k").alias("k"))
     wide = s.withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)))).withColumn("y", F.floor(F.col("site") / SIDE)).withColumn("x", (F.col("site") % SIDE).cast("long"))
     v = F.col("k") + F.col("frame") * 13 + F.col("y") * 577 + F.col("x") * 211
     return wide.select("frame", "y", "x", ((v * 29) % 65536).alias("l"), ((v * 7) % 8192 - 4096).alias("a"), ((v * 5) % 8192 - 4096).alias("b"))
@@ -149,43 +145,113 @@ def q16_bell(spark):
     return P.bell_palette(spark).select("idx", *[C.quantised(F.col(c)).alias(c.lower()) for c in ("L", "A", "B")])
 
 
-@query("seq2_error_diffusion", f"WITH {SEEDS} SELECT id AS frame, CAST({SIDE * SIDE} AS BIGINT) AS sites, true AS conserved FROM seeds WHERE id <= 20")
-def error_diffusion(spark, d, limit: int | None = 20):
-    """Per frame: targets minus chosen colours sum to exactly what was dropped at the borders."""
-    sites, palette = walk_sites(spark, d, limit), q16_bell(spark)
+SITES_SQL = f"""{SEEDS}, sites AS (SELECT id AS frame, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, (abs(k) + id * 13 + y * 577 + x * 211) AS v FROM seeds, range({SIDE}) a(y), range({SIDE}) b(x)),
+targets AS (SELECT frame, y, x, v * 29 % 65536 AS l, v * 7 % 8192 - 4096 AS a, v * 5 % 8192 - 4096 AS b FROM sites)"""
+
+
+def _handed_on(c: str, row: str) -> str:
+    """A row of what sites were handed (a place left and right of the frame, too) after this step's shares of channel c."""
+    shares = {"now": ((1, f"e_{c} - ((3 * e_{c}) >> 4) - ((5 * e_{c}) >> 4) - (e_{c} >> 4)"),), "next": ((-1, f"(3 * e_{c}) >> 4"), (0, f"(5 * e_{c}) >> 4"), (1, f"e_{c} >> 4"))}[row]
+    cases = " ".join(f"WHEN i = x + 1 + ({k}) * way THEN {share}" for k, share in shares)
+    return f"list_transform(range({SIDE + 2}), lambda i: {row}_{c}[i + 1] + CASE {cases} ELSE 0 END)"
+
+
+_BELL_LAB = (
+    "CASE idx WHEN 0 THEN 0 WHEN 255 THEN 1 ELSE (stratum + (place + 0.5::DOUBLE) / count) / 16 END",
+    *(f"CASE WHEN idx IN (0, 255) OR count < 4 THEN 0 ELSE 0.1::DOUBLE * {f}(2 * pi() * place / count) END" for f in ("cos", "sin")),
+)
+_ZEROS = f"list_transform(range({SIDE + 2}), lambda i: CAST(0 AS BIGINT))"
+#: The walk as a recursion over its steps: at each one the window's nearest entry for target plus error handed on.
+WALK_SQL = f"""{BELL}, palette AS MATERIALIZED (SELECT idx AS id, {", ".join(f"CAST(floor(({v}) * 65536 + 0.5::DOUBLE) AS BIGINT) AS {c}" for c, v in zip("lab", _BELL_LAB))} FROM bell),
+walk AS (
+  SELECT frame, CAST(-1 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS y, CAST(NULL AS BIGINT) AS x, CAST(NULL AS BIGINT) AS idx, {", ".join(f"{_ZEROS} AS {r}_{c}" for c in "lab" for r in ("now", "next"))} FROM (SELECT DISTINCT frame FROM targets)
+  UNION ALL
+  SELECT frame, step, y, x, idx, {", ".join(f"CASE WHEN ends THEN {_handed_on(c, 'next')} ELSE {_handed_on(c, 'now')} END, CASE WHEN ends THEN {_ZEROS} ELSE {_handed_on(c, 'next')} END" for c in "lab")}
+  FROM (
+    SELECT w.frame, w.step, w.y, w.x, w.way, w.ends, n.id AS idx, {", ".join(f"w.now_{c}, w.next_{c}, w.want_{c} - n.{c} AS e_{c}" for c in "lab")}
+    FROM (
+      SELECT frame, step, y, x, way, ends, arg_min(id, d2 * 256 + id) AS id, {", ".join(f"any_value(now_{c}) AS now_{c}, any_value(next_{c}) AS next_{c}, any_value(want_{c}) AS want_{c}" for c in "lab")}
+      FROM (
+        SELECT g.*, p.id, (p.l - want_l) * (p.l - want_l) + (p.a - want_a) * (p.a - want_a) + (p.b - want_b) * (p.b - want_b) AS d2
+        FROM (
+          SELECT s.*, {", ".join(f"t.{c} + s.now_{c}[s.x + 2] AS want_{c}" for c in "lab")}
+          FROM (SELECT frame, step, y, CASE WHEN y % 2 = 0 THEN j ELSE {SIDE - 1} - j END AS x, CASE WHEN y % 2 = 0 THEN 1 ELSE -1 END AS way, j = {SIDE - 1} AS ends, {", ".join(f"now_{c}, next_{c}" for c in "lab")}
+                FROM (SELECT frame, step + 1 AS step, (step + 1) // {SIDE} AS y, (step + 1) % {SIDE} AS j, {", ".join(f"now_{c}, next_{c}" for c in "lab")} FROM walk WHERE step < {SIDE * SIDE - 1})) s
+          JOIN targets t ON t.frame = s.frame AND t.y = s.y AND t.x = s.x) g
+        JOIN palette p ON p.id // 16 BETWEEN g.y - 2 AND g.y + 2 AND p.id % 16 BETWEEN g.x - 2 AND g.x + 2)
+      GROUP BY frame, step, y, x, way, ends) w
+    JOIN palette n ON n.id = w.id))"""
+
+
+@query("seq2_error_diffusion", f"WITH RECURSIVE {SITES_SQL}, {WALK_SQL} SELECT frame, y, x, idx FROM walk WHERE step >= 0")
+def error_diffusion(spark, d):
+    """The entry that every site takes on the serpentine walk."""
+    return Q.walk(walk_sites(spark, d), q16_bell(spark), SIDE, 2).select("frame", "y", "x", "idx")
+
+
+@query("seq2_conserved", f"WITH {SEEDS} SELECT id AS frame, CAST({SIDE * SIDE} AS BIGINT) AS sites, true AS conserved FROM seeds")
+def conserved(spark, d):
+    """A law: per frame, targets minus chosen colours sum to exactly what was dropped at the borders."""
+    sites, palette = walk_sites(spark, d), q16_bell(spark)
     got = Q.walk(sites, palette, SIDE, 2).join(F.broadcast(palette.select("idx", *[F.col(c).alias(f"p_{c}") for c in "lab"])), "idx").join(sites, ["frame", "y", "x"])
     sums = got.groupBy("frame").agg(F.count(F.lit(1)).alias("sites"), *[(F.sum(F.col(c) - F.col(f"p_{c}")) == F.max(f"drop_{c}")).alias(f"ok_{c}") for c in "lab"])
     return sums.select("frame", "sites", (F.col("ok_l") & F.col("ok_a") & F.col("ok_b")).alias("conserved"))
 
 
-@query("seq3_settle", f"WITH {SEEDS} SELECT id AS frame, CAST({SIDE * SIDE} AS BIGINT) AS n, true AS consistent FROM seeds WHERE id <= 20")
-def settle(spark, d, limit: int | None = 20):
-    """Settled frames: the running balance equals a full recount, and never rose."""
-    sites = walk_sites(spark, d, limit).withColumn("pos", F.col("frame") * 1000 + F.col("y") * SIDE + F.col("x"))
-    k = P.alternatives(sites, q16_bell(spark), 8).withColumn("frame", F.floor(F.col("pos") / 1000))
-    got = Q.settled(k, budget=2000.0, ceiling=400.0)
-    return got.select("frame", "n", ((F.abs(F.col("after") - F.col("recount")) < 1e-6) & (F.col("after") <= F.col("before"))).alias("consistent"))
+def settle_candidates(spark, d, palette=None):
+    """frame, pos, rank, idx, d2: the eight nearest entries of every site."""
+    sites = walk_sites(spark, d).withColumn("pos", F.col("frame") * 1000 + F.col("y") * SIDE + F.col("x"))
+    return P.alternatives(sites, q16_bell(spark) if palette is None else palette, 8).withColumn("frame", F.floor(F.col("pos") / 1000))
+
+
+@query("seq3_settle")
+def settle(spark, d):
+    """What every site of a settled frame takes; a recursion over candidates that tests hold against the plain loop."""
+    got = Q.settled(settle_candidates(spark, d), budget=2000.0, ceiling=400.0)
+    return got.select("frame", F.posexplode("idx").alias("site", "idx"))
 
 
 @query("seq4_judged_settle")
 def judged_settle(spark, d):
     """Balance and cost before and after settling, per frame."""
-    sites = walk_sites(spark, d).withColumn("pos", F.col("frame") * 1000 + F.col("y") * SIDE + F.col("x"))
-    k = P.alternatives(sites, q16_bell(spark), 8).withColumn("frame", F.floor(F.col("pos") / 1000))
-    return Q.settled(k, budget=2000.0, ceiling=400.0).select("frame", "before", "after", "moves", "paid")
+    return Q.settled(settle_candidates(spark, d), budget=2000.0, ceiling=400.0).select("frame", "before", "after", "moves", "paid")
+
+
+#: Channels that the layers of the small network put out; its weights are quarters of whole numbers, so that sums are exact.
+SEED_WIDTH = 4
+_WEIGHT = "(((o * 7 + c * 5 + dy * 3 + dx * 11 + {n} * 13) % 7 - 3) / 4.0::DOUBLE)"
+
+
+def seed_tensors() -> dict[str, np.ndarray]:
+    def tensor(n: int, out: int, size: int, into: int) -> np.ndarray:
+        o, dy, dx, c = np.indices((out, size, size, into))
+        return ((o * 7 + c * 5 + dy * 3 + dx * 11 + n * 13) % 7 - 3) / 4
 
+    w = SEED_WIDTH
+    return {"encoder.stem.weight": tensor(0, 2 * w, 3, 4), "encoder.fuse.weight": tensor(1, w, 1, 2 * w), "encoder.ladder.0.weight": tensor(2, w, 3, w), "palette.weight": tensor(3, 3, 1, w)}
 
-@query("seq6_convolution", f"WITH {SEEDS} SELECT id AS item, CAST(4 * 4 * 4 AS BIGINT) AS outputs FROM seeds WHERE id <= 10")
-def convolution(spark, d, limit: int | None = 10):
-    """A small stack on random weights of fixed seed: grouped, pointwise and strided layers."""
-    rng = np.random.default_rng(5)
-    layers = [
-        (rng.normal(size=(4, 1, 3, 3)), np.zeros(4), 1, 2), (rng.normal(size=(4, 4, 1, 1)), np.ones(4), 1, 1), (rng.normal(size=(8, 4, 3, 3)), np.zeros(8), 2, 1), (rng.normal(size=(4, 8, 3, 3)), np.zeros(4), 2, 1),
-    ]
-    s = walk_sites(spark, d, limit)
-    planes = s.select(F.col("frame").alias("item"), "y", "x", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("c"), (F.col("l") / 65536).alias("v")), F.struct(F.lit(1).cast("long").alias("c"), (F.col("a") / 4096).alias("v")))).alias("p"))
-    out = Q.infer(planes.select("item", "p.c", "y", "x", "p.v"), layers, 4)
-    return out.groupBy("item").agg(F.count("v").alias("outputs"))
+
+_LEAKY = "CASE WHEN v >= 0 THEN v ELSE v / 16 END"
+_TAPS = "range(3) p(dy), range(3) q(dx)"
+SEED_SQL = f"""{SEEDS}, x AS (SELECT id AS item, CAST(c AS BIGINT) AS c, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, ((abs(k) + id * 13 + c * 101 + y * 577 + x * 211) * 29 % 65536) / 65536.0::DOUBLE AS v
+  FROM seeds, range(16) a(c), range({SIDE}) b(y), range({SIDE}) e(x)),
+stem AS (SELECT item, o AS c, y - dy + 1 AS y, x - dx + 1 AS x, sum({_WEIGHT.format(n=0)} * v) AS v FROM (SELECT item, o, c % 4 AS c, y, x, dy, dx, v FROM x, range({2 * SEED_WIDTH}) r(o), {_TAPS} WHERE c // 4 = o // {2 * SEED_WIDTH // 4})
+  WHERE y - dy + 1 BETWEEN 0 AND {SIDE - 1} AND x - dx + 1 BETWEEN 0 AND {SIDE - 1} GROUP BY ALL),
+fuse AS (SELECT item, o AS c, y, x, sum({_WEIGHT.format(n=1)} * {_LEAKY}) AS v FROM (SELECT *, 0 AS dy, 0 AS dx FROM stem), range({SEED_WIDTH}) r(o) GROUP BY ALL),
+ladder AS (SELECT item, o AS c, (y - dy + 1) // 2 AS y, (x - dx + 1) // 2 AS x, sum({_WEIGHT.format(n=2)} * v) AS v FROM fuse, range({SEED_WIDTH}) r(o), {_TAPS}
+  WHERE (y - dy + 1) % 2 = 0 AND (x - dx + 1) % 2 = 0 AND y - dy + 1 BETWEEN 0 AND {SIDE - 1} AND x - dx + 1 BETWEEN 0 AND {SIDE - 1} GROUP BY ALL),
+head AS (SELECT item, o AS c, y, x, sum({_WEIGHT.format(n=3)} * {_LEAKY}) AS v FROM (SELECT *, 0 AS dy, 0 AS dx FROM ladder), range(3) r(o) GROUP BY ALL)"""
+
+
+@query("seq6_convolution", f"WITH {SEED_SQL} SELECT item, CAST(c AS BIGINT) AS c, y, x, v FROM head")
+def convolution(spark, d):
+    """The seed network's layers on sixteen channels a supplier: grouped, pointwise, strided, head."""
+    s = seeds(spark, d).select(F.col("id").alias("item"), F.abs("k").alias("k"))
+    at = s.withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(16 * SIDE * SIDE - 1)))).select(
+        "item", "k", F.floor(F.col("site") / (SIDE * SIDE)).alias("c"), (F.floor(F.col("site") / SIDE) % SIDE).alias("y"), (F.col("site") % SIDE).cast("long").alias("x")
+    )
+    v = ((F.col("k") + F.col("item") * 13 + F.col("c") * 101 + F.col("y") * 577 + F.col("x") * 211) * 29 % 65536) / 65536
+    return Q.infer(at.select("item", "c", "y", "x", v.alias("v")), Q.seed_layers(seed_tensors()))
 
 
 # ---------------------------------------------------------------- packages, containers, reports, logs
@@ -216,7 +282,7 @@ def weights_round_trip(spark, d):
     return got.select("path", F.aggregate("values", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-def container_files(spark, d, limit: int | None = None):
+def container_files(spark, d):
     def run(batches):
         for pdf in batches:
             for i in pdf["id"]:
@@ -225,26 +291,32 @@ def container_files(spark, d, limit: int | None = None):
                     data = data[:100] + b"\x7f" + data[101:]
                 yield pd.DataFrame([(f"c{int(i)}", data)], columns=["path", "content"])
 
-    return _upto(seeds(spark, d), "id", limit).mapInPandas(run, "path string, content binary")
+    return seeds(spark, d).mapInPandas(run, "path string, content binary")
 
 
-@query("src16_container_bins", f"WITH {SEEDS} SELECT 'c' || id AS path, CAST(s AS BIGINT) AS set_id, CAST(4096 AS BIGINT) AS bins, CAST(sum((b * 2654435761 + s) % 4294967296 & 255) AS BIGINT) AS l_codes FROM seeds, range(2) a(s), range(4096) c(b) WHERE id <= 4 GROUP BY ALL")
-def container_bins(spark, d, limit: int | None = 4):
-    got = K.containers(container_files(spark, d, limit))
+@query("src16_container_bins", f"WITH {SEEDS} SELECT 'c' || id AS path, CAST(s AS BIGINT) AS set_id, CAST(4096 AS BIGINT) AS bins, CAST(sum((b * 2654435761 + s) % 4294967296 & 255) AS BIGINT) AS l_codes FROM seeds, range(2) a(s), range(4096) c(b) GROUP BY ALL")
+def container_bins(spark, d):
+    got = K.containers(container_files(spark, d))
     return got.groupBy("path", "set_id").agg(F.count(F.lit(1)).alias("bins"), F.sum("l_code").alias("l_codes"))
 
 
-@query("src16_slow_block", f"WITH {SEEDS} SELECT 'c' || id AS path, CAST(count(*) AS BIGINT) AS bins, CAST(sum(b * 10 % 23) AS DOUBLE) AS motion FROM seeds, range(4096) c(b) WHERE id <= 4 AND id % 2 = 1 GROUP BY ALL")
-def slow_block(spark, d, limit: int | None = 4):
-    return K.slow_blocks(container_files(spark, d, limit)).groupBy("path").agg(F.count(F.lit(1)).alias("bins"), F.sum("motion").alias("motion"))
+@query("src16_slow_block", f"WITH {SEEDS} SELECT 'c' || id AS path, CAST(count(*) AS BIGINT) AS bins, CAST(sum(b * 10 % 23) AS DOUBLE) AS motion FROM seeds, range(4096) c(b) WHERE id % 2 = 1 GROUP BY ALL")
+def slow_block(spark, d):
+    return K.slow_blocks(container_files(spark, d)).groupBy("path").agg(F.count(F.lit(1)).alias("bins"), F.sum("motion").alias("motion"))
+
 
+@query("agg41_integrity", f"WITH {SEEDS} SELECT 'c' || id AS path, true AS magic_ok, CAST(CASE WHEN id % 2 = 1 THEN 2 ELSE 1 END AS BIGINT) AS version, CAST(2 AS BIGINT) AS sets, id <> 4 AS checksum_ok FROM seeds")
+def integrity(spark, d):
+    return K.integrity(container_files(spark, d)).drop("bytes")
 
-@query("agg41_integrity", f"WITH {SEEDS} SELECT 'c' || id AS path, true AS magic_ok, CAST(CASE WHEN id % 2 = 1 THEN 2 ELSE 1 END AS BIGINT) AS version, CAST(2 AS BIGINT) AS sets, id <> 4 AS checksum_ok FROM seeds WHERE id <= 4")
-def integrity(spark, d, limit: int | None = 4):
-    return K.integrity(container_files(spark, d, limit)).drop("bytes")
 
+CRC_SQL = f"""crc AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS UBIGINT), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[])),
+  lambda s, z: xor(s >> 1, CASE WHEN s & 1 = 1 THEN {K.CRC64_POLY}::UBIGINT ELSE 0::UBIGINT END))) AS t),
+hexed AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark),
+bytes AS (SELECT item_id, list_transform(range(1, length(h) // 2 + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS UBIGINT)) AS b FROM hexed)"""
 
-@query("agg31_crc64")
+
+@query("agg31_crc64", f"WITH {CRC_SQL} SELECT item_id, lpad(lower(to_hex(xor(list_reduce(list_prepend({2**64 - 1}::UBIGINT, b), lambda s, x: xor(s >> 8, crc.t[CAST(xor(s, x) & 255 AS BIGINT) + 1])), {2**64 - 1}::UBIGINT))), 16, '0') AS crc FROM bytes, crc")
 def crc64(spark, d):
     return V.table(spark, d, "benchmark").select("item_id", K.crc64_hex(F.col("text").cast("binary")).alias("crc"))
 
@@ -315,18 +387,19 @@ def run_token(spark, d):
 # ---------------------------------------------------------------- generators
 
 
-def lcg(state: int, count: int):
-    """The linear congruential sequence over unbounded integers, the seed first."""
-    for _ in range(count):
-        yield state
-        state = state * 6364136223846793005 + 1442695040888963407
+#: The linear congruential sequence over unbounded integers (fixed values). A site's value is bits 16 to 29 of its
+#: state, and those depend on the 30 lowest bits alone.
+LCG_STEP, LCG_PLUS, LCG_BITS = 6364136223846793005, 1442695040888963407, 1 << 30
 
 
-@query("src21_lcg_mosaic")
+@query("src21_lcg_mosaic", f"""WITH RECURSIVE s AS (SELECT id, CAST(0 AS BIGINT) AS i, abs(k) AS v FROM (SELECT s_suppkey AS id, CAST(floor(s_acctbal) AS BIGINT) % 1000 AS k FROM supplier)
+UNION ALL SELECT id, i + 1, (v * {LCG_STEP % LCG_BITS} + {LCG_PLUS % LCG_BITS}) % {LCG_BITS} FROM s WHERE i < 255) SELECT id AS frame, i // 16 AS y, i % 16 AS x, v // 65536 AS v FROM s""")
 def lcg_mosaic(spark, d):
-    """A 16 by 16 dyadic test mosaic of seed 5; unbounded integers, so made on the driver."""
-    v = [abs(s // 65536) % 16384 for s in lcg(5, 256)]
-    return spark.createDataFrame([(i // 16, i % 16, x) for i, x in enumerate(v)], "y long, x long, v long")
+    """A 16 by 16 dyadic test mosaic a supplier, seeded by its number."""
+    step = lambda acc, _: F.concat(acc, F.array((F.element_at(acc, -1) * (LCG_STEP % LCG_BITS) + LCG_PLUS % LCG_BITS) % LCG_BITS))
+    states = F.aggregate(F.sequence(F.lit(1), F.lit(255)), F.array(F.abs("k")), step)
+    sites = seeds(spark, d).select(F.col("id").alias("frame"), F.posexplode(states).alias("i", "v"))
+    return sites.select("frame", F.floor(F.col("i") / 16).alias("y"), (F.col("i") % 16).cast("long").alias("x"), F.floor(F.col("v") / 65536).alias("v"))
 
 
 @query("src20_synthetic_scene", "SELECT CAST(i // 32 AS BIGINT) AS y, CAST(i % 32 AS BIGINT) AS x, least(4095, 528 + (i // 32 * 97 + i % 32 * 61) % 3000) AS dn FROM range(1024) r(i)")
@@ -341,16 +414,6 @@ def downsample(spark, d):
     return rows.select(F.floor(F.col("y") / 4).alias("y"), F.floor(F.col("x") / 4).alias("x"), "v")
 
 
-@query("src17_golden_scan", "SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 100")
-def golden_scan(spark, d, limit: int | None = 99):
-    return _upto(V.table(spark, d, "events"), "event_id", limit).select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-# ---------------------------------------------------------------- whole tables
-
-#: The SQL twins above name a few ids; these run the same operators over every row and have no twin.
-for _name, _fn in {
-    "seq2_error_diffusion": error_diffusion, "seq3_settle": settle, "seq6_convolution": convolution, "src16_container_bins": container_bins,
-    "src16_slow_block": slow_block, "agg41_integrity": integrity, "src17_golden_scan": golden_scan,
-}.items():
-    query(f"{_name}_whole")(partial(_fn, limit=None))
+@query("src17_golden_scan", "SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def golden_scan(spark, d):
+    return V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("k"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -76,24 +74,23 @@ def lag_across_cycles(spark, d):
     return V.index_stream(spark, d).select("series", "pos", "idx", F.lag("idx", 4).over(w).alias("four_before"))
 
 
-FRAMES = f"{X}, one AS (SELECT pos, idx FROM index_stream WHERE series % 2 = 0), other AS (SELECT pos, CASE WHEN pos % 5 = 0 THEN (idx + 1) % 256 ELSE idx END AS idx FROM one)"
+FRAMES = f"{X}, one AS (SELECT pos, idx FROM index_stream), other AS (SELECT pos, CASE WHEN pos % 5 = 0 THEN (idx + 1) % 256 ELSE idx END AS idx FROM one)"
 
 
-def frames(spark, d, whole: bool = False):
-    stream = V.index_stream(spark, d)
-    one = (stream if whole else stream.filter("series % 2 = 0")).select("pos", "idx")
+def frames(spark, d):
+    one = V.index_stream(spark, d).select("pos", "idx")
     return one, one.select("pos", F.when(F.col("pos") % 5 == 0, (F.col("idx") + 1) % 256).otherwise(F.col("idx")).alias("idx"))
 
 
 @query("flt4_changed", f"WITH {FRAMES} SELECT o.pos, o.idx FROM other o JOIN one USING (pos) WHERE o.idx <> one.idx")
-def changed(spark, d, whole: bool = False):
-    return I.delta(*frames(spark, d, whole))
+def changed(spark, d):
+    return I.delta(*frames(spark, d))
 
 
 @query("jn10_apply_delta", f"WITH {FRAMES} SELECT pos, idx FROM other")
-def apply_delta(spark, d, whole: bool = False):
+def apply_delta(spark, d):
     """A frame and its delta give the next frame back."""
-    one, other = frames(spark, d, whole)
+    one, other = frames(spark, d)
     return I.applied(one, I.delta(one, other))
 
 
@@ -105,16 +102,15 @@ SIDE, RUNG, SEED = 32, 8, 4
 def ev_frames(spark, d):
     """cycle, frame, ev, y, x, v: every site of four frames, in integer units (0 where the table has none)."""
     seen = V.mosaic(spark, d)
-    places = spark.range(2 * 4 * SIDE * SIDE).select(
-        F.floor(F.col("id") / (4 * SIDE * SIDE)).alias("cycle"), (F.floor(F.col("id") / (SIDE * SIDE)) % 4).alias("frame"), (F.floor(F.col("id") / SIDE) % SIDE).alias("y"), (F.col("id") % SIDE).alias("x")
-    )
-    filled = places.join(F.broadcast(seen), ["cycle", "frame", "y", "x"], "left").select("cycle", "frame", "y", "x", F.coalesce("dn", F.lit(V.BLACK).cast("long")).alias("v"))
+    sites = spark.range(4 * SIDE * SIDE).select(F.floor(F.col("id") / (SIDE * SIDE)).alias("frame"), (F.floor(F.col("id") / SIDE) % SIDE).alias("y"), (F.col("id") % SIDE).alias("x"))
+    places = seen.select("cycle").distinct().crossJoin(F.broadcast(sites))  # the sites of one cycle
+    filled = places.join(seen, ["cycle", "frame", "y", "x"], "left").select("cycle", "frame", "y", "x", F.coalesce("dn", F.lit(V.BLACK).cast("long")).alias("v"))
     ev = F.element_at(F.array(*[F.lit(x) for x in (1.0, 4.0, 16.0, 64.0)]), (F.col("frame") + 1).cast("int"))
     return filled.withColumn("ev", ev)
 
 
 EVF = f"""{V.mosaic_sql()}, evf AS (SELECT p.cycle, p.frame, p.y, p.x, coalesce(m.dn, {V.BLACK}) AS v, CASE p.frame WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 4.0::DOUBLE WHEN 2 THEN 16.0::DOUBLE ELSE 64.0::DOUBLE END AS ev
-  FROM (SELECT i // {4 * SIDE * SIDE} AS cycle, i // {SIDE * SIDE} % 4 AS frame, i // {SIDE} % {SIDE} AS y, i % {SIDE} AS x FROM range({8 * SIDE * SIDE}) r(i)) p LEFT JOIN mosaic m USING (cycle, frame, y, x)),
+  FROM (SELECT cycle, i // {SIDE * SIDE} AS frame, i // {SIDE} % {SIDE} AS y, i % {SIDE} AS x FROM (SELECT DISTINCT cycle FROM mosaic), range({4 * SIDE * SIDE}) r(i)) p LEFT JOIN mosaic m USING (cycle, frame, y, x)),
 cells AS (SELECT cycle, frame, ev, y // 4 AS cy, x // 4 AS cx, CAST(sum(v) FILTER (y % 2 = 0 AND x % 2 = 0) AS DOUBLE) / 4.0::DOUBLE AS r, CAST(sum(v) FILTER (y % 2 <> x % 2) AS DOUBLE) / 8.0::DOUBLE AS g, CAST(sum(v) FILTER (y % 2 = 1 AND x % 2 = 1) AS DOUBLE) / 4.0::DOUBLE AS b FROM evf GROUP BY ALL),
 t AS (SELECT cycle, cy, cx, list(ev ORDER BY frame) AS e, list(r ORDER BY frame) AS r, list(g ORDER BY frame) AS g, list(b ORDER BY frame) AS b, list(r - g ORDER BY frame) AS q1, list(b - g ORDER BY frame) AS q2 FROM cells GROUP BY ALL),
 mu AS (SELECT *, """ + ", ".join(f"(((0.0::DOUBLE + e[1] * {k}[1]) + e[2] * {k}[2]) + e[3] * {k}[3] + e[4] * {k}[4]) / 85.0::DOUBLE AS mu_{k}" for k in ("r", "g", "b", "q1", "q2")) + """ FROM t),
@@ -231,65 +227,53 @@ def exposure_plan(spark, d):
 PLANS = f"{V.EXPOSURES_SQL}, plans AS (SELECT cycle, frame, CASE WHEN t > 0.1 THEN iso / 100 END AS plan FROM exposures)"
 
 
-def plans(spark, d, source=V.exposures):
-    return source(spark, d).select("cycle", "frame", F.when(F.col("t") > 0.1, F.col("iso") / 100).alias("plan"))
+def plans(spark, d):
+    return V.exposures(spark, d).select("cycle", "frame", F.when(F.col("t") > 0.1, F.col("iso") / 100).alias("plan"))
 
 
 @query("prj31_bounded_plan", f"WITH {PLANS} SELECT cycle, frame, greatest(2.0::DOUBLE, least(coalesce(plan, 3.0::DOUBLE), 8.0::DOUBLE)) AS plan FROM plans")
-def bounded_plan(spark, d, source=V.exposures):
-    return plans(spark, d, source).select("cycle", "frame", S.bounded_plan(F.col("plan"), 3.0, 2.0, 8.0).alias("plan"))
+def bounded_plan(spark, d):
+    return plans(spark, d).select("cycle", "frame", S.bounded_plan(F.col("plan"), 3.0, 2.0, 8.0).alias("plan"))
 
 
 @query("jn14_last_known_plan", f"WITH {PLANS} SELECT cycle, frame, coalesce(last_value(plan IGNORE NULLS) OVER (PARTITION BY cycle ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0::DOUBLE) AS plan FROM plans")
-def last_known_plan(spark, d, source=V.exposures):
-    got = S.last_known(plans(spark, d, source), ["cycle"], "frame", "plan")
+def last_known_plan(spark, d):
+    got = S.last_known(plans(spark, d), ["cycle"], "frame", "plan")
     return got.select("cycle", "frame", F.coalesce("known", F.lit(1.0)).alias("plan"))
 
 
 @query("win8_last_good", f"WITH {PLANS} SELECT cycle, frame, last_value(plan IGNORE NULLS) OVER (PARTITION BY cycle ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM plans")
-def last_good(spark, d, source=V.exposures):
-    return S.last_known(plans(spark, d, source), ["cycle"], "frame", "plan").select("cycle", "frame", "known")
+def last_good(spark, d):
+    return S.last_known(plans(spark, d), ["cycle"], "frame", "plan").select("cycle", "frame", "known")
 
 
 @query("prj38_base_frame", f"WITH {V.EXPOSURES_SQL}, b AS (SELECT cycle, list(iso - 500 ORDER BY frame) AS b FROM exposures GROUP BY cycle) SELECT cycle, CAST(list_position(list_transform(b, lambda x: abs(x)), list_min(list_transform(b, lambda x: abs(x)))) - 1 AS INTEGER) AS base FROM b")
-def base_frame(spark, d, source=V.exposures):
-    b = source(spark, d).groupBy("cycle").agg(F.sort_array(F.collect_list(F.struct("frame", (F.col("iso") - 500).alias("b"))))["b"].alias("b"))
+def base_frame(spark, d):
+    b = V.exposures(spark, d).groupBy("cycle").agg(F.sort_array(F.collect_list(F.struct("frame", (F.col("iso") - 500).alias("b"))))["b"].alias("b"))
     return b.select("cycle", S.base_frame(F.col("b")).alias("base"))
 
 
 @query("prj39_stops", f"WITH {V.EXPOSURES_SQL} SELECT cycle, frame, round(log2(iso / 100), 9) AS stops, round(pow(2.0::DOUBLE, log2(iso / 100)), 9) AS ratio FROM exposures")
-def stops(spark, d, source=V.exposures):
+def stops(spark, d):
     s = F.log2(F.col("iso") / 100)
-    return source(spark, d).select("cycle", "frame", F.round(s, 9).alias("stops"), F.round(F.pow(F.lit(2.0), s), 9).alias("ratio"))
+    return V.exposures(spark, d).select("cycle", "frame", F.round(s, 9).alias("stops"), F.round(F.pow(F.lit(2.0), s), 9).alias("ratio"))
 
 
 @query("jn13_governing_palette", f"WITH {V.EXPOSURES_SQL}, c AS (SELECT cycle, max(iso) AS seed, bool_and(t > 0) AS ok FROM exposures GROUP BY cycle) SELECT cycle, first_value(CASE WHEN ok THEN seed END IGNORE NULLS) OVER (PARTITION BY cycle // 16 ORDER BY cycle) AS governing FROM c")
-def governing_palette(spark, d, source=V.exposures):
+def governing_palette(spark, d):
     """The first good cycle's seed of a burst governs it and all later ones."""
-    c = source(spark, d).groupBy("cycle").agg(F.max("iso").alias("seed"), F.bool_and(F.col("t") > 0).alias("ok"))
+    c = V.exposures(spark, d).groupBy("cycle").agg(F.max("iso").alias("seed"), F.bool_and(F.col("t") > 0).alias("ok"))
     w = Window.partitionBy(F.floor(F.col("cycle") / 16)).orderBy("cycle").rangeBetween(Window.unboundedPreceding, 0)
     return c.select("cycle", F.first(F.when(F.col("ok"), F.col("seed")), ignorenulls=True).over(w).alias("governing"))
 
 
 @query("flt8_good_cycles", f"WITH {V.EXPOSURES_SQL} SELECT cycle, CAST(count(*) AS BIGINT) AS frames FROM exposures GROUP BY cycle HAVING bool_and(t > 0) AND count(*) = 4")
-def good_cycles(spark, d, source=V.exposures):
-    c = source(spark, d).groupBy("cycle").agg(F.count(F.lit(1)).alias("frames"), F.bool_and(F.col("t") > 0).alias("ok"))
+def good_cycles(spark, d):
+    c = V.exposures(spark, d).groupBy("cycle").agg(F.count(F.lit(1)).alias("frames"), F.bool_and(F.col("t") > 0).alias("ok"))
     return c.filter("ok AND frames = 4").orderBy("cycle").select("cycle", "frames")
 
 
 @query("str5_failure_budget", f"WITH {V.EXPOSURES_SQL}, c AS (SELECT cycle, bool_and(t > 0) AS ok FROM exposures GROUP BY cycle) SELECT cycle // 16 AS burst, CAST(count(*) FILTER (ok) AS BIGINT) AS good, count(*) FILTER (ok) >= 14 AS passed FROM c GROUP BY 1")
-def failure_budget(spark, d, source=V.exposures):
-    c = source(spark, d).groupBy("cycle").agg(F.bool_and(F.col("t") > 0).alias("ok"))
+def failure_budget(spark, d):
+    c = V.exposures(spark, d).groupBy("cycle").agg(F.bool_and(F.col("t") > 0).alias("ok"))
     return c.groupBy(F.floor(F.col("cycle") / 16).alias("burst")).agg(F.count_if("ok").alias("good"), (F.count_if("ok") >= 14).alias("passed"))
-
-
-# ---------------------------------------------------------------- whole tables
-
-#: The SQL twins above take a customer's first four orders and every other series; these take all and have no twin.
-for _name, _fn in {
-    "prj31_bounded_plan": bounded_plan, "jn14_last_known_plan": last_known_plan, "win8_last_good": last_good, "prj38_base_frame": base_frame, "prj39_stops": stops,
-    "jn13_governing_palette": governing_palette, "flt8_good_cycles": good_cycles, "str5_failure_budget": failure_budget,
-}.items():
-    query(f"{_name}_whole")(partial(_fn, source=V.brackets))
-query("flt4_changed_whole")(partial(changed, whole=True))
-query("jn10_apply_delta_whole")(partial(apply_delta, whole=True))

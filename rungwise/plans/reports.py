@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rungwise.functions import lattice as L
+from rungwise.operators import ordering as O
 from rungwise.operators import statistics as S
 from rungwise.registry import query
 from rungwise.sources import views as V
@@ -40,8 +39,8 @@ def timeline(spark, d):
 
 @query("agg40_health", f"WITH {ST} SELECT series, call, ms, max(ms) OVER (PARTITION BY series ORDER BY moment, call ROWS UNBOUNDED PRECEDING) AS most FROM (SELECT *, call % 8 AS series FROM stages)")
 def health(spark, d):
-    w = Window.partitionBy("series").orderBy("moment", "call").rowsBetween(Window.unboundedPreceding, 0)
-    return V.stages(spark, d).withColumn("series", F.col("call") % 8).select("series", "call", "ms", F.max("ms").over(w).alias("most"))
+    rows = V.stages(spark, d).withColumn("series", F.col("call") % 8)
+    return O.running_max(rows, ["series"], ["moment", "call"], "ms", "most").select("series", "call", "ms", "most")
 
 
 LINES = "lines AS (SELECT l_suppkey % 8 AS grp, l_suppkey AS set_id, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS p, CAST(round(l_discount * 100) AS BIGINT) AS dc, l_returnflag AS flag, l_linestatus AS status, l_orderkey AS o, l_linenumber AS nth FROM lineitem)"
@@ -195,7 +194,18 @@ def hardest(spark, d):
     return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "set_id")).cast("long"))
 
 
-@query("agg36_combined_weights", f"WITH {LINES}, t AS (SELECT grp, set_id, CAST(sum(q) AS DOUBLE) AS a, CAST(sum(dc) AS DOUBLE) AS b FROM lines GROUP BY 1, 2) SELECT grp, set_id, round(greatest(0.25::DOUBLE, least((0.5::DOUBLE + 0.5::DOUBLE * (a / avg(a) OVER (PARTITION BY grp))) * (0.5::DOUBLE + 0.5::DOUBLE * (b / avg(b) OVER (PARTITION BY grp))), 4.0::DOUBLE)), 9) AS weight FROM t")
+def _scaled_sql(c: str) -> str:
+    return f"({c}) / (avg({c}) OVER (PARTITION BY grp) + 1e-12::DOUBLE)"
+
+
+def _kept_sql(c: str) -> str:
+    return f"greatest(0.25::DOUBLE, least({c}, 4.0::DOUBLE))"
+
+
+_BLENDED = [_kept_sql(f"0.5::DOUBLE + 0.5::DOUBLE * {_scaled_sql(c)}") for c in "ab"]
+
+
+@query("agg36_combined_weights", f"WITH {LINES}, t AS (SELECT grp, set_id, CAST(sum(q) AS DOUBLE) AS a, CAST(sum(dc) AS DOUBLE) AS b FROM lines GROUP BY 1, 2), p AS (SELECT grp, set_id, {_BLENDED[0]} * {_BLENDED[1]} AS p FROM t) SELECT grp, set_id, round({_kept_sql(_scaled_sql('p'))}, 9) AS weight FROM p")
 def combined_weights(spark, d):
     t = lines(spark, d).groupBy("grp", "set_id").agg(F.sum("q").cast("double").alias("a"), F.sum("dc").cast("double").alias("b"))
     return S.combined_weights(t, ["grp"], "a", "b", 0.5).select("grp", "set_id", F.round("weight", 9).alias("weight"))
@@ -347,13 +357,13 @@ def greedy_order(spark, d):
     k = P.alternatives(targets, palette, 8)
     cost = F.col("d2") - F.min("d2").over(Window.partitionBy("pos"))
     c = k.withColumn("cost", cost).filter("rank > 0 AND cost <= 40000000").select("pos", "rank", "idx", "cost")
-    return c.withColumn("place", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cost", "pos", "rank")) - 1).cast("long"))
+    return O.ranked(c, [], ["cost", "pos", "rank"]).withColumnRenamed("_r", "place").drop("_n")
 
 
-@query("flt5_in_frame", f"WITH {V.lattice_sql(64)} SELECT y, x, CAST((x < 63)::INT + (y < 63 AND x > 0)::INT + (y < 63)::INT + (y < 63 AND x < 63)::INT AS BIGINT) AS inside FROM lattice WHERE y % 2 = 0")
-def in_frame(spark, d, whole: bool = False):
-    """How many of the four neighbours that take an error lie in the frame (even rows, as in the twin, unless whole)."""
-    rows = V.lattice(spark, d) if whole else V.lattice(spark, d).filter("y % 2 = 0")
+@query("flt5_in_frame", f"WITH {V.lattice_sql(64)} SELECT y, x, CAST((x < 63)::INT + (y < 63 AND x > 0)::INT + (y < 63)::INT + (y < 63 AND x < 63)::INT AS BIGINT) AS inside FROM lattice")
+def in_frame(spark, d):
+    """How many of the four neighbours that take an error lie in the frame."""
+    rows = V.lattice(spark, d)
     steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
     near = rows.withColumn("n", F.explode(steps)).withColumn("ny", F.col("y") + F.col("n.dy")).withColumn("nx", F.col("x") + F.col("n.dx"))
     return near.groupBy("y", "x").agg(F.count_if(F.col("ny").between(0, 63) & F.col("nx").between(0, 63)).alias("inside"))
@@ -365,6 +375,3 @@ def move_candidates(spark, d):
 
     palette, targets = V.probes(spark, d)
     return P.alternatives(targets, palette, 8).filter("rank > 0 AND d2 < 100000000").select("pos", "idx", "d2")
-
-
-query("flt5_in_frame_whole")(partial(in_frame, whole=True))

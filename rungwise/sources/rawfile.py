@@ -129,8 +129,17 @@ def decode_ljpeg(data: bytes) -> np.ndarray:
     return _reconstructed(diffs.reshape(height, width, parts), precision, shift, predictor).reshape(height, width * parts)
 
 
+#: Bytes of entropy-coded data whose bit positions are looked up at a time.
+LOOKED_UP = 1 << 20
+
+
 def _differences(data: bytes, tables: list[_Huffman], count: int) -> np.ndarray:
-    """Entropy-coded differences in order; stuffed zero bytes dropped, a marker ends the data."""
+    """Entropy-coded differences in order; stuffed zero bytes dropped, a marker ends the data.
+
+    How far a code and its bits reach is looked up for every bit position at
+    once; only the walk from code to code is a loop, and the values are read
+    at the places it visited, again at once.
+    """
     end = len(data)
     at = data.find(b"\xff")
     while 0 <= at < len(data) - 1:
@@ -138,50 +147,112 @@ def _differences(data: bytes, tables: list[_Huffman], count: int) -> np.ndarray:
             end = at
             break
         at = data.find(b"\xff", at + 2)
-    bits = int.from_bytes(data[:end].replace(b"\xff\x00", b"\xff") + b"\0\0\0\0", "big")
-    total = (len(data[:end].replace(b"\xff\x00", b"\xff")) + 4) * 8
-    raw = bits.to_bytes(total // 8, "big")
-    out = np.zeros(count, np.int64)
-    pos, limit, n_tables = 0, total - 32, len(tables)
-    for i in range(count):
-        table = tables[i % n_tables]
-        window = int.from_bytes(raw[pos >> 3 : (pos >> 3) + 5], "big") << (pos & 7) & 0xFFFFFFFFFF
-        top = window >> 24
-        length = int(table.length[top])
-        if not length:
-            raise Refused("LJPEG_INVALID_HUFFMAN_CODE")
-        size = int(table.symbol[top])
-        if size > 16:
-            raise Refused("LJPEG_INVALID_HUFFMAN_CODE")
-        if size == 16:
-            out[i] = 32768
-            pos += length
-        else:
-            pos += length
-            if size:
-                window = int.from_bytes(raw[pos >> 3 : (pos >> 3) + 4], "big") << (pos & 7) & 0xFFFFFFFF
-                v = window >> (32 - size)
-                out[i] = v if v >> (size - 1) else v - (1 << size) + 1
-                pos += size
-        if pos > limit:
-            raise Refused("LJPEG_UNEXPECTED_END")
+    plain = data[:end].replace(b"\xff\x00", b"\xff")
+    limit = 8 * len(plain)
+    raw = np.frombuffer(plain + b"\0" * 8, np.uint8).astype(np.uint32)
+    distinct = list({id(t): t for t in tables}.values())
+    which = [[id(t) for t in distinct].index(id(t)) for t in tables]
+    reaches = [_reach(t) for t in distinct]
+    places = np.empty(count, np.int64)
+    pos = done = 0
+    for first in range(0, len(plain), LOOKED_UP):
+        size = min(LOOKED_UP, len(plain) - first)
+        windows = _windows(raw, first, size)
+        steps = [reach[windows].tobytes() for reach in reaches]
+        start, stop = 8 * first, 8 * (first + size)
+        done, pos = _walked(places, done, count, pos, start, stop, [steps[w] for w in which])
+        if done == count:
+            break
+    if done < count or pos > limit:
+        raise Refused("LJPEG_UNEXPECTED_END")
+    out = np.empty(count, np.int64)
+    for k, table in enumerate(tables):
+        out[k :: len(tables)] = _values(raw, places[k :: len(tables)], table)
     return out
 
 
+def _reach(table: _Huffman) -> np.ndarray:
+    """Bits that a code and what follows it take, by the 16 bits that start with it; 0 for none."""
+    length, symbol = np.asarray(table.length, np.int64), np.asarray(table.symbol, np.int64)
+    reach = length + np.where(symbol == 16, 0, symbol)
+    return np.where((length == 0) | (symbol > 16), 0, reach).astype(np.uint8)
+
+
+def _windows(raw: np.ndarray, first: int, size: int) -> np.ndarray:
+    """The 16 bits from every bit position of some bytes on."""
+    part = raw[first : first + size + 2]
+    three = (part[:-2] << np.uint32(16)) | (part[1:-1] << np.uint32(8)) | part[2:]
+    return ((three[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)) & np.uint32(0xFFFF)).ravel()
+
+
+def _walked(places: np.ndarray, done: int, count: int, pos: int, start: int, stop: int, steps: list[bytes]) -> tuple[int, int]:
+    """Bit positions of the codes that begin before ``stop``."""
+    seen, parts = [], len(steps)
+    turn = done % parts
+    at, last = pos - start, stop - start
+    if parts == 1 or all(s is steps[0] for s in steps):
+        step = steps[0]
+        for _ in range(count - done):
+            if at >= last:
+                break
+            seen.append(at)
+            move = step[at]
+            if not move:
+                raise Refused("LJPEG_INVALID_HUFFMAN_CODE")
+            at += move
+    else:
+        for k in range(turn, turn + count - done):
+            if at >= last:
+                break
+            seen.append(at)
+            move = steps[k % parts][at]
+            if not move:
+                raise Refused("LJPEG_INVALID_HUFFMAN_CODE")
+            at += move
+    places[done : done + len(seen)] = np.array(seen, np.int64) + start
+    return done + len(seen), at + start
+
+
+def _values(raw: np.ndarray, places: np.ndarray, table: _Huffman) -> np.ndarray:
+    """The differences whose codes begin at these bit positions."""
+
+    def bits(at: np.ndarray) -> np.ndarray:
+        byte = at >> 3
+        three = (raw[byte] << np.uint32(16)) | (raw[byte + 1] << np.uint32(8)) | raw[byte + 2]
+        return (three >> (8 - (at & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+
+    top = bits(places)
+    length, size = np.asarray(table.length)[top].astype(np.int64), np.asarray(table.symbol)[top].astype(np.int64)
+    v = bits(places + length).astype(np.int64) >> (16 - np.minimum(size, 16))
+    low = (size > 0) & (v < np.left_shift(1, np.maximum(size - 1, 0)))
+    v = np.where(low, v - np.left_shift(1, size) + 1, v)
+    return np.where(size == 16, 32768, np.where(size == 0, 0, v))
+
+
 def _reconstructed(diffs: np.ndarray, precision: int, shift: int, predictor: int) -> np.ndarray:
-    """Predicted from the stored (shifted, clamped) neighbours of the same component."""
-    height, width, parts = diffs.shape
-    top = (1 << precision) - 1
-    out = np.zeros((height, width, parts), np.int64)
-    for y in range(height):
-        for x in range(width):
-            if x == 0:
-                guess = np.full(parts, 1 << (precision - shift - 1)) if y == 0 else out[y - 1, 0]
-            elif y == 0 or predictor == 1:
-                guess = out[y, x - 1]
-            else:
-                guess = (out[y, x - 1] + out[y - 1, x]) // 2
-            out[y, x] = np.clip((guess + diffs[y, x]) << shift, 0, top)
+    """Predicted from the stored (shifted, clamped) neighbours of the same component.
+
+    Where nothing is shifted or clamped, predicting from the left is a running
+    sum; all else goes along diagonals, whose samples do not need each other.
+    """
+    height, width, _ = diffs.shape
+    top, first = (1 << precision) - 1, 1 << (precision - shift - 1)
+    if predictor == 1 and not shift:
+        out = diffs.astype(np.int64)
+        out[:, 0] = np.cumsum(out[:, 0], axis=0) + first
+        out = np.cumsum(out, axis=1)
+        if out.size and out.min() >= 0 and out.max() <= top:
+            return out
+    out = np.zeros_like(diffs, np.int64)
+    for k in range(height + width - 1):
+        y = np.arange(max(0, k - width + 1), min(height, k + 1))
+        x = k - y
+        left, above = out[y, x - 1], out[y - 1, x]
+        guess = left.copy() if predictor == 1 else (left + above) // 2
+        guess[x == 0], guess[y == 0] = above[x == 0], left[y == 0]
+        if not k:
+            guess[:] = first
+        out[y, x] = np.clip((guess + diffs[y, x]) << shift, 0, top)
     return out
 
 

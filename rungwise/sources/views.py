@@ -18,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Orders whose lines make up a cycle, so that cycles grow in number with the table.
+CYCLE_ORDERS = 2048
+
+
 def mosaic(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
     """cycle, frame, y, x, dn: sensor counts of four-frame brackets."""
     dn = BLACK + F.round(F.col("l_extendedprice") * 100).cast("long") % 3568
     keyed = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 2).alias("cycle"),
+        F.floor(F.col("l_orderkey") / CYCLE_ORDERS).alias("cycle"),
         ((F.col("l_linenumber") - 1) % 4).cast("long").alias("frame"),
         (F.col("l_partkey") % side).alias("y"),
         (F.col("l_suppkey") % side).alias("x"),
@@ -32,7 +36,7 @@ def mosaic(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
 
 
 def mosaic_sql(side: int = SIDE) -> str:
-    return f"""mosaic AS (SELECT l_orderkey % 2 AS cycle, CAST((l_linenumber - 1) % 4 AS BIGINT) AS frame,
+    return f"""mosaic AS (SELECT l_orderkey // {CYCLE_ORDERS} AS cycle, CAST((l_linenumber - 1) % 4 AS BIGINT) AS frame,
   l_partkey % {side} AS y, l_suppkey % {side} AS x,
   CAST(floor(sum({BLACK} + CAST(round(l_extendedprice * 100) AS BIGINT) % 3568) / count(*)) AS BIGINT) AS dn
   FROM lineitem GROUP BY ALL)"""
@@ -63,37 +67,30 @@ def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 INDEX_SQL = "index_stream AS (SELECT user_id AS series, event_id AS pos, ts AS moment, CAST(round(value * 100) AS BIGINT) % 256 AS idx FROM events)"
 
 
-def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cycle, frame, t, iso, f_number: the first four orders of a customer as a bracket; some without metadata."""
-    return _shots(spark, sf_dir).filter("nth < 4").select(F.col("o_custkey").alias("cycle"), F.col("nth").alias("frame"), "t", "iso", "f_number")
+#: Numbers of brackets that a customer's cycles are told apart by.
+BRACKETS = 1 << 20
 
 
-def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cycle, frame, t, iso, f_number: a customer's orders in turn, four to a bracket (the last may be short); some without metadata.
+
+    cycle is customer * BRACKETS + bracket, so bursts of 16 cycles lie within one customer.
+    """
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    shots = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("long").alias("o_custkey"), nth.cast("long").alias("nth"),
         F.when(k % 97 == 0, 0.0).otherwise(1.0 / F.pow(F.lit(2.0), (k % 11).cast("double"))).alias("t"),
         (100.0 * (1 + k % 13)).alias("iso"),
         F.lit(1.78).alias("f_number"),
     )
+    return shots.select((F.col("o_custkey") * BRACKETS + F.floor(F.col("nth") / 4)).alias("cycle"), (F.col("nth") % 4).alias("frame"), "t", "iso", "f_number")
 
 
-#: Numbers of brackets that a customer's cycles are told apart by.
-BRACKETS = 1 << 20
-
-
-def brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like exposures, but all orders of a customer, four to a bracket in turn; the last one may be short.
-
-    cycle is customer * BRACKETS + bracket, so bursts of 16 cycles lie within one customer.
-    """
-    return _shots(spark, sf_dir).select((F.col("o_custkey") * BRACKETS + F.floor(F.col("nth") / 4)).alias("cycle"), (F.col("nth") % 4).alias("frame"), "t", "iso", "f_number")
-
-
-EXPOSURES_SQL = """exposures AS (SELECT * FROM (SELECT o_custkey AS cycle, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS frame,
+EXPOSURES_SQL = f"""exposures AS (SELECT o_custkey * {BRACKETS} + nth // 4 AS cycle, nth % 4 AS frame, t, iso, f_number FROM (
+  SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS nth,
   CASE WHEN o_orderkey % 97 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) / pow(CAST(2 AS DOUBLE), o_orderkey % 11) END AS t,
-  CAST(100 AS DOUBLE) * (1 + o_orderkey % 13) AS iso, CAST(1.78 AS DOUBLE) AS f_number FROM orders) WHERE frame < 4)"""
+  CAST(100 AS DOUBLE) * (1 + o_orderkey % 13) AS iso, CAST(1.78 AS DOUBLE) AS f_number FROM orders))"""
 
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names (a temporary one where it names none)."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names; a temporary one only on a single machine that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="rungwise-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/rungwise/{tag}-{uuid.uuid4().hex}"

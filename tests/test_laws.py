@@ -1,5 +1,7 @@
 """Algebraic laws and fixed points of the operators."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -162,14 +164,74 @@ def test_walk_serves_the_palette_itself_and_conserves():
     assert (target.sum(0) - pal[idx].sum(0) == dropped).all()
 
 
-def test_settle_keeps_count_and_running_balance():
-    idx = np.zeros(512, np.int64)
-    moves = [(0.01 * i, i, 1 + i % 255) for i in range(512)]
-    got, report = Q.settle(idx, moves, ceiling=400.0)
-    counts = np.bincount(got, minlength=256)
-    assert counts.sum() == 512 and report["after"] <= report["before"]
-    assert abs(((counts - 2.0) ** 2).sum() / 2.0 - report["after"]) < 1e-6
-    assert Q.settle(np.arange(512) % 256, moves)[1]["moves"] == 0
+def plain_settle(idx, moves, options, ceiling):
+    """One candidate after the other, the balance counted anew each time."""
+    idx, done, paid = list(idx), set(), 0.0
+    fair = len(idx) / options
+    chi2 = lambda x: sum((x.count(o) - fair) ** 2 for o in range(options)) / fair
+    for cost, i, q in moves:
+        if chi2(idx) <= ceiling:
+            break
+        other = [*idx[:i], q, *idx[i + 1 :]]
+        if i not in done and chi2(other) < chi2(idx) - 1e-9:
+            idx, paid = other, paid + max(cost, 0.0)
+            done.add(i)
+    return idx, chi2(idx), len(done), paid
+
+
+@given(st.lists(st.integers(0, 7), min_size=8, max_size=40), st.lists(st.tuples(st.floats(-1, 5), st.integers(0, 39), st.integers(0, 7)), max_size=60), st.sampled_from([0.0, 3.0, 9.0]))
+@settings(max_examples=60, deadline=None)
+def test_settle_is_the_plain_loop(idx, moves, ceiling):
+    moves = sorted(m for m in moves if m[1] < len(idx))
+    cost, site, to = (np.array(x, t) for x, t in zip(zip(*moves) if moves else ((), (), ()), (float, np.int64, np.int64)))
+    got, report = Q.settle(np.array(idx, np.int64), cost, site, to, n_options=8, ceiling=ceiling, scan=7)
+    want, after, n, paid = plain_settle(idx, moves, 8, ceiling)
+    assert got.tolist() == want and report["moves"] == n
+    assert report["after"] == pytest.approx(after) and report["paid"] == pytest.approx(paid)
+
+
+def test_map_steps_follow_the_weighted_means():
+    """One step in plain loops: softmax over distance, spread over the grid, means of what arrives."""
+    rng = np.random.default_rng(6)
+    palette, targets = rng.normal(size=(256, 3)), rng.normal(size=(20, 3))
+    d2 = np.array([[sum((t - p) ** 2) for p in palette] for t in targets])
+    w = np.exp(-d2 / (0.05 * d2.mean()))
+    w /= w.sum(1, keepdims=True)
+    want = palette.copy()
+    for k in range(0, 256, 17):
+        r = [sum(w[t, j] * math.exp(-((j // 16 - k // 16) ** 2 + (j % 16 - k % 16) ** 2) / 4.5) for j in range(256)) for t in range(20)]
+        want[k] += 0.5 * sum(r) / (sum(r) + 1) * (np.dot(r, targets) / sum(r) - palette[k])
+    got = Q.refine_map(palette, targets, steps=1)
+    assert np.allclose(got[::17], want[::17], atol=1e-6)
+
+
+def test_network_has_no_activation_after_fuse_and_head():
+    one = lambda out, size, into: np.ones((out, size, size, into))
+    tensors = {"encoder.stem.weight": -one(4, 3, 1), "encoder.fuse.weight": one(2, 1, 4), "encoder.ladder.0.weight": one(2, 3, 2), "palette.weight": -one(3, 1, 2)}
+    layers = Q.seed_layers(tensors)
+    assert [(s, g, a) for _, _, s, g, a in layers] == [(1, 4, True), (1, 1, False), (2, 1, True), (1, 1, False)]
+    x = np.zeros((4, 4, 4))
+    x[:, 1, 1] = 16.0
+    # stem -16 at nine places of each channel, leaky -1; fuse -4; each halved site sees four of the places in two channels,
+    # -32, leaky -2; the head sums two channels and turns the sign
+    assert Q.forward(x, layers).tolist() == np.full((3, 2, 2), 4.0).tolist()
+
+
+def test_ordering_over_one_key_and_many(spark):
+    from pyspark.sql import Window
+
+    from rungwise.operators import ordering as O
+
+    rows = spark.range(3000).select((F.col("id") % 3 * (F.col("id") % 3 - 1)).alias("k"), (F.col("id") * 7919 % 1013).alias("v"), "id").withColumn("k", F.when(F.col("k") != 2, F.col("k")))
+    w = Window.partitionBy("k").orderBy("v", "id")
+    want = rows.withColumn("_r", F.row_number().over(w).cast("long") - 1).withColumn("_n", F.count("*").over(Window.partitionBy("k")))
+    assert O.ranked(rows, ["k"], ["v", "id"]).exceptAll(want).count() == 0
+    most = rows.withColumn("m", F.max("id").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert O.running_max(rows, ["k"], ["v", "id"], "id", "m").exceptAll(most).count() == 0
+    for n in (2, 32, 900):
+        trail = rows.withColumn("lo", F.min("id").over(w.rowsBetween(-(n - 1), 0)))
+        assert O.trailing(rows, ["k"], ["v", "id"], n, lambda x: {"lo": F.min("id").over(x)}).exceptAll(trail).count() == 0
+    assert O.ranked(rows.limit(0), ["k"], ["v"]).count() == 0 and O.picked(rows, [], ["id"], lambda n: F.array(n - 1)).first()["id"] == 2999
 
 
 @given(st.lists(st.integers(0, 255), max_size=700))
