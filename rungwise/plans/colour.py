@@ -162,7 +162,7 @@ def camera_matrix(spark, d):
 FORWARD_TAG = [[0.62, 0.21, 0.1342], [0.27, 0.71, 0.02], [0.03, 0.06, 0.7351]]
 
 
-@query("prj8_forward_matrix", f"WITH {LINEAR} SELECT id, " + ", ".join(f"{dot_sql(row, 'rgb')} AS {n}" for row, n in zip(C.mul3(C.XYZ_TO_PROPHOTO_D50, [[m * NEUTRAL[1] / NEUTRAL[0], m1, m2 * NEUTRAL[1] / NEUTRAL[2]] for m, m1, m2 in FORWARD_TAG]), ("pr", "pg", "pb"))) + " FROM linear")
+@query("prj8_forward_matrix", f"WITH {LINEAR} SELECT id, " + ", ".join(f"{dot_sql(row, 'rgb')} AS {n}" for row, n in zip(C.mul3(C.XYZ_TO_PROPHOTO_D50, [[m * (NEUTRAL[1] / NEUTRAL[0]), m1 * 1.0, m2 * (NEUTRAL[1] / NEUTRAL[2])] for m, m1, m2 in FORWARD_TAG]), ("pr", "pg", "pb"))) + " FROM linear")
 def forward_matrix(spark, d):
     """The camera path of files with a forward matrix, which goes before a colour matrix."""
     m = C.camera_matrix(NEUTRAL, forward2=FORWARD_TAG, colour2=COLOUR_TAG)
