@@ -40,3 +40,12 @@ def test_best_run_is_that_of_all_runs(threshold):
 def test_repeated_notices_take_linear_time():
     scanner = licences.Scanner()
     assert scanner.scan(" ".join(f"x{i} Released under the MIT License. y{i}" for i in range(20000))) == ("MIT-notice", 1.0, "words", 20000)
+
+
+def test_templates_of_the_caller_and_very_long_texts(table):
+    grant = " ".join(f"clause{i} grants right{i % 7} to holder{i % 11}" for i in range(400))
+    templates = licences.with_texts({"Own-1.0": grant})
+    prose = "words of a story that goes on and on " * 40_000
+    rows = [(1, prose + grant.replace("clause9 ", "claus9 ") + prose), (2, prose), (3, grant), (3, grant), (4, "  \n\n ")]
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(table(rows), templates).collect()}
+    assert found == {1: "Own-1.0", 2: None, 3: "Own-1.0", 4: None}
