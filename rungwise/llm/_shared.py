@@ -18,17 +18,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of intermediate tables made by this process, in order.
+MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where none is named (tests)."""
+    """The shared folder; a temporary one is set only on a single machine that names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="rungwise-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/rungwise/{tag}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/rungwise/{tag}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def discard(spark: SparkSession, since: int, but: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables made since MADE had that length; frames that read them must be done with."""
+    for path in [p for p in MADE[since:] if p not in but]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        MADE.remove(path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
