@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rungwise.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from rungwise.llm._shared import materialize, release_shuffles
+from rungwise.llm._shared import MADE, discard, materialize, release_shuffles
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +49,15 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express the scores, the state or the packing; tests hold the two deduplications, mixing and packing
-#: against brute force in Python, and toxicity against the scores of the same model only.
+#: SQL cannot express the scores, the state or the packing; tests hold every stage against plain forms in Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = len(MADE)
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, before, but=(MADE[-1],))  # what the stage itself put aside
         release_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
