@@ -416,6 +416,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The input's rows whose score is below the threshold, all columns unchanged; no shuffle."""
     bounded_batches(docs.sparkSession)
     place = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots do not pass through
 
     def run(batches):
         for whole in batches:
@@ -423,7 +424,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 clean = [model.score(t) < THRESHOLD for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
