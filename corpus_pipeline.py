@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rungwise.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from rungwise.llm._shared import MADE, discard, materialize, release_shuffles
+from rungwise.llm._shared import MADE, discard, materialize, pick, release_shuffles
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.keep_one(docs).select(*docs.columns)
+    return pick(exact_dedup.keep_one(docs), *docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one_of_each(docs, shingle=5, num=80, den=100).select(*docs.columns)
+    return pick(jaccard_join.keep_one_of_each(docs, shingle=5, num=80, den=100), *docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    return pick(mixing.mix(docs), *docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
