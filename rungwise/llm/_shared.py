@@ -39,9 +39,9 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return MADE[-1]
 
 
-def discard(spark: SparkSession, since: int, but: tuple[str, ...] = ()) -> None:
-    """Delete the intermediate tables made since MADE had that length; frames that read them must be done with."""
-    for path in [p for p in MADE[since:] if p not in but]:
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables; frames that read them must be done with."""
+    for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         MADE.remove(path)

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from rungwise.llm._shared import materialize
 
 
+#: Tasks that the links of one node are dealt to.
+SALTS = 8
+
+
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
 
@@ -27,7 +31,10 @@ def components(links: DataFrame) -> DataFrame:
         # large star: larger neighbours go to the least of node and neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # a node of very many links meets its least neighbour in several tasks
+        spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rays = both.filter("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = rays.join(spread, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: smaller neighbours, and the node, go to the least smaller one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
