@@ -43,7 +43,9 @@ QUERY_BLOCK = 512
 PIVOTS = 32
 #: Blocks whose ranges a query block meets at a time.
 RANGES = 512
-CHUNK = 256
+CHUNK = 1024
+#: Pivots whose bounds are computed for every pair, and the share of candidates left by them above which the others are not worth their time.
+FIRST, TELLING = 8, 0.9
 #: Components below this magnitude multiply exactly in double precision (64 dimensions and far more).
 EXACT = 1 << 20
 
@@ -74,21 +76,28 @@ def best_of_blocks(qi, q, qd, ci, c, cd, k: int, chunk: int = CHUNK, floor=None)
     out, evaluated = [], 0
     for i in range(len(qi)):
         least = -np.inf if floor is None else floor[i]
-        apart = np.abs(cd - qd[i]).max(axis=1, initial=0.0)
+        # a few pivots first; the others only for candidates that those leave, and only where those told some apart
+        apart = np.abs(cd[:, :FIRST] - qd[i, :FIRST]).max(axis=1, initial=0.0)
         upper = _upper(q2[i], c2, apart)
         upper[ci == qi[i]] = -np.inf
         some = np.flatnonzero((upper >= least) & (upper > -np.inf))
-        order = some[np.argsort(-upper[some], kind="stable")]
+        if len(some) < TELLING * len(ci):
+            upper[some] = _upper(q2[i], c2[some], np.maximum(apart[some], np.abs(cd[some, FIRST:] - qd[i, FIRST:]).max(axis=1, initial=0.0)))
+            some = some[upper[some] >= least]
+        order = some[np.argsort(-upper[some])]
         ids, scores = np.empty(0, np.int64), np.empty(0, object if not exact else np.float64)
         for at in range(0, len(order), chunk):
             some = order[at : at + chunk]
             if len(scores) == k and scores[-1] > upper[some[0]]:
                 break
             evaluated += len(some)
-            ids = np.concatenate([ids, ci[some]])
-            scores = np.concatenate([scores, cf[some] @ qf[i]])
-            top = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[top], scores[top]
+            score = cf[some] @ qf[i]
+            if len(scores) == k:
+                some, score = some[score >= scores[-1]], score[score >= scores[-1]]
+            if len(some):
+                ids, scores = np.concatenate([ids, ci[some]]), np.concatenate([scores, score])
+                top = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[top], scores[top]
         out += [(int(qi[i]), int(a), int(max(min(int(b), (1 << 63) - 1), -(1 << 63)))) for a, b in zip(ids, scores) if b >= least]
     return out, evaluated
 
