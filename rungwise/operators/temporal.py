@@ -14,6 +14,12 @@ def upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     return picked(df, keys, [value], lambda n: F.array(F.floor(n / 2))).select(*keys, F.col(value).alias(out))
 
 
+def bin_median(df: DataFrame, value: str, out: str) -> DataFrame:
+    """sorted[n div 2] of a cycle's bins, whose number the rung fixes; cycles may be many."""
+    values = F.sort_array(F.collect_list(value))
+    return df.groupBy("cycle").agg(values.alias("_v")).select("cycle", F.element_at("_v", (F.floor(F.size("_v") / 2) + 1).cast("int")).alias(out))
+
+
 def deciles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """sorted[min(n - 1, i * n div 10)] for i = 0..10."""
     places = lambda n: F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.least(n - 1, F.floor(i * n / 10)))
@@ -46,7 +52,7 @@ def cycle_statistics(frames: DataFrame, side: int, rung: int, seed: int) -> tupl
     q = float((side // rung // 2) ** 2)
     size = {"r": q, "g": 2 * q, "b": q}
     ratios = F.array(*[F.when(F.col(f"mu_{c}") > 0, F.col(f"ss_{c}") / F.col("dof") / (F.col(f"mu_{c}") / F.lit(size[c]))).otherwise(0.0) for c in "rgb"])
-    gain = upper_median(per.select("cycle", F.explode(ratios).alias("ratio")), ["cycle"], "ratio", "gain")
+    gain = bin_median(per.select("cycle", F.explode(ratios).alias("ratio")), "ratio", "gain")
     both = per.join(gain, "cycle")
     noise = {c: F.col("gain") * F.col(f"mu_{c}") / F.lit(size[c]) for c in "rgb"}
 
@@ -64,4 +70,4 @@ def cycle_statistics(frames: DataFrame, side: int, rung: int, seed: int) -> tupl
 
 
 def region_median(bins: DataFrame, where: Column, value: str) -> DataFrame:
-    return upper_median(bins.filter(where), ["cycle"], value, "median")
+    return bin_median(bins.filter(where), value, "median")
