@@ -79,7 +79,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    _LEFT.clear()
     for name, function in STAGES[:-1]:
         docs = materialize(function(spark, docs, sf_dir), f"stage-{name}")
         release_shuffles(spark)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    _LEFT.clear()  # the result reads the last stage's tables whenever its caller likes
+    return packed
