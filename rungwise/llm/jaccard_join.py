@@ -17,7 +17,11 @@ The distance of two documents is ``1 - |A & B| / |A | B|``; documents within
    within ``r`` it links. A cell whose members are one component by now is done.
 3. Regions. Of the cells that are not, a document needs only the rarest ones:
    of its k, two sets that share s or more meet in the first k - s + 1. Cells
-   that share a document make one region. Inside a region pivots are chosen,
+   that share a document make one region. As a corpus grows, such chains join
+   most of its documents, so a region larger than ``REGION_BYTES`` is parted
+   first: two members of a cell stay together if the bitmaps of their sets
+   differ in no more bits than linked sets do in shingles (no link is lost by
+   that), or by a chain of such pairs. Inside a region pivots are chosen,
    every member measures its distance to all of them and is at home in the
    Voronoi region of the nearest. If x is at home with p, y with q and
    ``d(x, y) <= r``, then ``d(x, q) <= d(x, p) + 2 r``: a document in that window
@@ -71,6 +75,11 @@ SHRINKS = 0.8
 HEAVY = 1000
 #: Bytes of words that a worker remembers.
 WORDS_HELD = 1 << 26
+#: Bits of a set's bitmap at most; members of a cell whose bitmaps one task compares.
+BITS = 1 << 12
+MEETING = 20_000
+#: Share of the texts' bytes that is shuffled at one time to be joined; a round has so many bytes at least.
+ROUND, ROUND_BYTES = 0.5, 1 << 28
 _NO_ID = -(1 << 63)
 
 #: What the shuffle of cells carries: ``set`` (size and digest) is null but for one row a document.
@@ -408,6 +417,91 @@ def join_in_memory(texts: list[bytes], home: np.ndarray, label: np.ndarray, side
     return region.links
 
 
+# ---------------------------------------------------------------- bitmaps
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Which remainders a set's hashes leave: a power of two of bits, no fewer than shingles up to ``BITS``."""
+    bits = min(max(64, 1 << (len(s) - 1).bit_length()), BITS)
+    mark = np.zeros(bits, np.uint8)
+    mark[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(mark, bitorder="little").tobytes()
+
+
+def _bitmaps(k: int):
+    """Rows (doc, text) to doc, size and bitmap of the set."""
+
+    def run(batches):
+        words = Vocabulary()
+        for batch in (part for whole in batches for part in by_bytes(whole, 1, 1 << 19)):
+            if words.held > WORDS_HELD:
+                words = Vocabulary()
+            sets = [s for s, _ in shingle_sets([t or b"" for t in batch.column(1).to_pylist()], k, words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc", "n", "bits"])
+
+    return run
+
+
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(rows.reshape(len(rows), -1, words), axis=1)
+
+
+def close_pairs(n: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of different labels (and sides, where they have one) whose sizes and bitmaps allow a link.
+
+    Linked sets of a and b shingles differ in (a + b)(den - num) / (den + num) at
+    most, and two bitmaps in no more bits than their sets in shingles.
+    """
+    width = np.array([len(x) // 8 for x in bits])
+    maps = {w: np.frombuffer(b"".join(bits[i] for i in np.flatnonzero(width == w)), np.uint64).reshape(-1, w) for w in np.unique(width).tolist()}
+    comp, out = np.arange(len(n)), []
+    for w in maps:
+        own = np.flatnonzero(width == w)
+        for v in (v for v in maps if v >= w):
+            others = np.flatnonzero(width == v)
+            theirs = _folded(maps[v], w)
+            for at, i in enumerate(own.tolist()):
+                rest = np.arange(at + 1 if v == w else 0, len(others))
+                j = others[rest]
+                low, high = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
+                some = (label[j] != label[i]) & (comp[j] != comp[i]) & (den * low >= num * high) & ((side[j] != side[i]) | (side[i] < 0))
+                rest, j = rest[some], j[some]
+                if not len(j):
+                    continue
+                differ = np.bitwise_count(theirs[rest] ^ maps[w][at]).sum(1, dtype=np.int64)
+                for m in j[(den + num) * differ <= (den - num) * (n[j] + n[i])].tolist():
+                    if comp[m] != comp[i]:
+                        comp[comp == comp[m]] = comp[i]
+                        out.append((i, m))
+    return out
+
+
+def _close_in_cells(num: int, den: int):
+    """Over rows (cell, doc, label, side, n, bits) sorted by cell: pairs that hold together what may link."""
+
+    def close(held):
+        _, doc, label, side, n, bits = zip(*held)
+        return [(doc[i], doc[j]) for i, j in close_pairs(np.array(n, np.int64), np.array(label, np.int64), np.array(side, np.int64), list(bits), num, den)]
+
+    def run(batches):
+        held, out = [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[-1][0]:
+                    out += close(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield _pairs(out)
+                out = []
+        if held:
+            yield _pairs(close(held))
+
+    return run
+
+
+# ---------------------------------------------------------------- regions in tasks
+
 ROWS = ["region", "doc", "home", "label", "side", "text"]
 
 
@@ -633,6 +727,7 @@ def _region_links(needed: DataFrame, texts: DataFrame, k: int, num: int, den: in
     region = components(edges).select(F.col("node").alias("doc"), F.col("root").alias("region"))
     state = needed.select("doc", "label").distinct().join(region, "doc").join(texts.select("doc", "bytes"), "doc")
     state = materialize(state.select("region", "doc", F.lit(True).alias("home"), "label", "bytes", F.lit(1 << 62).alias("parent")), "jaccard-regions")
+    state = _parted(state, needed, texts, k, num, den)
     found: list[DataFrame] = []
     while True:
         sums = state.groupBy("region").agg(F.sum("bytes").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("parent").alias("parent"), F.max("home").alias("any_home"))
@@ -641,7 +736,7 @@ def _region_links(needed: DataFrame, texts: DataFrame, k: int, num: int, den: in
         large = small_side(sums.filter(F.col("size") > REGION_BYTES))
         big = state.join(large, "region")
         blocks = _in_blocks(big.filter("stuck"))
-        found.append(materialize(_joined(small.select(*ROWS[:-1]).unionByName(blocks), texts, k, num, den), "jaccard-found"))
+        found.append(_joined(small.select(*ROWS[:-1], "bytes").unionByName(blocks), texts, k, num, den))
         big = big.filter("NOT stuck")
         if not big.limit(1).count():
             break
@@ -663,9 +758,54 @@ def _region_links(needed: DataFrame, texts: DataFrame, k: int, num: int, den: in
     return links.filter("a <> b")
 
 
+def _parted(state: DataFrame, needed: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Large regions as the components of their pairs that share a cell and may link by size and bitmap; the others as they are."""
+    large = state.groupBy("region").agg(F.sum("bytes").alias("size")).filter(F.col("size") > REGION_BYTES).select("region")
+    large = small_side(materialize(large, "jaccard-large"))
+    if not large.limit(1).count():
+        return state
+    inside = materialize(state.join(large, "region"), "jaccard-inside")
+    sets = materialize(texts.join(small_side(inside.select("doc")), "doc").select("doc", "text").mapInArrow(_bitmaps(k), "doc long, n long, bits binary"), "jaccard-bitmaps")
+    # cells of the same members tell the same, so one of them is enough
+    cells = needed.join(inside.select("doc"), "doc", "left_semi").groupBy("cell").agg(
+        F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"), *[F.sum(F.shiftright(F.xxhash64(F.lit(i), "doc"), 24)).alias(f"h{i}") for i in range(4)]
+    )
+    cells = cells.filter("lo < hi").groupBy("members", *[f"h{i}" for i in range(4)]).agg(F.min("cell").alias("cell"))
+    meeting = materialize(needed.join(cells.select("cell", F.ceil(F.col("members") / MEETING).cast("int").alias("blocks")), "cell"), "jaccard-meeting")
+    met = _met(meeting, meeting["blocks"], "cell").select("cell", "doc", "label", "side")
+    shipped = met.join(sets.select("doc", F.length("bits").alias("bytes")), "doc").agg(F.sum(F.col("bytes") + 40)).first()[0] or 0
+    rounds = _rounds(shipped, texts)
+    pairs = None
+    for nth in range(rounds):
+        mine = met.filter(F.pmod(F.xxhash64("cell", F.lit(1)), F.lit(rounds)) == nth).join(sets, "doc").select("cell", "doc", "label", "side", "n", "bits")
+        part = mine.repartition("cell").sortWithinPartitions("cell", "doc").mapInArrow(_close_in_cells(num, den), "a long, b long")
+        part = materialize(part, "jaccard-close")
+        pairs = part if pairs is None else pairs.unionByName(part)
+        release_shuffles(state.sparkSession)
+    parts = components(pairs).select(F.col("node").alias("doc"), F.xxhash64(F.lit(0), "root").alias("part"))
+    inside = inside.join(parts, "doc").withColumn("region", F.col("part")).select(*state.columns)
+    return materialize(state.join(large, "region", "left_anti").unionByName(inside), "jaccard-regions")
+
+
+def _rounds(shipped: int, texts: DataFrame) -> int:
+    """Rounds in which so many bytes are shuffled, each a bounded share of the texts."""
+    held = texts.agg(F.sum("bytes")).first()[0] or 0
+    return max(1, math.ceil(shipped / max(ROUND_BYTES, ROUND * held)))
+
+
 def _joined(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    rows = rows.join(texts.select("doc", "text"), "doc").select(*ROWS)
-    return rows.repartition("region").sortWithinPartitions("region", "doc").mapInArrow(_join_regions(k, num, den), "a long, b long")
+    """Links of regions; their texts, of which blocks make many copies, are shuffled in rounds."""
+    rows = materialize(rows, "jaccard-rows")
+    rounds = _rounds(rows.agg(F.sum("bytes")).first()[0] or 0, texts)
+    out = None
+    for nth in range(rounds):
+        mine = rows.filter(F.pmod(F.xxhash64("region", F.lit(1)), F.lit(rounds)) == nth).join(texts.select("doc", "text"), "doc").select(*ROWS)
+        part = mine.repartition("region").sortWithinPartitions("region", "doc").mapInArrow(_join_regions(k, num, den), "a long, b long")
+        part = materialize(part, "jaccard-found")
+        out = part if out is None else out.unionByName(part)
+        if rounds > 1:
+            release_shuffles(rows.sparkSession)
+    return out
 
 
 def _measured(big: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -684,11 +824,16 @@ def _measured(big: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
 
 def _in_blocks(stuck: DataFrame) -> DataFrame:
     """Regions that pivots leave whole, as pairs of blocks of bounded bytes."""
-    dealt = stuck.withColumn("blocks", F.ceil(F.col("size") * 2 / REGION_BYTES).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    return _met(stuck, F.ceil(F.col("size") * 2 / REGION_BYTES), "region").select(*ROWS[:-1], "bytes")
+
+
+def _met(rows: DataFrame, blocks, group: str) -> DataFrame:
+    """Rows of a group dealt to so many blocks: each two of them a group, whose rows are of side 0 or 1, and each one by itself (-1)."""
+    dealt = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(lo == hi, -1).when(F.col("block") == lo, 0).otherwise(1)
-    return met.select(F.xxhash64("region", lo, hi).alias("region"), "doc", "home", "label", side.alias("side"))
+    return met.withColumns({group: F.xxhash64(group, lo, hi), "side": side})
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, passes: int = 1) -> DataFrame:

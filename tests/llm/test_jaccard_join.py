@@ -90,6 +90,39 @@ def test_large_regions_part_by_pivots_and_blocks(table, monkeypatch, region):
     assert got == brute(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("meeting, least", [(20_000, 1 << 28), (5, 3000)])
+def test_chains_of_shared_passages_are_no_region(table, monkeypatch, meeting, least):
+    """Texts of three passages each: nearly all in one chain of cells, few linked. Regions cut into blocks would make many copies of each."""
+    rnd = random.Random(3)
+    pool = [[f"p{i}w{j}" for j in range(8)] for i in range(40)]
+    rows = [(i, " ".join(w for p in rnd.sample(pool, 3) for w in p) + f" z{i}") for i in range(400)]
+    rows += [(400 + i, t + " more") for i, (_, t) in enumerate(rows[::10])]
+    for name, value in (("REGION_BYTES", 4000), ("MEETING", meeting), ("ROUND_BYTES", least), ("ROUND", 0.01)):
+        monkeypatch.setattr(m, name, value)
+    counts, joined = [], m._joined
+    monkeypatch.setattr(m, "_joined", lambda rows, *a: counts.append(rows.count()) or joined(rows, *a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in m.jaccard_components(table(rows), 5, 80, 100).collect()}
+    assert got == brute(rows, 5, 80, 100)
+    assert sum(counts) <= len(rows)
+
+
+def test_bitmaps_part_no_linked_sets():
+    rng = np.random.default_rng(5)
+    for num, den in ((80, 100), (85, 100), (1, 2)):
+        for n in (1, 3, 40, 64, 129, 1000, 5000):
+            sets, size = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64))], (den - num) * n // den
+            for lost in (0, size // 2, size):  # of n shingles: num / den of them kept, or as many added
+                sets += [sets[0][lost:], np.sort(np.r_[sets[0], rng.integers(0, 1 << 63, lost * den // num if num else lost, dtype=np.uint64)])]
+            sets = [s for s in sets if len(s) and den * len(np.intersect1d(s, sets[0])) >= num * len(np.union1d(s, sets[0]))]
+            for i in range(1, len(sets)):
+                two = [sets[0], sets[i]]
+                assert len(m.close_pairs(np.array([len(s) for s in two]), np.arange(2), np.full(2, -1), [m.bitmap(s) for s in two], num, den)) == 1
+                assert len(m.close_pairs(np.array([len(s) for s in two]), np.arange(2), np.array([0, 1]), [m.bitmap(s) for s in two], num, den)) == 1
+                assert not m.close_pairs(np.array([len(s) for s in two]), np.arange(2), np.array([1, 1]), [m.bitmap(s) for s in two], num, den)
+    far = [np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(50)]
+    assert not m.close_pairs(np.full(50, 300), np.arange(50), np.full(50, -1), [m.bitmap(s) for s in far], 80, 100)
+
+
 def test_words_that_polynomial_hashes_confuse(table):
     even = [bin(i).count("1") % 2 for i in range(1024)]
     word, other = "".join("ab"[e] for e in even), "".join("ba"[e] for e in even)
