@@ -167,7 +167,7 @@ def baseline_judging(spark, d):
     out = None
     for name, step in (("clean", 0), ("noisy", 911)):
         palette = PF.q16_bell(spark).withColumn("l", F.col("l") + (F.col("idx") * step) % 1500)
-        got = Q.settled(PF.settle_candidates(spark, d, palette), budget=2000.0).select("frame", F.lit(name).alias("seed"), "before", "after", "moves")
+        got = Q.settled_sites(PF.walk_sites(spark, d), palette, 8, budget=2000.0).select("frame", F.lit(name).alias("seed"), "before", "after", "moves")
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -1,9 +1,11 @@
 """Operators run on whole tables: every supplier, event, line, series, site and order."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rungwise import registry
+from rungwise.operators import sequential as Q
 from rungwise.plans import extras, files
 
 
@@ -58,6 +60,31 @@ def test_settled_frames_follow_the_plain_loop(spark, small):
         assert [got[frame][i] for i in range(256)] == want
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["agg39_baseline_judging"])
+def test_candidates_never_leave_their_task(spark, small, name):
+    """Eight rows a site, chosen of 256 built by the plan, took most of the time."""
+    assert "sort_array" not in plan_of(registry.queries()[name](spark, small))
+
+
+def test_frames_in_batches_are_frames_one_by_one(spark, small, monkeypatch):
+    monkeypatch.setattr(Q, "SITES", 700)
+    sites, bell = files.walk_sites(spark, small).filter("frame <= 7"), files.q16_bell(spark)
+    want = {r["frame"]: r for r in Q.settled(files.settle_candidates(spark, small).filter("frame <= 7"), 2000.0).collect()}
+    assert {r["frame"]: r for r in Q.settled_sites(sites, bell, 8, 2000.0).collect()} == want and len(want) == 7
+    tables = [pa.RecordBatch.from_pydict({"frame": f}) for f in ([1, 1, 1], [1], [1, 2], [2, 2, 2], [3], [4])]
+    assert [t.column("frame").to_pylist() for t in Q.whole_frames(tables, 2)] == [[1] * 5, [2] * 4 + [3], [4]]
+    target, entries = sites.orderBy("frame", "y", "x").toPandas()[["l", "a", "b"]].to_numpy(), Q.entries_of(bell)
+    idx, dropped = Q.diffuse_frames(entries, target.reshape(7, 256, 3), 16, 2)
+    for f in range(7):
+        one = Q.diffuse(entries, target.reshape(7, 256, 3)[f], 16, 2)
+        assert (one[0] == idx[f]).all() and (one[1] == dropped[f]).all()
+    assert (target.reshape(7, 256, 3) - entries[idx]).sum(1).tolist() == dropped.tolist()
+
+
 def test_bundle_holds_every_cycle(spark, small, monkeypatch):
     paths, made = [], extras.shared_path
     monkeypatch.setattr(extras, "shared_path", lambda *a: paths.append(made(*a)) or paths[-1])
