@@ -205,45 +205,78 @@ CONTAINER_COLUMNS = (
 )
 
 
+def _sets(batches):
+    """path, set and parsed bins of every readable set of the containers."""
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            data = bytes(content or b"")
+            if len(data) < CONTAINER_HEADER + 8 or data[:4] != CONTAINER_MAGIC:
+                continue
+            at, size = struct.unpack_from("<II", data, 24)
+            for e in json.loads(data[at : at + size])["sets"]:
+                try:
+                    got = parse_set(data[e["offset"] : e["offset"] + e["size"]])
+                except ValueError:
+                    continue
+                yield path, e["setIdx"], got
+
+
+def _slow(batches):
+    """path and the columns of the block between sets and manifest, where there is one."""
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            data = bytes(content or b"")
+            if data[:4] != CONTAINER_MAGIC:
+                continue
+            at, size = struct.unpack_from("<II", data, 24)
+            end = max((e["offset"] + e["size"] for e in json.loads(data[at : at + size])["sets"]), default=CONTAINER_HEADER)
+            if data[end : end + 4] == SLOW_MAGIC and end + SLOW_HEADER + 40 * BINS + 16 <= at:
+                yield path, {n: np.frombuffer(data, "<f4", BINS, end + SLOW_HEADER + 4 * BINS * i).astype(float) for i, n in enumerate(SLOW_COLUMNS)}
+
+
 def containers(files: DataFrame) -> DataFrame:
     """(path, content) to one row a set and bin; unreadable sets give none."""
     names = [c.strip().split(" ")[0] for c in CONTAINER_COLUMNS.split(",")]
 
     def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                data = bytes(content or b"")
-                if len(data) < CONTAINER_HEADER + 8 or data[:4] != CONTAINER_MAGIC:
-                    continue
-                at, size = struct.unpack_from("<II", data, 24)
-                for e in json.loads(data[at : at + size])["sets"]:
-                    try:
-                        got = parse_set(data[e["offset"] : e["offset"] + e["size"]])
-                    except ValueError:
-                        continue
-                    yield got.assign(path=path, set_id=e["setIdx"])[names]
+        for path, set_id, got in _sets(batches):
+            yield got.assign(path=path, set_id=set_id)[names]
 
     return files.select("path", "content").mapInPandas(run, CONTAINER_COLUMNS)
 
 
+def container_totals(files: DataFrame, columns: list[str]) -> DataFrame:
+    """One row a readable set: its bins and the sums of whole-number columns over them, without a row a bin."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(path, set_id, len(got), *(int(got[c].sum()) for c in columns)) for path, set_id, got in _sets([batch])]
+            yield pd.DataFrame(rows, columns=["path", "set_id", "bins", *columns])
+
+    return files.select("path", "content").mapInPandas(run, "path string, set_id long, bins long, " + ", ".join(f"{n} long" for n in columns))
+
+
 def slow_blocks(files: DataFrame) -> DataFrame:
     """One row a bin of the block between sets and manifest, where there is one."""
 
     def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                data = bytes(content or b"")
-                if data[:4] != CONTAINER_MAGIC:
-                    continue
-                at, size = struct.unpack_from("<II", data, 24)
-                end = max((e["offset"] + e["size"] for e in json.loads(data[at : at + size])["sets"]), default=CONTAINER_HEADER)
-                if data[end : end + 4] == SLOW_MAGIC and end + SLOW_HEADER + 40 * BINS + 16 <= at:
-                    cols = {n: np.frombuffer(data, "<f4", BINS, end + SLOW_HEADER + 4 * BINS * i).astype(float) for i, n in enumerate(SLOW_COLUMNS)}
-                    yield pd.DataFrame({"path": path, "bin": np.arange(BINS)} | cols)
+        for path, cols in _slow(batches):
+            yield pd.DataFrame({"path": path, "bin": np.arange(BINS)} | cols)
 
     return files.select("path", "content").mapInPandas(run, "path string, bin long, " + ", ".join(f"{n} double" for n in SLOW_COLUMNS))
 
 
+def slow_totals(files: DataFrame, columns: list[str]) -> DataFrame:
+    """One row a block: its bins and the sums of columns over them, without a row a bin."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(path, BINS, *(float(cols[c].sum()) for c in columns)) for path, cols in _slow([batch])]
+            yield pd.DataFrame(rows, columns=["path", "bins", *columns])
+
+    return files.select("path", "content").mapInPandas(run, "path string, bins long, " + ", ".join(f"{n} double" for n in columns))
+
+
 def integrity(files: DataFrame) -> DataFrame:
     """Magic, version, set count and stored against computed checksum of each container."""
     little = lambda at, n: F.lower(F.concat(*[F.hex(F.substring("content", at + n - 1 - i, 1)) for i in range(n)]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rungwise import registry
 from rungwise.operators import sequential as Q
 from rungwise.plans import extras, files
+from rungwise.sources import packages as K
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +39,15 @@ def test_every_supplier_is_a_container(spark, small):
     assert {r["path"] for r in registry.queries()["src16_slow_block"](spark, small).collect()} == {f"c{i}" for i in IDS if int(i) % 2}
 
 
+def test_slow_bins_never_leave_their_task(spark, small, monkeypatch):
+    monkeypatch.setattr(files, "CONTAINERS", 20)
+    made = files.container_files(spark, small)
+    want = K.slow_blocks(made).groupBy("path").agg(F.count(F.lit(1)).alias("bins"), F.sum("motion").alias("motion"), F.sum("l_var").alias("l_var"))
+    assert sorted(K.slow_totals(made, ["motion", "l_var"]).collect()) == sorted(want.collect())
+    assert made.rdd.getNumPartitions() == 4
+    assert "cov_la" not in plan_of(registry.queries()["src16_slow_block"](spark, small))
+
+
 def test_every_event_is_scanned(spark, small):
     got = registry.queries()["src17_golden_scan"](spark, small).collect()
     assert sorted((r["id"], r["k"]) for r in got) == [(i, 3 * i) for i in range(150)]
